@@ -1,0 +1,27 @@
+"""Small parameter tables inside expressions, each behind a check of its size."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+INLINE_ROWS = 256
+
+
+def rows_within(df: DataFrame, bound: int = INLINE_ROWS) -> list[Row] | None:
+    """All rows of ``df`` if there are at most ``bound`` of them, else None. Fetches ``bound + 1`` at most."""
+    rows = df.limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
+
+
+def chunks(df: DataFrame, ord: str, size: int = INLINE_ROWS) -> Iterator[DataFrame]:
+    """``df`` in frames of at most ``size`` rows, following ``ord``. Used when a table is over the bound."""
+    from lakekeel.session import stage
+    from lakekeel.sources.sinks import assign_identity
+
+    numbered = stage(assign_identity(df, ord, name="__pos"), "chunks")
+    total = numbered.agg(F.max("__pos")).first()[0] or 0
+    for lo in range(1, total + 1, size):
+        yield numbered.filter(F.col("__pos").between(lo, lo + size - 1)).drop("__pos")
