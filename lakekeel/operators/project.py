@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.functions import text as tx
@@ -12,6 +12,40 @@ from lakekeel.plans.bounded import INLINE_ROWS, rows_within
 from lakekeel.plans.skew import first_per_key, lookup_join
 
 
+# Part of a private-link resource id -> resource type, in test order.
+RESOURCE_TYPES = [
+    ("Microsoft.KeyVault", "vault"),
+    ("Microsoft.Sql", "sqlServer"),
+    ("Microsoft.Storage/storageAccounts", "blob"),
+    ("Microsoft.Databricks", "databricks_ui_api"),
+    ("Microsoft.DocumentDB", "SQL"),
+    ("Microsoft.Kusto/clusters", "cluster"),
+    ("Microsoft.Synapse/workspaces", "Sql"),
+    ("Microsoft.Web/sites", "sites"),
+    ("Microsoft.EventHub/namespaces", "namespace"),
+    ("Microsoft.Devices/IotHubs", "iotHub"),
+    ("Microsoft.Purview/accounts", "account"),
+    ("Microsoft.MachineLearningServices/workspaces", "amlworkspace"),
+]
+# Part of a workspace name -> icon, and environment -> colour, in test order.
+ICONS = [
+    ("prepare", "Notebook"),
+    ("ingest", "Pipelines"),
+    ("orchestrate", "Dataflow"),
+    ("store", "Lakehouse"),
+    ("model", "Dataset"),
+    ("present", "Report"),
+    ("core", "Links"),
+]
+COLOURS = [("dev", "#1E90FF"), ("tst", "#FFA500"), ("prd", "#008000")]
+
+
+def rule_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(ord, needle, label) for an ordered list of pairs."""
+    rows = [(i, needle, label) for i, (needle, label) in enumerate(pairs, 1)]
+    return spark.createDataFrame(rows, "ord int, needle string, label string")
+
+
 def expand_name_template(
     df: DataFrame, template: Column | str, mapping: Mapping[str, Column | str], out: str
 ) -> DataFrame:

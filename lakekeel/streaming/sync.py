@@ -27,7 +27,6 @@ def sync_stream(
     The newest row so far is the state of a streaming aggregate, so a batch costs what it brings and never
     re-reads the target; changes are combined in the map tasks, so a busy key is no hot spot. A batch owns
     the folder of its number and overwrites it when it is run again, which makes retries harmless.
-    Rows whose newest version did not move are written as up_to_date, the others as update.
     """
     keys, order = as_list(key), as_list(ord)
     rest = [c for c in stream.columns if c not in keys]
