@@ -99,8 +99,9 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 def rules_in_scope(rules: DataFrame, objects: DataFrame, level: int = MODEL_LEVEL) -> DataFrame:
     """(rule_id, object_id) for the rules that apply to each object by type and compatibility level."""
     kinds = rules.filter(F.col("level") <= level).select(
-        "rule_id", F.explode(F.transform(F.split("scope", ","), F.trim)).alias("object_type")
+        "rule_id", F.explode(F.split("scope", ",")).alias("kind")
     )
+    kinds = kinds.select("rule_id", F.trim("kind").alias("object_type"))
     per_type = kinds.groupBy("object_type").agg(F.collect_list("rule_id").alias("__rules"))
     # few types, so nearly every type is hot: the join spreads them
     rows = lookup_join(objects.select("object_id", "object_type"), per_type, "object_type", "inner")
