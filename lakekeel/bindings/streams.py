@@ -61,7 +61,8 @@ CHECKED = """
     """,
 )
 def zone_pipeline(spark, sf):
-    curated = zones.zone_pipeline(spark, sf, work_path(spark, "zones"))["curated"]
+    sources = {t: table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation")}
+    curated = zones.zone_pipeline(sources, work_path(spark, "zones"))["curated"]
     return curated.withColumn("revenue", F.col("revenue").cast("double"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,43 +28,59 @@ def _struct_leaves(c: Column, t: T.StructType, prefix: str) -> list[Column]:
     return leaves
 
 
-def _open_objects(items: Column) -> Column:
-    """Replace each object by its members; everything else stays."""
-
-    def step(e: Column) -> Column:
-        members = F.try_variant_get(e["value"], "$", "map<string,variant>")
-        sep = F.when(e["path"] == "", "").otherwise(F.concat(e["path"], F.lit(".")))
-        opened = F.transform(
-            F.map_entries(members),
-            lambda m: F.struct(F.concat(sep, m["key"]).alias("path"), m["value"].alias("value")),
+LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+def _json_leaves() -> Callable[[str], Column]:
+    """Arrow UDF from JSON text to its leaves. Nested, so that executors get it with the plan."""
+
+    class Number(str):
+        """A JSON number, kept as it is written."""
+
+    def as_text(v) -> str:
+        if isinstance(v, Number):
+            return str(v)
+        if isinstance(v, list):
+            return "[" + ",".join(map(as_text, v)) + "]"
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{as_text(x)}" for k, x in v.items()) + "}"
+        return json.dumps(v, ensure_ascii=False)
+
+    def leaves(text: str):
+        todo = [("", json.loads(text, parse_int=Number, parse_float=Number))]
+        while todo:
+            path, v = todo.pop()
+            if isinstance(v, dict):
+                todo += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+            else:
+                yield path, v if v is None or isinstance(v, str) else as_text(v)
+
+    def batch(texts: pa.Array) -> pa.Array:
+        offsets, paths, values = [0], [], []
+        for text in texts.to_pylist():
+            for path, value in leaves(text) if text is not None else ():
+                paths.append(path)
+                values.append(value)
+            offsets.append(len(paths))
+        items = pa.StructArray.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["path", "value"]
         )
-        return F.when(members.isNotNull(), opened).otherwise(F.array(e))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
 
-    return F.flatten(F.transform(items, step))
+    return F.arrow_udf(batch, LEAVES)
 
 
-def flatten_paths(df: DataFrame, col: str, id: str | Sequence[str], levels: int = 4) -> DataFrame:
+def flatten_paths(df: DataFrame, col: str, id: str | Sequence[str]) -> DataFrame:
     """(id, path, value) for every leaf below ``col``, with dotted paths.
 
-    Arrays are leaves, empty objects vanish and null leaves stay. ``col`` is a struct, or JSON text of any
-    shape. For text the objects are opened ``levels`` at a time inside the row, until none is left.
+    Arrays are leaves, empty objects vanish and null leaves stay. A struct is walked by its schema, in the
+    JVM. JSON text may have any shape and depth, which no built-in expression can walk; it is read once per
+    row, in Arrow batches.
     """
     ids = [id] if isinstance(id, str) else list(id)
     t = df.schema[col].dataType
-    if isinstance(t, T.StructType):
-        leaves = F.array(*_struct_leaves(F.col(col), t, ""))
-        return df.select(*ids, F.explode(leaves).alias("__e")).select(*ids, "__e.*")
-
-    root = F.array(F.struct(F.lit("").alias("path"), F.parse_json(col).alias("value")))
-    rows = df.select(*ids, root.alias("__e"))
-    is_object = F.schema_of_variant(F.col("value")).startswith("OBJECT")
-    while True:
-        for _ in range(levels):
-            rows = rows.withColumn("__e", _open_objects(F.col("__e")))
-        out = rows.select(*ids, F.explode("__e").alias("__v")).select(*ids, "__v.path", "__v.value")
-        if out.filter(is_object).isEmpty():
-            break
-    return out.select(*ids, "path", F.col("value").cast("string").alias("value"))
+    leaves = F.array(*_struct_leaves(F.col(col), t, "")) if isinstance(t, T.StructType) else _json_leaves()(col)
+    return df.select(*ids, F.explode(leaves).alias("__e")).select(*ids, "__e.path", "__e.value")
 
 
 def explode_map_of_lists(df: DataFrame, map_col: str, id: str | Sequence[str]) -> DataFrame:

@@ -185,14 +185,12 @@ def extract_references(objects: DataFrame) -> DataFrame:
     """(from_id, name, fully_qualified) for the bracketed references in expressions, comments left out."""
     code = F.regexp_replace("expression", COMMENT, "$1")
     code = F.regexp_replace(code, '"[^"]*"', "")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(code, F.lit(REFERENCE), F.lit(1)).alias("table"),
-        F.regexp_extract_all(code, F.lit(REFERENCE), F.lit(2)).alias("name"),
+    refs = objects.filter(F.contains(F.col("expression"), F.lit("["))).select(
+        F.col("object_id").alias("from_id"),
+        F.explode(F.regexp_extract_all(code, F.lit(REFERENCE), F.lit(0))).alias("ref"),
     )
-    refs = objects.filter(F.col("expression").isNotNull()).select(
-        F.col("object_id").alias("from_id"), F.explode(pairs).alias("r")
-    )
-    return refs.select("from_id", F.col("r.name").alias("name"), (F.col("r.table") != "").alias("fully_qualified"))
+    name = F.rtrim(F.regexp_replace("ref", r"^('[^']*'|[^\['])*\[", ""), F.lit("]"))
+    return refs.select("from_id", name.alias("name"), (~F.startswith("ref", F.lit("["))).alias("fully_qualified"))
 
 
 def resolve_references(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -235,7 +233,8 @@ def _of_type(types: Iterable[str]) -> Column:
 
 def _divides() -> Column:
     code = F.regexp_replace("expression", COMMENT, "$1")
-    return F.regexp_replace(code, LITERAL, "x").rlike(DIVISION)
+    # most texts have no slash at all, and need no pattern
+    return F.contains(F.col("expression"), F.lit("/")) & F.regexp_replace(code, LITERAL, "x").rlike(DIVISION)
 
 
 def _camel() -> Column:
@@ -303,7 +302,7 @@ def violations(objects: DataFrame, rule_ids: Iterable[str], level: int = MODEL_L
         kinds = [s.strip() for s in rule.scope.split(",")]
         bad = F.col("object_type").isin(kinds) & PREDICATES[rule.rule_id]()
         fails.append(F.when(bad, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"))))
-    hits = objects.select("object_id", F.explode(F.array_compact(F.array(*fails))).alias("__v"))
+    hits = objects.select("object_id", F.explode(F.array(*fails)).alias("__v")).filter("__v IS NOT NULL")
     return hits.select("__v.rule_id", "__v.severity", "object_id")
 
 

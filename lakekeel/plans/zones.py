@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
@@ -16,7 +17,8 @@ def land(df: DataFrame, path: str, source: str) -> DataFrame:
     df.withColumns({"_source": F.lit(source), "_loaded_at": F.current_timestamp()}).write.mode(
         "overwrite"
     ).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    extra = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_loaded_at", T.TimestampType())])
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, *extra.fields])).parquet(path)
 
 
 def split_rejects(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -57,11 +59,17 @@ def revenue_by_nation_month(lines: DataFrame, orders: DataFrame, customers: Data
     )
 
 
-def zone_pipeline(
-    spark: SparkSession, src_dir: str, out_dir: str, tables: Sequence[str] = ("lineitem", "orders", "customer", "nation")
-) -> dict[str, DataFrame]:
-    """Landing: raw copies. Base: typed rows, rejects apart. Curated: revenue by nation and month."""
-    landing = {t: land(spark.read.parquet(f"{src_dir}/{t}.parquet"), f"{out_dir}/landing/{t}", t) for t in tables}
+def zone_pipeline(sources: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
+    """Landing: raw copies. Base: typed lines, rejects apart. Curated: revenue by nation and month.
+
+    ``sources`` holds lineitem, orders, customer and nation.
+    """
+
+    def written(df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    landing = {name: land(df, f"{out_dir}/landing/{name}", name) for name, df in sources.items()}
     good, rejects = split_rejects(landing["lineitem"], line_checks())
     typed = good.withColumns(
         {
@@ -71,17 +79,13 @@ def zone_pipeline(
             "l_shipdate": F.col("l_shipdate").cast("date"),
         }
     )
-    typed.write.mode("overwrite").parquet(f"{out_dir}/base/lineitem")
-    rejects.write.mode("overwrite").parquet(f"{out_dir}/base/lineitem_rejects")
-    base = spark.read.parquet(f"{out_dir}/base/lineitem")
-    revenue_by_nation_month(base, landing["orders"], landing["customer"], landing["nation"]).write.mode(
-        "overwrite"
-    ).parquet(f"{out_dir}/curated/revenue")
+    base = written(typed, f"{out_dir}/base/lineitem")
+    revenue = revenue_by_nation_month(base, landing["orders"], landing["customer"], landing["nation"])
     return {
         "landing": landing["lineitem"],
         "base": base,
-        "rejects": spark.read.parquet(f"{out_dir}/base/lineitem_rejects"),
-        "curated": spark.read.parquet(f"{out_dir}/curated/revenue"),
+        "rejects": written(rejects, f"{out_dir}/base/lineitem_rejects"),
+        "curated": written(revenue, f"{out_dir}/curated/revenue"),
     }
 
 
