@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The canonical identifier form, ASCII blanks and the line ends that split a text.
-GUID_PATTERN = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+GUID_PATTERN = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 BLANKS = " \t\n\r\x0b\x0c"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -58,7 +58,7 @@ def build_kv_string(pairs: Sequence[tuple], quoted: Sequence[str] = ()) -> Colum
 
 def parse_kv_string(c: Column | str) -> Column:
     """The map behind a ``k=v;`` string; the closing separator adds no empty key."""
-    return F.str_to_map(F.regexp_replace(_col(c), ";$", ""), F.lit(";"), F.lit("="))
+    return F.str_to_map(F.regexp_replace(_col(c), r";\z", ""), F.lit(";"), F.lit("="))
 
 
 def expand_template(template: Column | str, mapping: Mapping[str, Column | str]) -> Column:

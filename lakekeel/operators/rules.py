@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lakekeel.functions.text import is_blank, is_empty
 from lakekeel.plans.skew import lookup_join
+from lakekeel.session import stage
 
 
 @dataclass(frozen=True)
@@ -181,16 +182,23 @@ def with_child_counts(objects: DataFrame, usage: DataFrame | None = None) -> Dat
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
 
 
-def extract_references(objects: DataFrame) -> DataFrame:
-    """(from_id, name, fully_qualified) for the bracketed references in expressions, comments left out."""
-    code = F.regexp_replace("expression", COMMENT, "$1")
-    code = F.regexp_replace(code, '"[^"]*"', "")
-    refs = objects.filter(F.contains(F.col("expression"), F.lit("["))).select(
-        F.col("object_id").alias("from_id"),
-        F.explode(F.regexp_extract_all(code, F.lit(REFERENCE), F.lit(0))).alias("ref"),
-    )
+def _references_in(text: str) -> Column:
+    """Array of the different bracketed references in an expression, comments and strings left out."""
+    code = F.regexp_replace(F.regexp_replace(text, COMMENT, "$1"), '"[^"]*"', "")
+    refs = F.array_distinct(F.regexp_extract_all(code, F.lit(REFERENCE), F.lit(0)))
+    # most texts have no bracket at all, and need no pattern
+    return F.when(F.contains(F.col(text), F.lit("[")), refs)
+
+
+def _exploded_references(objects: DataFrame, refs: Column) -> DataFrame:
+    rows = objects.select(F.col("object_id").alias("from_id"), F.explode(refs).alias("ref"))
     name = F.rtrim(F.regexp_replace("ref", r"^('[^']*'|[^\['])*\[", ""), F.lit("]"))
-    return refs.select("from_id", name.alias("name"), (~F.startswith("ref", F.lit("["))).alias("fully_qualified"))
+    return rows.select("from_id", name.alias("name"), (~F.startswith("ref", F.lit("["))).alias("fully_qualified"))
+
+
+def extract_references(objects: DataFrame) -> DataFrame:
+    """(from_id, name, fully_qualified) for the references in the expressions."""
+    return _exploded_references(objects, _references_in("expression"))
 
 
 def resolve_references(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -293,16 +301,25 @@ PREDICATES: dict[str, Callable[[], Column]] = {
 }
 
 
-def violations(objects: DataFrame, rule_ids: Iterable[str], level: int = MODEL_LEVEL) -> DataFrame:
-    """Evaluate rules over objects that carry the flags they need, in one pass."""
+def _failures(rule_ids: Iterable[str], level: int) -> Column:
+    """Array with one entry per rule: its id and severity where it fails, else null."""
     fails = []
     for rule in (BY_ID[r] for r in rule_ids):
-        if rule.level > level:
-            continue
-        kinds = [s.strip() for s in rule.scope.split(",")]
-        bad = F.col("object_type").isin(kinds) & PREDICATES[rule.rule_id]()
-        fails.append(F.when(bad, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"))))
-    hits = objects.select("object_id", F.explode(F.array(*fails)).alias("__v")).filter("__v IS NOT NULL")
+        if rule.level <= level:
+            kinds = [s.strip() for s in rule.scope.split(",")]
+            bad = F.col("object_type").isin(kinds) & PREDICATES[rule.rule_id]()
+            hit = F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"))
+            fails.append(F.when(bad, hit))
+    return F.array(*fails)
+
+
+def violations(objects: DataFrame, rule_ids: Iterable[str], level: int = MODEL_LEVEL) -> DataFrame:
+    """Evaluate rules over objects that carry the flags they need, in one pass."""
+    return _exploded_failures(objects, _failures(rule_ids, level))
+
+
+def _exploded_failures(objects: DataFrame, failures: Column) -> DataFrame:
+    hits = objects.select("object_id", F.explode(failures).alias("__v")).filter("__v IS NOT NULL")
     return hits.select("__v.rule_id", "__v.severity", "object_id")
 
 
@@ -445,26 +462,35 @@ def run_rules(
 ) -> DataFrame:
     """All rules together.
 
-    Rules on the object alone run in the scan. For the others each kind of link becomes flags per object;
-    the objects go through one join on the parent and then joins on the same object id, which share one
-    shuffle. Long texts stay out of it.
+    One pass over the objects evaluates the rules on the object alone and takes the references from its
+    expression; the result is staged without the long texts, and everything else reads that. Each kind of
+    link becomes flags per object. The objects go through one join on the parent and then joins on the same
+    object id, which share one shuffle.
     """
-    if references is None:
-        references = resolve_references(extract_references(objects), objects)
-    slim = objects.withColumn("description", F.when(~is_empty("description"), F.lit("set"))).drop(
-        "expression", "connection_string"
+    alone = [*ROW_RULES, "DAX_DIVISION_COLUMNS"]
+    slim = stage(
+        objects.withColumns(
+            {
+                "own": F.array_compact(_failures(alone, level)),
+                "refs": _references_in("expression") if references is None else F.lit(None).cast("array<string>"),
+                "description": F.when(~is_empty("description"), F.lit("set")),
+            }
+        ).drop("expression", "connection_string"),
+        "objects",
     )
-    rows = with_references(with_parent(slim), references)
+    if references is None:
+        references = resolve_references(_exploded_references(slim, F.col("refs")), slim)
+    bare = slim.drop("own", "refs")
+    rows = with_references(with_parent(bare), references)
     rows = with_translations(rows, translations, cultures)
     rows = _with_incoming(_with_many_side(rows, relationships), relationships)
-    counts = with_child_counts(slim, usage).select(
+    counts = with_child_counts(bare, usage).select(
         "object_id", "n_loose_columns", "n_loose_measures", "n_free_columns"
     )
     rows = with_usage(rows, usage).join(counts, "object_id")
     rows = rows.withColumns({"has_perspectives": _any_perspective(usage), "folder_limit": F.lit(limit)})
-    alone = [*ROW_RULES, "DAX_DIVISION_COLUMNS"]
     return (
-        violations(objects, alone, level)
+        _exploded_failures(slim, F.col("own"))
         .unionByName(violations(rows, [r for r in PREDICATES if r not in alone], level))
         .unionByName(check_relationship_names(relationships))
     )

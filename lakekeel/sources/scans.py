@@ -74,7 +74,7 @@ def named_text(df: DataFrame, path: Column | str, text: str, names: Sequence[str
 
 def scan_named_text(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
     """Whole text of the files below ``root`` with one of these names, whatever the case."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     wanted = [n.lower() for n in names]
     return files.filter(F.lower("_metadata.file_name").isin(wanted)).select(
         F.col("_metadata.file_path").alias("path"),
