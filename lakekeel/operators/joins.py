@@ -34,7 +34,7 @@ def expected_grid(left: DataFrame, right: DataFrame, bound: int = 1000) -> DataF
         arrays = cut.groupBy("__cut").agg(F.collect_list(packed).alias("__rows"))
         cuts = -(-right.count() // bound)
         spread = left.withColumn("__cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-        rows = spread.join(arrays, "__cut").withColumn("__r", F.explode("__rows")).drop("__cut", "__rows")
+        rows = lookup_join(spread, arrays, "__cut", "inner").withColumn("__r", F.explode("__rows"))
     return rows.select(*left.columns, *[F.col("__r")[c].alias(c) for c in right.columns])
 
 
@@ -121,13 +121,9 @@ def resolve_bindings(
         "connection_name", "connection_id", tx.split_endpoint("path").alias("__p")
     )
     # resolve each lakehouse once, then carry the result to its bindings
-    source = (
-        template.withColumn(
-            "connection_name",
-            tx.expand_template(F.col("connection_name"), {"environment": F.lit(environment)}),
-        )
-        .join(details, "connection_name", "left")
-        .select(*where, "connection_name", "connection_id", "__p.sqlendpoint", "__p.database_name")
+    connection_name = tx.expand_template(F.col("connection_name"), {"environment": F.lit(environment)})
+    source = lookup_join(template.withColumn("connection_name", connection_name), details, "connection_name").select(
+        *where, "connection_name", "connection_id", "__p.sqlendpoint", "__p.database_name"
     )
     rows = lookup_join(bindings, source, where)
     rows = rows.withColumn("semantic_model", F.explode("semantic_models")).drop("semantic_models")

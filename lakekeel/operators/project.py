@@ -109,18 +109,10 @@ def _first_hit(
     key = F.sha2(col, 256)
     texts = first_per_key(df.select(key.alias("__key"), col.alias("__text")).dropna(), "__key", ["__text"])
     lengths = rules.agg(F.collect_set(F.length("needle")).alias("n")).scalar()  # one entry per length
-    texts = texts.withColumn("__lengths", lengths)
-    grams = F.flatten(
-        F.transform(
-            "__lengths",
-            lambda n: F.transform(
-                F.when(F.length("__text") >= n, F.sequence(F.lit(1), F.length("__text") - n + 1)).otherwise(
-                    F.array().cast("array<int>")
-                ),
-                lambda i: F.substring(F.col("__text"), i, n),
-            ),
-        )
-    )
+    # one row per text and needle length, so that only the places of one length are in memory at a time
+    texts = texts.withColumn("__n", F.explode(lengths)).filter(F.length("__text") >= F.col("__n"))
+    places = F.sequence(F.lit(1), F.length("__text") - F.col("__n") + 1)
+    grams = F.transform(places, lambda i: F.substring(F.col("__text"), i, F.col("__n")))
     probes = texts.select("__key", F.explode(F.array_distinct(grams)).alias("needle"))
     best = first_per_key(rules.select("ord", "needle", "label"), "needle", ["ord"])
     hits = lookup_join(probes, best, "needle", "inner")

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TOP = 256  # a key is hot from 1/256 of the rows on, so there are at most 256 hot keys
-TRACKED = 8192
+TOP = 1024  # a key is hot from 1/1024 of the rows on, so there are at most 1024 hot keys
+TRACKED = 16384
 SALTS = 64
 MIN_HOT_ROWS = 10_000  # a key with fewer rows is no problem for one task
 
@@ -25,9 +26,25 @@ def as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the key, the same for every width of whole numbers."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return F.xxhash64(
+        *[F.col(k).cast("bigint") if isinstance(df.schema[k].dataType, whole) else F.col(k) for k in keys]
+    )
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
+    def kind(df: DataFrame, k: str):
+        t = df.schema[k].dataType
+        return "whole" if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else t.simpleString()
+
+    return all(kind(left, k) == kind(right, k) for k in keys)
+
+
 def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> Column:
     """Array of the hashes of the hot keys of ``df``, as a scalar subquery."""
-    top = df.select(F.xxhash64(*keys).alias(_HASH)).agg(
+    top = df.select(key_hash(df, keys).alias(_HASH)).agg(
         F.expr(f"approx_top_k({_HASH}, {TOP}, {TRACKED})").alias("top"), F.count("*").alias("n")
     )
     return top.select(
@@ -53,8 +70,10 @@ def lookup_join(
     ``left`` that is itself the result of a join.
     """
     on = as_list(on)
+    if not _same_keys(left, right, on):
+        raise ValueError(f"cast the join keys {on} to the same types first")
     hot = hot_key_hashes(left if keys_of is None else keys_of, on)
-    is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*on)), F.lit(False))
+    is_hot = F.coalesce(F.array_contains(hot, key_hash(left, on)), F.lit(False))
     spread = F.when(is_hot, F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.withColumn(_SALT, F.coalesce(spread, F.lit(0)))

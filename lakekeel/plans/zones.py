@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,11 +101,14 @@ def deploy_log_metrics(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
     )
-    days = counts.groupBy("day").agg(
-        F.sum("n").alias("n_day"),
-        F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("n_error"),
+    day = Window.partitionBy("day")  # one row per event type by now
+    days = counts.withColumns(
+        {
+            "n_day": F.sum("n").over(day),
+            "n_error": F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).over(day),
+        }
     )
-    return counts.join(days, "day").select(
+    return days.select(
         "day",
         "event_type",
         "n",
