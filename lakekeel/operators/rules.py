@@ -450,6 +450,49 @@ def check_references(objects: DataFrame, references: DataFrame | None = None) ->
     return linked.unionByName(violations(objects, ["DAX_DIVISION_COLUMNS"]))
 
 
+FLAGS = [*[f"used_{k}" for k in USAGE_KINDS], "bare_column", "qualified_measure", "on_many_side"]
+COUNTS = ["n_incoming", "n_loose_columns", "n_loose_measures", "n_free_columns"]
+
+
+def _link_flags(
+    objects: DataFrame, usage: DataFrame, relationships: DataFrame, references: DataFrame
+) -> DataFrame:
+    """One row of flags and counts per object that any link points at: one union, one aggregate."""
+    visible, qualified = F.col("is_visible"), F.col("fully_qualified")
+    is_column = F.col("object_type").isin(COLUMN_TYPES)
+    loose = visible & is_empty("display_folder")
+
+    def one(condition: Column) -> Column:
+        return F.when(condition, 1).otherwise(0)
+
+    parent = F.col("parent_id").alias("object_id")
+    children = objects.filter(F.col("parent_id").isNotNull())
+    related = usage.filter("kind = 'relationship'").select("object_id").distinct()
+    # free columns: all the visible columns of the table, less those used in relationships
+    bound = children.filter(visible & is_column).join(related, "object_id", "left_semi")
+    frames = [
+        usage.select("object_id", *[(F.col("kind") == k).alias(f"used_{k}") for k in USAGE_KINDS]),
+        references.select(
+            F.col("from_id").alias("object_id"),
+            ((F.col("to_type") == "Column") & ~qualified).alias("bare_column"),
+            ((F.col("to_type") == "Measure") & qualified).alias("qualified_measure"),
+        ),
+        relationships.select(F.col("from_column_id").alias("object_id"), F.lit(True).alias("on_many_side")),
+        relationships.select(F.col("to_table").alias("object_id"), F.lit(1).alias("n_incoming")),
+        children.select(
+            parent,
+            one(loose & (is_column | (F.col("object_type") == "Hierarchy"))).alias("n_loose_columns"),
+            one(loose & (F.col("object_type") == "Measure")).alias("n_loose_measures"),
+            one(visible & is_column).alias("n_free_columns"),
+        ),
+        bound.select(parent, F.lit(-1).alias("n_free_columns")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.groupBy("object_id").agg(
+        *[F.bool_or(c).alias(c) for c in FLAGS], *[F.sum(c).alias(c) for c in COUNTS]
+    )
+
+
 def run_rules(
     objects: DataFrame,
     usage: DataFrame,
@@ -481,14 +524,16 @@ def run_rules(
     if references is None:
         references = resolve_references(_exploded_references(slim, F.col("refs")), slim)
     bare = slim.drop("own", "refs")
-    rows = with_references(with_parent(bare), references)
-    rows = with_translations(rows, translations, cultures)
-    rows = _with_incoming(_with_many_side(rows, relationships), relationships)
-    counts = with_child_counts(bare, usage).select(
-        "object_id", "n_loose_columns", "n_loose_measures", "n_free_columns"
+    rows = with_translations(with_parent(bare), translations, cultures)
+    rows = rows.join(_link_flags(bare, usage, relationships, references), "object_id", "left")
+    rows = rows.withColumns(
+        {
+            **{c: F.coalesce(c, F.lit(False)) for c in FLAGS},
+            **{c: F.coalesce(c, F.lit(0)) for c in COUNTS},
+            "has_perspectives": _any_perspective(usage),
+            "folder_limit": F.lit(limit),
+        }
     )
-    rows = with_usage(rows, usage).join(counts, "object_id")
-    rows = rows.withColumns({"has_perspectives": _any_perspective(usage), "folder_limit": F.lit(limit)})
     return (
         _exploded_failures(slim, F.col("own"))
         .unionByName(violations(rows, [r for r in PREDICATES if r not in alone], level))

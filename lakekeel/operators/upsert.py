@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekeel.plans.skew import as_list, distinct_keys, first_per_key
+from lakekeel.session import stage
 
 
 def env_value_map(df: DataFrame, key: str | Sequence[str], env: str, value: str, ord: str) -> DataFrame:
@@ -39,14 +40,15 @@ def keyed_upsert(
     its position in ``pos``; ``changes`` has the other columns of ``base`` and the write order ``seq``. The
     result has the columns of ``base`` and ``is_new``; new rows have their first ``seq`` as position.
 
-    The base meets only the one row per changed key, so a small set of changes is broadcast by Spark and
-    the base is not shuffled.
+    The changes are cut to one row per key and staged. From then on Spark knows their size: few changes are
+    broadcast and the base is not shuffled, many are joined by key.
     """
     keys = as_list(key)
     payload = [c for c in base.columns if c not in (*keys, pos)]
     # keys are part of the join key, so a struct that is null marks "no change"
-    last = changes.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload), seq).alias("__new"), F.min(seq).alias("__first")
+    last = stage(
+        changes.groupBy(*keys).agg(F.max_by(F.struct(*payload), seq).alias("__new"), F.min(seq).alias("__first")),
+        "changes",
     )
     merged = base.join(last, keys, "left")
     hit = F.col("__new").isNotNull()
