@@ -101,7 +101,7 @@ def overlay_merge(
     policy_col: str | None = None,
     item_key: str = "item_name",
 ) -> DataFrame:
-    """Lay override rows over base rows, by key.
+    """Lay override rows over base rows, by key. Each side has one row per key.
 
     policy 0 keeps the base: a key that only ``over`` has comes out with null attributes.
     policy 1 replaces: attributes present in ``over`` win, arrays as a whole.

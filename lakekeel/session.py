@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "lakekeel", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the operators rely on; cluster settings win over none of ours."""
+    """A session with the settings the operators rely on; ``conf`` adds to them or replaces them."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -20,6 +21,8 @@ def build_session(app: str = "lakekeel", master: str | None = None, **conf) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # state of streaming aggregates on disk, so that it may outgrow the memory of an executor
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         **conf,
     }
     for k, v in settings.items():
@@ -27,6 +30,11 @@ def build_session(app: str = "lakekeel", master: str | None = None, **conf) -> S
     return b.getOrCreate()
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="lakekeel-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -38,8 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        path = os.environ.get("LAKEKEEL_LOCAL_DIR") or tempfile.mkdtemp(prefix="lakekeel-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        path = _local_dir()
     return path
 
 
