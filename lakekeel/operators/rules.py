@@ -147,21 +147,24 @@ def with_translations(objects: DataFrame, translations: DataFrame, cultures: Dat
     ).drop("__t_names")
 
 
-def with_parent(objects: DataFrame, children: DataFrame | None = None) -> DataFrame:
+def with_parent(
+    objects: DataFrame, children: DataFrame | None = None, count_partitions: bool = True
+) -> DataFrame:
     """Add name, type and visibility of the parent, and how many partitions it has.
 
     ``children`` limits the rows that are returned; parents are looked up among all ``objects``.
     """
     children = objects if children is None else children
-    parts = objects.filter("object_type = 'Partition' AND parent_id IS NOT NULL")
-    sizes = parts.groupBy(F.col("parent_id").alias("object_id")).agg(F.count("*").alias("n_siblings"))
-    parents = objects.join(sizes, "object_id", "left").select(
+    parents = objects.select(
         F.col("object_id").alias("parent_id"),
         F.col("name").alias("parent_name"),
         F.col("object_type").alias("parent_type"),
         F.col("is_visible").alias("parent_visible"),
-        "n_siblings",
     )
+    if count_partitions:
+        parts = objects.filter("object_type = 'Partition' AND parent_id IS NOT NULL")
+        sizes = parts.groupBy("parent_id").agg(F.count("*").alias("n_siblings"))
+        parents = parents.join(sizes, "parent_id", "left")
     return lookup_join(children, parents, "parent_id")
 
 
@@ -400,7 +403,7 @@ def check_coverage(objects: DataFrame, translations: DataFrame, cultures: DataFr
     Counts the cultures that have one, so no object-culture pairs are built.
     """
     level = F.coalesce(F.col("object_type") == "Level", F.lit(False))
-    levels = with_parent(objects, objects.filter(level)).select(*objects.columns, "parent_visible")
+    levels = with_parent(objects, objects.filter(level), count_partitions=False).select(*objects.columns, "parent_visible")
     rest = objects.filter(~level).withColumn("parent_visible", F.lit(None).cast("boolean"))
     return violations(with_translations(levels.unionByName(rest), translations, cultures), COVERAGE_RULES)
 
@@ -442,10 +445,11 @@ def check_single_use(objects: DataFrame, usage: DataFrame, relationships: DataFr
 def check_references(objects: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Rules on references and division in expressions.
 
-    Without a table of resolved references they are taken from the expression text.
+    Without a table of resolved references they are taken from the expression text, once: the short list of
+    references is staged.
     """
     if references is None:
-        references = resolve_references(extract_references(objects), objects)
+        references = resolve_references(stage(extract_references(objects), "references"), objects)
     linked = violations(with_references(objects, references), REFERENCE_RULES)
     return linked.unionByName(violations(objects, ["DAX_DIVISION_COLUMNS"]))
 
