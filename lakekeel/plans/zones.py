@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ def land(df: DataFrame, path: str, source: str) -> DataFrame:
 
 def split_rejects(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that pass every check, and the others with the names of the failed checks."""
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()]))
-    rows = df.withColumn("_failed", failed)
-    return rows.filter(F.size("_failed") == 0).drop("_failed"), rows.filter(F.size("_failed") > 0)
+    passed = {name: F.coalesce(ok, F.lit(False)) for name, ok in checks.items()}
+    every = reduce(lambda a, b: a & b, passed.values())
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in passed.items()]))
+    return df.filter(every), df.filter(~every).withColumn("_failed", failed)
 
 
 def line_checks() -> dict[str, Column]:
