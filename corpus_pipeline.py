@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.llm import bpe, decontaminate, lines, quality, simhash
-from lakekeel.llm.queries import QUERIES, table, vocabulary_path
+from lakekeel.llm.queries import table, vocabulary_path
 from lakekeel.session import work_path
 
 
@@ -62,6 +62,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.schema(out.schema).parquet(path)
 
     return functools.reduce(step, STAGES, table(spark, sf_dir, "documents"))
-
-
-QUERIES["pipeline"] = run
