@@ -23,8 +23,11 @@ def con():
     return c
 
 
+BOUND = {k: f for k, f in entry.queries().items() if k not in entry.TEXT_QUERIES}
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(BOUND) == set(entry.oracle_sql()) - set(entry.TEXT_ORACLES)
 
 
 def test_entry_has_rows(spark):
@@ -32,7 +35,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted({*BOUND, *entry.TEXT_ORACLES}))
 def test_query_equals_sql(spark, con, key):
     _, verdict = compare(spark, con, key, entry.queries()[key], entry.oracle_sql()[key], SF)
     assert verdict == "ok"
