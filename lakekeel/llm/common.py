@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekeel.session import stage
@@ -31,6 +31,12 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def first_of(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """The first whole row per key; each map task sends on one row per key at most."""
+    at = fresh(df, "__rn")
+    return df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(at) == 1).drop(at)
+
+
 def small_side(df: DataFrame, label: str, rows: int = 200_000) -> DataFrame:
     """``df``, staged, as the small side of a join: with a broadcast hint if it has at most ``rows`` rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakekeel.llm.common import let, small_side, words
+from lakekeel.llm.common import fresh, let, small_side, words
 from lakekeel.session import stage
 
 SYMBOLS = "#*$%&|<>"
@@ -118,8 +118,9 @@ def keep_good(documents: DataFrame, host: str = "source", limit: float = HOST_LI
     """
     slim = documents.select("text", F.col(host).alias("host"))
     failed = stage(document_stats(slim).select("host", "base_failed"), "quality")
+    name = fresh(documents, "__host")
     bad = small_side(
-        host_verdicts(failed, "host", limit).filter("host_rejected").select(F.col("host").alias("__host")), "hosts")
+        host_verdicts(failed, "host", limit).filter("host_rejected").select(F.col("host").alias(name)), "hosts")
     good = document_stats(documents.select(*[F.col(c).alias(f"__{c}") for c in documents.columns], "text"))
     good = good.filter(~F.col("base_failed")).select(*[F.col(f"__{c}").alias(c) for c in documents.columns])
-    return good.join(bad, F.col(host) == F.col("__host"), "left_anti")
+    return good.join(bad, F.col(host) == F.col(name), "left_anti")

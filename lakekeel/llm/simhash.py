@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakekeel.llm.common import components
-from lakekeel.plans.skew import first_per_key
+from lakekeel.llm.common import components, first_of, fresh
 from lakekeel.session import stage
 
 SHINGLE = 4  # words
@@ -263,8 +262,9 @@ def one_per_group(documents: DataFrame, **settings) -> DataFrame:
     found = near_duplicates(documents, **settings)
     ids = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = documents.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select(*documents.columns)
-    once = first_per_key(named, "doc_id", [F.xxhash64("text")])
-    orphans = found.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    once = first_of(named, "doc_id", F.xxhash64("text"))
+    fp, root = fresh(documents, "__fp"), fresh(documents, "__root")
+    orphans = found.filter("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
     shingle = settings.get("shingle", SHINGLE)
     at = documents.columns.index("text")
 
@@ -272,8 +272,8 @@ def one_per_group(documents: DataFrame, **settings) -> DataFrame:
         for batch in batches:
             texts = (v.encode() if (v := t.as_py()) is not None else None for t in batch.column(at))
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, fp])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("__fp", T.LongType())])
-    loose = documents.filter("doc_id is null").mapInArrow(mark, schema).join(orphans.distinct(), "__fp")
-    return once.unionByName(first_per_key(loose, "__root", ["__fp", F.xxhash64("text")]).drop("__fp", "__root"))
+    schema = T.StructType([*documents.schema.fields, T.StructField(fp, T.LongType())])
+    loose = documents.filter("doc_id is null").mapInArrow(mark, schema).join(orphans, fp)
+    return once.unionByName(first_of(loose, root, F.xxhash64("text")).drop(fp, root))
