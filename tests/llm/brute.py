@@ -119,9 +119,10 @@ def dropped_lines(documents, bits=2, similarity=0.8):
     sims = {" ".join(w): line_simhash(w) for _, t in docs for w in map(line_words, t.split("\n")) if w}
 
     def linked(a, b):
-        longer = max(len(a), len(b))
-        return ((sims[a] ^ sims[b]).bit_count() <= bits
-                and levenshtein(a, b) <= int(longer * (1 - similarity) + 1e-9))
+        if (sims[a] ^ sims[b]).bit_count() > bits:
+            return False
+        x, y = a.split(" "), b.split(" ")
+        return levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
 
     root = groups(norms, linked)
     first, out = {}, defaultdict(list)
