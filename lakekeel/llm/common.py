@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakekeel.plans.skew import lookup_join
 from lakekeel.session import stage
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,6 +32,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def long_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """The column as a long; one that is a long already stays bare, so that equal plans look equal to Spark."""
+    return F.col(name) if dict(df.dtypes)[name] == "bigint" else F.col(name).cast("bigint").alias(name)
+
+
 def first_of(df: DataFrame, key: str, order: Column) -> DataFrame:
     """The first whole row per key; each map task sends on one row per key at most."""
     at = fresh(df, "__rn")
@@ -54,8 +60,9 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps. Every step hands out at most one row per link, each round is
-    written to the shared folder, and the driver sees one count and one checksum per round. Loops and repeated
+    Alternating large-star and small-star steps. Every step hands out at most one row per link, the links of a node
+    with very many are spread over tasks, each round is written to the shared folder, and the driver sees one count
+    and one checksum per round. Loops and repeated
     links do no harm; null ends are dropped. An empty table gives an empty table.
     """
     now = stage(
@@ -66,9 +73,9 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = lookup_join(both, low, "a", "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = lookup_join(large, low, "a", "inner").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), label)
         after = _state(now)
         if after == seen:
