@@ -18,8 +18,8 @@ def expected_grid(spark, sf):
     """
     WITH l AS (SELECT c_custkey, c_mktsegment || '.' || c_nationkey AS unique_name FROM customer),
     r AS (SELECT unique_name, arg_max(o_orderkey, o_orderkey) AS connection_id FROM (
-            SELECT o_orderkey, c_mktsegment || '.' || c_nationkey AS unique_name
-            FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000) GROUP BY 1),
+            SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN c_mktsegment ELSE 'none' END || '.' || c_nationkey AS unique_name
+            FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1),
     f AS (SELECT unique_name, min(c_custkey) AS c_custkey FROM l GROUP BY 1)
     SELECT l.c_custkey, l.unique_name, r.connection_id
     FROM l LEFT JOIN f USING (unique_name, c_custkey) LEFT JOIN r ON r.unique_name = f.unique_name
@@ -28,10 +28,13 @@ def expected_grid(spark, sf):
 def attach_first_match(spark, sf):
     name = F.concat("c_mktsegment", F.lit("."), "c_nationkey").alias("unique_name")
     customer = table(spark, sf, "customer").select("c_custkey", name)
-    orders = table(spark, sf, "orders").filter("o_totalprice > 450000").join(
-        customer, F.col("o_custkey") == F.col("c_custkey")
+    orders = table(spark, sf, "orders").join(
+        table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
-    right = orders.select("unique_name", "o_orderkey", F.col("o_orderkey").alias("connection_id"))
+    segment = F.when(F.col("o_totalprice") > 450000, F.col("c_mktsegment")).otherwise("none")
+    right = orders.select(
+        F.concat(segment, F.lit("."), "c_nationkey").alias("unique_name"), "o_orderkey",
+        F.col("o_orderkey").alias("connection_id"))
     return J.attach_first_match(customer, right, "unique_name", "connection_id", "c_custkey", "o_orderkey")
 
 
@@ -203,15 +206,16 @@ def resolve_from_earlier(spark, sf):
 
 
 CI = """
-    ref AS (SELECT lower('CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS k, min(o_orderkey) AS order_id
-            FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+    ref AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'customer#' ELSE 'other#' END
+                   || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS k, min(o_orderkey) AS order_id FROM orders GROUP BY 1)
 """
 
 
 def _lookup_ci(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_name")
-    ref = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
-        F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("ref_name"),
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "CUSTOMER#").otherwise("Other#")
+    ref = table(spark, sf, "orders").select(
+        F.concat(kind, F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("ref_name"),
         F.col("o_orderkey").alias("order_id"),
     )
     return J.lookup_ci(customer, ref, "c_name", "ref_name", "order_id")

@@ -197,15 +197,16 @@ def usage(spark, sf):
             F.when((F.col("l_tax") > 0.07) & (F.col("l_quantity") > 40), "perspective"),
         ))).alias("kind"),
     )
+    # uses of kinds that no rule asks for keep every row in play
     from_events = events.select(
         F.concat(F.lit("C"), "user_id").alias("object_id"),
-        _cases((F.col("event_type") == "signup", "sort_by"), (F.col("event_type") == "purchase", "hierarchy"),
-               otherwise="variation").alias("kind"),
-        "value",
-    ).filter("value > 40").drop("value")
-    from_orders = orders.filter("o_totalprice > 400000").select(
+        _cases((F.coalesce(F.col("value"), F.lit(0.0)) <= 40, "seen"), (F.col("event_type") == "signup", "sort_by"),
+               (F.col("event_type") == "purchase", "hierarchy"), otherwise="variation").alias("kind"),
+    )
+    from_orders = orders.select(
         F.concat(F.lit("M"), "o_custkey").alias("object_id"),
-        _cases((F.col("o_orderstatus") == "P", "perspective"), otherwise="reference").alias("kind"),
+        _cases((F.col("o_totalprice") <= 400000, "seen"), (F.col("o_orderstatus") == "P", "perspective"),
+               otherwise="reference").alias("kind"),
     )
     return from_lines.unionByName(from_events).unionByName(from_orders)
 
@@ -215,10 +216,10 @@ USAGE = """
         SELECT 'C' || l_partkey AS object_id, 'reference' AS kind FROM lineitem WHERE l_quantity > 49
         UNION ALL SELECT 'C' || l_partkey, 'relationship' FROM lineitem WHERE l_discount > 0.09 AND l_quantity < 5
         UNION ALL SELECT 'C' || l_partkey, 'perspective' FROM lineitem WHERE l_tax > 0.07 AND l_quantity > 40
-        UNION ALL SELECT 'C' || user_id, CASE event_type WHEN 'signup' THEN 'sort_by' WHEN 'purchase' THEN 'hierarchy'
-                  ELSE 'variation' END FROM events WHERE value > 40
-        UNION ALL SELECT 'M' || o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'perspective' ELSE 'reference' END
-                  FROM orders WHERE o_totalprice > 400000)
+        UNION ALL SELECT 'C' || user_id, CASE WHEN coalesce(value, 0) <= 40 THEN 'seen' WHEN event_type = 'signup' THEN 'sort_by'
+                  WHEN event_type = 'purchase' THEN 'hierarchy' ELSE 'variation' END FROM events
+        UNION ALL SELECT 'M' || o_custkey, CASE WHEN o_totalprice <= 400000 THEN 'seen' WHEN o_orderstatus = 'P'
+                  THEN 'perspective' ELSE 'reference' END FROM orders)
 """
 
 
@@ -227,63 +228,62 @@ def cultures(spark, sf):
 
 
 def translations(spark, sf):
-    """One row per object and culture: the first line of the part by (order, line, price)."""
-    line = F.col("l_linenumber")
-    culture = _cases((line == 1, "de"), (line == 2, "en"), (line == 3, "es"), (line == 4, "fr"))
-    lines = table(spark, sf, "lineitem").filter("l_linenumber <= 4 AND l_quantity > 35").select(
+    """Translations of parts by their lines: repeated rows of an object and culture, and cultures not listed."""
+    line, few = F.col("l_linenumber"), F.col("l_quantity") <= 35
+    culture = _cases((few, "xx"), (line == 1, "de"), (line == 2, "en"), (line == 3, "es"), (line == 4, "fr"), otherwise="yy")
+    lines = table(spark, sf, "lineitem").select(
         culture.alias("culture"),
         F.concat(F.lit("C"), "l_partkey").alias("object_id"),
-        F.struct("l_extendedprice", "l_orderkey").alias("ord"),
         _cases((F.col("l_tax") < 0.02, ""), (F.col("l_returnflag") == "R", F.concat(F.lit("Brand#"), (F.col("l_quantity") - 30).cast("int"))),
                otherwise="translated").alias("t_name"),
         _cases((F.col("l_tax") < 0.05, "text")).alias("t_description"),
         _cases((F.col("l_discount") < 0.06, "folder"), otherwise="").alias("t_folder"),
     )
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(
-        F.col("lang").alias("culture"),
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+        _cases((F.col("quality") == 1, F.col("lang")), otherwise="zz").alias("culture"),
         F.concat(F.lit("D"), "doc_id").alias("object_id"),
         F.col("source").alias("t_name"),
         F.lit("x").alias("t_description"),
         F.lit(None).cast("string").alias("t_folder"),
     )
-    names = ["t_name", "t_description", "t_folder"]
-    one = lines.groupBy("culture", "object_id").agg(F.min_by(F.struct(*names), "ord").alias("v"))
-    return one.select("culture", "object_id", "v.*").unionByName(docs)
+    return lines.unionByName(docs)
 
 
 TRANSLATIONS = """
     cultures AS (SELECT DISTINCT lang AS culture FROM documents),
     translations AS (
-        SELECT culture, object_id, v.t_name AS t_name, v.t_description AS t_description, v.t_folder AS t_folder FROM (
-            SELECT CASE l_linenumber WHEN 1 THEN 'de' WHEN 2 THEN 'en' WHEN 3 THEN 'es' ELSE 'fr' END AS culture,
-                   'C' || l_partkey AS object_id,
-                   arg_min({'t_name': CASE WHEN l_tax < 0.02 THEN '' WHEN l_returnflag = 'R'
-                                           THEN 'Brand#' || CAST(l_quantity - 30 AS INTEGER) ELSE 'translated' END,
-                            't_description': CASE WHEN l_tax < 0.05 THEN 'text' END,
-                            't_folder': CASE WHEN l_discount < 0.06 THEN 'folder' ELSE '' END},
-                           (l_extendedprice, l_orderkey)) AS v
-            FROM lineitem WHERE l_linenumber <= 4 AND l_quantity > 35 GROUP BY 1, 2)
+        SELECT CASE WHEN l_quantity <= 35 THEN 'xx' WHEN l_linenumber = 1 THEN 'de' WHEN l_linenumber = 2 THEN 'en'
+                    WHEN l_linenumber = 3 THEN 'es' WHEN l_linenumber = 4 THEN 'fr' ELSE 'yy' END AS culture,
+               'C' || l_partkey AS object_id,
+               CASE WHEN l_tax < 0.02 THEN '' WHEN l_returnflag = 'R'
+                    THEN 'Brand#' || CAST(l_quantity - 30 AS INTEGER) ELSE 'translated' END AS t_name,
+               CASE WHEN l_tax < 0.05 THEN 'text' END AS t_description,
+               CASE WHEN l_discount < 0.06 THEN 'folder' ELSE '' END AS t_folder
+        FROM lineitem
         UNION ALL
-        SELECT lang, 'D' || doc_id, source, 'x', NULL FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+        SELECT CASE WHEN quality = 1 THEN lang ELSE 'zz' END, 'D' || doc_id, source, 'x', NULL
+        FROM documents JOIN labels USING (doc_id))
 """
 
 
 def relationships(spark, sf):
-    status = F.col("o_orderstatus")
-    return table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+    """Every order; the urgent ones tie known columns and tables, the others ones that no object has."""
+    status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
+    return table(spark, sf, "orders").select(
         F.concat(F.lit("R"), "o_orderkey").alias("rel_id"),
-        F.concat(F.lit("Fact"), F.year("o_orderdate")).alias("from_table"),
+        F.concat(F.when(urgent, "Fact").otherwise("Log"), F.year("o_orderdate")).alias("from_table"),
         _cases((status == "F", "Key"), (status == "O", "OrderKey"), otherwise="KeyOrder").alias("from_column"),
-        F.concat(F.lit("T"), "o_custkey").alias("to_table"),
+        F.concat(F.when(urgent, "T").otherwise("L"), "o_custkey").alias("to_table"),
         F.lit("Key").alias("to_column"),
-        F.concat(F.lit("C"), "o_custkey").alias("from_column_id"),
+        F.concat(F.when(urgent, "C").otherwise("X"), "o_custkey").alias("from_column_id"),
     )
 
 
 RELATIONSHIPS = """
     relationships AS (
-        SELECT 'R' || o_orderkey AS rel_id, 'Fact' || year(o_orderdate) AS from_table,
+        SELECT 'R' || o_orderkey AS rel_id, CASE WHEN urgent THEN 'Fact' ELSE 'Log' END || year(o_orderdate) AS from_table,
                CASE o_orderstatus WHEN 'F' THEN 'Key' WHEN 'O' THEN 'OrderKey' ELSE 'KeyOrder' END AS from_column,
-               'T' || o_custkey AS to_table, 'Key' AS to_column, 'C' || o_custkey AS from_column_id
-        FROM orders WHERE o_orderpriority = '1-URGENT')
+               CASE WHEN urgent THEN 'T' ELSE 'L' END || o_custkey AS to_table, 'Key' AS to_column,
+               CASE WHEN urgent THEN 'C' ELSE 'X' END || o_custkey AS from_column_id
+        FROM (SELECT *, o_orderpriority = '1-URGENT' AS urgent FROM orders))
 """

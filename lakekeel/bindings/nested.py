@@ -143,6 +143,35 @@ def apply_find_replace(spark, sf):
     return N.apply_find_replace(docs, "text", mapping, "tst")
 
 
+@query(
+    "apply_many_replacements",
+    """
+    WITH r AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS f, min(o_orderkey) AS k FROM orders GROUP BY 1)
+    SELECT c_custkey, CASE WHEN k IS NULL THEN c_name ELSE replace(c_name, f, 'K' || k) END AS text
+    FROM customer LEFT JOIN r ON f = c_name[-9:]
+    """,
+)
+def apply_many_replacements(spark, sf):
+    """One entry per order; in every text the first entry that fits leaves nothing for the later ones."""
+    mapping = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ord"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("find_value"),
+        F.create_map(F.lit("tst"), F.concat(F.lit("K"), "o_orderkey")).alias("replace_value"))
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("text"))
+    return N.apply_find_replace(customer, "text", mapping, "tst")
+
+
+@query(
+    "malformed",
+    "SELECT event_id FROM events WHERE event_type = 'click' OR event_type = 'error'",
+)
+def malformed(spark, sf):
+    """Some texts lose their last character, others get one more value."""
+    events = table(spark, sf, "events")
+    text = F.when(F.col("event_type") == "click", F.expr("left(props, length(props) - 1)")).when(
+        F.col("event_type") == "error", F.concat("props", F.lit(" 1"))).otherwise(F.col("props"))
+    return N.malformed(events.select("event_id", text.alias("t")), "t").select("event_id")
+
+
 @query(
     "rewrite_quoted_head",
     r"""

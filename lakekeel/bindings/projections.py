@@ -169,6 +169,33 @@ def classify_first_match(spark, sf):
     return P.classify_first_match(docs, "text", P.rule_frame(spark, TEXT_RULES)).select("doc_id", "label")
 
 
+def _order_rules(spark, sf, n):
+    """The first orders by number as rules: the padded customer number is the needle."""
+    first = table(spark, sf, "orders").orderBy("o_orderkey").limit(n)
+    return first.select(
+        F.col("o_orderkey").alias("ord"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("needle"),
+        F.concat("o_orderstatus", "o_orderkey").alias("label"))
+
+
+def _many_rules(n):
+    @query(
+        f"classify_rules_{n}",
+        f"""
+        WITH r AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS needle, o_orderstatus || o_orderkey AS label
+                   FROM orders ORDER BY o_orderkey LIMIT {n}),
+        f AS (SELECT needle, arg_min(label, o_orderkey) AS label FROM r GROUP BY 1)
+        SELECT c_custkey, label FROM customer LEFT JOIN f ON needle = c_name[-9:]
+        """,
+    )
+    def classify(spark, sf):
+        customer = table(spark, sf, "customer").select("c_custkey", "c_name")
+        return P.classify_first_match(customer, "c_name", _order_rules(spark, sf, n)).select("c_custkey", "label")
+
+
+for _n in (257, 1000, 10_000):  # at the last one the rules no longer fit one block with room to spare
+    _many_rules(_n)
+
+
 @query(
     "classify_resource",
     """
@@ -221,22 +248,25 @@ def match_labels(spark, sf):
     return P.match_labels(names, "name", rules, overlays).select("p_partkey", "label", "overlay")
 
 
+SIGNS = [("license", "scroll"), ("token", "key"), ("heit", "tower"), ("ment", "leaf"), ("ción", "wave"), ("er", "")]
+TINTS = [("ing", "teal"), ("ou", "amber"), ("und", "slate")]
+
+
 @query(
     "match_icons",
     """
     WITH n AS (SELECT doc_id, lower(text) AS n FROM documents)
-    SELECT doc_id, icon AS label, CASE WHEN icon IS NOT NULL THEN
-        CASE WHEN contains(n, 'dev') THEN '#1E90FF' WHEN contains(n, 'tst') THEN '#FFA500'
-             WHEN contains(n, 'prd') THEN '#008000' END END AS overlay
-    FROM (SELECT *, CASE WHEN contains(n, 'prepare') THEN 'Notebook' WHEN contains(n, 'ingest') THEN 'Pipelines'
-            WHEN contains(n, 'orchestrate') THEN 'Dataflow' WHEN contains(n, 'store') THEN 'Lakehouse'
-            WHEN contains(n, 'model') THEN 'Dataset' WHEN contains(n, 'present') THEN 'Report'
-            WHEN contains(n, 'core') THEN 'Links' END AS icon FROM n)
+    SELECT doc_id, nullif(icon, '') AS label, CASE WHEN icon <> '' THEN
+        CASE WHEN contains(n, 'ing') THEN 'teal' WHEN contains(n, 'ou') THEN 'amber'
+             WHEN contains(n, 'und') THEN 'slate' END END AS overlay
+    FROM (SELECT *, CASE WHEN contains(n, 'license') THEN 'scroll' WHEN contains(n, 'token') THEN 'key'
+            WHEN contains(n, 'heit') THEN 'tower' WHEN contains(n, 'ment') THEN 'leaf'
+            WHEN contains(n, 'ción') THEN 'wave' WHEN contains(n, 'er') THEN '' END AS icon FROM n)
     """,
 )
 def match_icons(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = P.match_labels(docs, "text", P.rule_frame(spark, P.ICONS), P.rule_frame(spark, P.COLOURS))
+    rows = P.match_labels(docs, "text", P.rule_frame(spark, SIGNS), P.rule_frame(spark, TINTS))
     return rows.select("doc_id", "label", "overlay")
 
 

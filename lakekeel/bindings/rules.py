@@ -60,7 +60,7 @@ def rules_in_scope(spark, sf):
 
 CAMEL = "[A-Z]([A-Z0-9]*[a-z][a-z0-9]*[A-Z]|[a-z0-9]*[A-Z][A-Z0-9]*[a-z])[A-Za-z0-9]*"
 UNTRANSLATED = """((SELECT count(*) FROM cultures) = 0 OR EXISTS (SELECT 1 FROM translations t
-    WHERE t.object_id = objects.object_id AND (t.t_name = '' OR t.t_name = objects.name)))"""
+    WHERE t.culture IN (SELECT culture FROM cultures) AND t.object_id = objects.object_id AND (t.t_name = '' OR t.t_name = objects.name)))"""
 NAMES_SQL = _union(
     *[
         _hit(rule, 2, f"is_visible AND regexp_matches(name, '{CAMEL}') AND NOT contains(name, ' ') AND {UNTRANSLATED}", kinds)

@@ -66,18 +66,36 @@ NAMES = ["474.HTML", "148.html", "65.html", "471", "685", "Index.html"]
 
 
 @query(
-    "scan_named_text",
+    "named_text",
     """
     SELECT path, regexp_extract(path, '[^/]*$') AS name, html AS text
     FROM (SELECT regexp_replace(url, '[?#].*$', '') AS path, html FROM pages)
     WHERE lower(regexp_extract(path, '[^/]*$')) IN ('474.html', '148.html', '65.html', '471', '685', 'index.html')
     """,
 )
-def scan_named_text(spark, sf):
+def named_text(spark, sf):
     path = F.regexp_replace("url", "[?#].*$", "")
     return scans.named_text(table(spark, sf, "pages"), path, "html", NAMES)
 
 
+@query(
+    "scan_named_text",
+    """
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Notes.TXT' ELSE 'notes.txt' END AS name, html || chr(10) AS text
+    FROM pages WHERE page_id % 3 < 2
+    """,
+)
+def scan_named_text(spark, sf):
+    """Every page is written as a text file of its own; folders carry the names that tell which are read."""
+    out = work_path(spark, "texts")
+    kinds = F.array(F.lit("Notes.TXT"), F.lit("notes.txt"), F.lit("other.txt"))
+    name = F.get(kinds, (F.col("page_id") % 3).cast("int")).alias("name")
+    pages = table(spark, sf, "pages").select(name, F.col("page_id").alias("page"), F.coalesce("html", F.lit("")).alias("html"))
+    pages.repartition("page").write.partitionBy("name", "page").text(out)
+    found = scans.scan_named_text(spark, out, ["NOTES.txt"], r"/name=([^/]+)/")
+    return found.select(F.regexp_extract("path", "/page=([0-9]+)/", 1).cast("bigint").alias("page_id"), "name", "text")
+
+
 @query(
     "pick_source_by_priority",
     """

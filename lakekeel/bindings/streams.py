@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from lakekeel.bindings.registry import query, table
 from lakekeel.plans import zones
 from lakekeel.session import work_path
-from lakekeel.streaming.ingest import ingest_stream
+from lakekeel.streaming.ingest import ingest_stream, landed, landing_schema
 from lakekeel.streaming.sync import current_rows, sync_stream, target_schema
 
 
@@ -13,34 +13,40 @@ def _finish(q):
         raise q.exception()
 
 
-def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    # written as a pattern, so that both one file and a folder of files can be streamed
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parque[t]")
+def _replayed(spark, sf, out):
+    """The events as a stream of several files in several batches: some come again, one file later or much later."""
+    events = table(spark, sf, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int")
+    again = events.filter("event_type IN ('click', 'error')").withColumn("file", part + 1)
+    late = events.filter("event_type = 'signup'").withColumn("file", F.lit(5))
+    files = events.withColumn("file", part).unionByName(again).unionByName(late)
+    files.repartition("file").sortWithinPartitions("file").write.partitionBy("file").parquet(f"{out}/files")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).option(
+        "recursiveFileLookup", True).parquet(f"{out}/files")
 
 
 @query(
     "sync_stream",
     """
-    SELECT user_id, event_id, ts, event_type, value, props, n_changes FROM (
-        SELECT *, count(*) OVER (PARTITION BY user_id) AS n_changes,
-               row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-    WHERE rn = 1
+    SELECT user_id, event_id, ts, event_type, value, props FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
     """,
 )
 def sync_stream_events(spark, sf):
-    stream = _event_stream(spark, sf)
     out = work_path(spark, "sync")
-    _finish(sync_stream(stream, f"{out}/target", "user_id", ["ts", "event_id"], f"{out}/checkpoint"))
-    return current_rows(spark, f"{out}/target", target_schema(stream, "user_id"), "user_id")
+    stream = _replayed(spark, sf, out)
+    _finish(sync_stream(stream, f"{out}/target", "user_id", ["ts", "event_id"], f"{out}/checkpoint",
+                        head="event_id", compact_every=2))
+    rows = current_rows(spark, f"{out}/target", target_schema(stream, "user_id"), "user_id")
+    return rows.drop("n_changes")  # a skipped row keeps the count of when it was written
 
 
-@query("ingest_stream", "SELECT DISTINCT * FROM events")
+@query("ingest_stream", "SELECT * FROM events")
 def ingest_stream_events(spark, sf):
-    stream = _event_stream(spark, sf)
     out = work_path(spark, "ingest")
-    _finish(ingest_stream(stream, f"{out}/landing", "event_id", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/landing").drop("arrived_at")
+    stream = _replayed(spark, sf, out)
+    _finish(ingest_stream(stream, f"{out}/landing", "event_id", "ts", f"{out}/checkpoint"))
+    return landed(spark, f"{out}/landing", landing_schema(stream.schema)).drop("batch_id", "event_date")
 
 
 CHECKED = """

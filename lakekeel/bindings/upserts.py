@@ -40,26 +40,32 @@ SEQ = "CAST(round(l_extendedprice * 100) AS BIGINT) * 100000000 + l_partkey * 10
 @query(
     "keyed_upsert",
     f"""
-    WITH base AS (SELECT o_orderkey AS k, o_orderstatus AS a, o_orderpriority AS b, o_orderkey AS pos
-                  FROM orders WHERE o_orderstatus <> 'F'),
-    c AS (SELECT l_orderkey AS k, l_linestatus AS a, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS b,
+    WITH base AS (SELECT nullif(o_orderkey, first) AS k, o_orderstatus AS a, o_orderpriority AS b, o_orderkey AS pos
+                  FROM orders, (SELECT min(o_orderkey) AS first FROM orders WHERE o_orderstatus <> 'F')
+                  WHERE o_orderstatus <> 'F'),
+    c AS (SELECT CASE WHEN l_linenumber < 7 THEN l_orderkey END AS k, l_linestatus AS a, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS b,
                  {SEQ} AS seq FROM lineitem),
     last AS (SELECT k, arg_max({{'a': a, 'b': b}}, seq) AS v, min(seq) AS first FROM c GROUP BY 1)
     SELECT k, CASE WHEN v IS NULL THEN a ELSE v.a END AS a, CASE WHEN v IS NULL THEN b ELSE v.b END AS b, pos, false AS is_new
-    FROM base LEFT JOIN last USING (k)
-    UNION ALL SELECT k, v.a, v.b, first, true FROM last WHERE k NOT IN (SELECT k FROM base)
+    FROM base LEFT JOIN (SELECT k AS lk, v, first FROM last) ON k IS NOT DISTINCT FROM lk
+    UNION ALL SELECT k, v.a, v.b, first, true FROM last
+              WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k IS NOT DISTINCT FROM last.k)
     """,
 )
 def keyed_upsert(spark, sf):
-    base = table(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(
-        F.col("o_orderkey").alias("k"),
+    open_orders = table(spark, sf, "orders").filter("o_orderstatus <> 'F'")
+    # one base row and many changes have a null key
+    first = open_orders.agg(F.min("o_orderkey")).scalar()
+    base = open_orders.select(
+        F.nullif(F.col("o_orderkey"), first).alias("k"),
         F.col("o_orderstatus").alias("a"),
         F.col("o_orderpriority").alias("b"),
         F.col("o_orderkey").alias("pos"),
     )
     flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
     changes = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("a"), flag.alias("b"), F.expr(SEQ).alias("seq")
+        F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("k"), F.col("l_linestatus").alias("a"),
+        flag.alias("b"), F.expr(SEQ).alias("seq"),
     )
     return U.keyed_upsert(base, changes, "k", "seq")
 
@@ -164,6 +170,83 @@ def overlay_merge_2(spark, sf):
     return _overlay(spark, sf, 2)
 
 
+ITEM = "array<struct<item_name:string,x:bigint,y:bigint,present:array<string>>>"
+
+
+def _item(name, x, y, present=None):
+    return F.struct(F.lit(name).alias("item_name"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"),
+                    (F.lit(None) if present is None else present).cast("array<string>").alias("present"))
+
+
+def _shape(a, b, x, level):
+    deep = F.struct(x.cast("bigint").alias("x")).alias("deep")
+    return F.struct(a.alias("a"), b.alias("b"), deep, level.cast("int").alias("merge_type")).alias("s")
+
+
+def _nested(spark, sf, policy):
+    none, c = F.lit(None), F.col
+    base = table(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(
+        c("o_orderkey").alias("k"),
+        _shape(c("o_orderstatus"), F.when(c("o_totalprice") >= 100000, c("o_orderpriority")), c("o_custkey"), none),
+        F.create_map(F.lit("k1"), "o_orderstatus", F.lit("k2"), "o_orderpriority").alias("m"),
+        F.array(_item("p", c("o_custkey"), c("o_orderkey")), _item("q", c("o_custkey") + 1, none),
+                _item("p", c("o_custkey") + 2, none)).cast(ITEM).alias("items"),
+    )
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.max("l_linestatus").alias("st"), F.min("l_returnflag").alias("lo"),
+        F.max("l_returnflag").alias("hi"))
+    n = c("n")
+    every = F.when(n % 2 == 0, F.array(F.lit("item_name"), F.lit("x"), F.lit("y")))
+    over = lines.select(
+        c("l_orderkey").alias("k"),
+        _shape(F.when(n >= 3, c("st")), c("lo"), F.when(n > 3, n), F.when(n % 7 < 2, n % 7)),
+        F.create_map(F.lit("k2"), F.when(n <= 4, c("lo")), F.lit("k3"), "hi").alias("m"),
+        F.array(_item("q", none, n, every), _item("r", n + 1, n + 2, every), _item("r", n + 3, none, every)).cast(ITEM).alias("items"),
+    )
+    shown = F.array_join(F.transform("items", lambda i: F.concat_ws(
+        ":", i["item_name"], F.coalesce(i["x"].cast("string"), F.lit("-")), F.coalesce(i["y"].cast("string"), F.lit("-")))), ";")
+    pairs = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), ";")
+    return U.overlay_merge(base, over, "k", policy).select(
+        "k", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.deep.x").alias("x"), pairs.alias("m"), shown.alias("items"))
+
+
+def _nested_sql(policy):
+    over_items = "'q:-:' || n || ';r:' || (n + 1) || ':' || (n + 2) || ';r:' || (n + 3) || ':-'"
+    base_items = "'p:' || c || ':' || k || ';q:' || (c + 1) || ':-;p:' || (c + 2) || ':-'"
+    both_items = {
+        0: base_items,
+        1: over_items,
+        2: """'p:' || (c + 2) || ':-;q:' || CASE WHEN n % 2 = 0 THEN '-' ELSE CAST(c + 1 AS VARCHAR) END || ':' || n
+              || ';r:' || (n + 3) || ':' || CASE WHEN n % 2 = 0 THEN '-' ELSE CAST(n + 2 AS VARCHAR) END""",
+    }[policy]
+    base_map, over_map = "'k1=' || st0 || ';k2=' || pr", "'k2=' || CASE WHEN n <= 4 THEN lo ELSE '-' END || ';k3=' || hi"
+    both_map = f"{base_map} || ';k3=-'" if policy == 0 else f"'k1=' || st0 || ';' || {over_map}"
+    level = f"CASE WHEN n % 7 < 2 THEN n % 7 ELSE {policy} END"
+
+    def field(old, new):
+        alone = new if policy else "NULL"
+        return (f"CASE WHEN c IS NULL THEN {alone} WHEN n IS NULL OR {level} = 0 THEN {old} ELSE coalesce({new}, {old}) END")
+
+    def whole(both, old, new):
+        return f"CASE WHEN c IS NULL THEN {new if policy else 'NULL'} WHEN n IS NULL THEN {old} ELSE {both} END"
+
+    return f"""
+    WITH b AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st0, o_orderpriority AS pr,
+                      CASE WHEN o_totalprice >= 100000 THEN o_orderpriority END AS b0 FROM orders WHERE o_orderstatus <> 'F'),
+    o AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linestatus) AS st, min(l_returnflag) AS lo, max(l_returnflag) AS hi
+          FROM lineitem GROUP BY 1)
+    SELECT k, {field('st0', 'CASE WHEN n >= 3 THEN st END')} AS a, {field('b0', 'lo')} AS b,
+           {field('c', 'CASE WHEN n > 3 THEN n END')} AS x, {whole(both_map, base_map, over_map)} AS m,
+           {whole(both_items, base_items, over_items)} AS items
+    FROM b FULL JOIN o USING (k)
+    """
+
+
+for _policy in (0, 1, 2):
+    query(f"overlay_nested_{_policy}", _nested_sql(_policy))(lambda spark, sf, p=_policy: _nested(spark, sf, p))
+
+
 PRINCIPALS = """
     p AS (SELECT o_orderpriority AS role, CASE WHEN o_totalprice < 20000 THEN NULL ELSE o_custkey END AS id,
                  o_orderkey AS ord, o_orderstatus FROM orders)

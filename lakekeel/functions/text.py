@@ -62,11 +62,24 @@ def parse_kv_string(c: Column | str) -> Column:
 
 
 def expand_template(template: Column | str, mapping: Mapping[str, Column | str]) -> Column:
-    """Replace every ``{name}``; text, not a pattern. ``template`` as str is the template itself."""
+    """Replace every ``{name}`` in one go; text, not a pattern. ``template`` as str is the template itself.
+
+    Braces in the values stay as they are. A null value gives null.
+    """
     out = F.lit(template) if isinstance(template, str) else template
-    for name, value in mapping.items():
-        out = F.replace(out, F.lit("{" + name + "}"), _col(value).cast("string"))
-    return out
+    values = {"{" + name + "}": _col(value).cast("string") for name, value in mapping.items()}
+
+    def filled(piece: Column) -> Column:
+        done = piece
+        for name, value in values.items():
+            done = F.when(piece == name, value).otherwise(done)
+        return done
+
+    known = F.lit(True)
+    for value in values.values():
+        known = known & value.isNotNull()
+    pieces = F.split(out, r"(?=\{)|(?<=\})", -1)
+    return F.when(known & out.isNotNull(), F.array_join(F.transform(pieces, filled), ""))
 
 
 def unique_name(name: Column | str, kind: Column | str) -> Column:
@@ -106,6 +119,7 @@ def strip_noise(text: Column | str, prefixes: Sequence[str]) -> Column:
     return F.array_join(F.filter(F.split(strip(text), LINE_END, -1), keep), "\n")
 
 
+# The two text forms below define what is rewritten.
 def quoted_head(text: Column | str, value: str) -> Column:
     """Swap the quoted string that opens the text if ``meta [`` follows it; other texts stay unchanged."""
     safe = value.replace("\\", "\\\\").replace("$", "\\$")

@@ -12,30 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.bounded import rows_within
 from lakekeel.plans.skew import as_list, distinct_keys, first_per_key, lookup_join
+from lakekeel.session import stage
 
 
-def expected_grid(left: DataFrame, right: DataFrame, bound: int = 1000) -> DataFrame:
+GRID_ROWS = 1000  # right rows that a left row meets in one array
+
+
+def expected_grid(left: DataFrame, right: DataFrame, rows: int = GRID_ROWS) -> DataFrame:
     """Each left row with each right row, as layers with environments.
 
-    The right side is fanned out from arrays of at most ``bound`` rows. A longer one is cut into several
-    arrays, which the left rows reach through an equi-join on the array number.
+    The right side is packed into arrays of at most about ``rows`` rows, numbered as they are staged; every left row
+    names all the numbers and reaches the arrays through an equi-join. The same plan for any size.
     """
-    packed = F.struct(*right.columns)
-    if rows_within(right, bound) is not None:
-        grid = right.agg(F.collect_list(packed).alias("g")).scalar()
-        rows = left.withColumn("__r", F.explode(grid))
-    else:
-        from lakekeel.sources.sinks import assign_identity
-
-        pos = assign_identity(right, right.columns, name="__pos", start=0)
-        cut = pos.withColumn("__cut", F.floor(F.col("__pos") / bound).cast("int"))
-        arrays = cut.groupBy("__cut").agg(F.collect_list(packed).alias("__rows"))
-        cuts = -(-right.count() // bound)
-        spread = left.withColumn("__cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-        rows = lookup_join(spread, arrays, "__cut", "inner").withColumn("__r", F.explode("__rows"))
-    return rows.select(*left.columns, *[F.col("__r")[c].alias(c) for c in right.columns])
+    numbered = stage(right.withColumn("__at", F.monotonically_increasing_id()), "grid")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    arrays = numbered.groupBy(part.alias("__part"), F.floor(place / rows).alias("__nth")).agg(
+        F.collect_list(F.struct(*right.columns)).alias("__rows"))
+    arrays = arrays.withColumn("__cut", F.concat_ws("-", "__part", "__nth")).select("__cut", "__rows")
+    cuts = numbered.agg(F.collect_set(F.concat_ws("-", part, F.floor(place / rows)))).scalar()
+    met = left.withColumn("__cuts", cuts).withColumn("__cut", F.explode("__cuts")).drop("__cuts")
+    grid = met.join(arrays, "__cut").withColumn("__r", F.explode("__rows"))
+    return grid.select(*left.columns, *[F.col("__r")[c].alias(c) for c in right.columns])
 
 
 def attach_first_match(

@@ -6,13 +6,12 @@ import json
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.bounded import INLINE_ROWS, chunks, rows_within
-from lakekeel.session import stage
+from lakekeel.plans.bounded import BLOCK_ROWS, fold_blocks
 
 
 def _struct_leaves(c: Column, t: T.StructType, prefix: str) -> list[Column]:
@@ -58,10 +57,17 @@ def _json_leaves() -> Callable[[str], Column]:
     def batch(texts: pa.Array) -> pa.Array:
         offsets, paths, values = [0], [], []
         for text in texts.to_pylist():
-            for path, value in leaves(text) if text is not None else ():
+            try:
+                found = list(leaves(text)) if text is not None else None
+            except (ValueError, RecursionError):
+                found = None
+            for path, value in found or ():
                 paths.append(path)
                 values.append(value)
+            # a null offset makes the list itself null: no JSON
             offsets.append(len(paths))
+            if found is None:
+                offsets[-2] = None
         items = pa.StructArray.from_arrays(
             [pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["path", "value"]
         )
@@ -73,16 +79,25 @@ def _json_leaves() -> Callable[[str], Column]:
 def flatten_paths(df: DataFrame, col: str, id: str | Sequence[str]) -> DataFrame:
     """(id, path, value) for every leaf below ``col``, with dotted paths.
 
-    Arrays are leaves, empty objects vanish and null leaves stay. A struct is walked by its schema, in the
-    JVM. JSON text may have any shape and depth, which no built-in expression can walk; it is read once per
-    row, in Arrow batches.
+    Arrays are leaves, empty objects vanish and null leaves stay. A struct is walked by its schema. JSON text of
+    any shape and depth is read once per row, in Arrow batches; the built-in way, a recursive query over
+    ``variant_explode``, goes over the rows once per level of depth. Text that is no JSON gives no rows here: see
+    ``malformed``.
     """
     ids = [id] if isinstance(id, str) else list(id)
     t = df.schema[col].dataType
-    leaves = F.array(*_struct_leaves(F.col(col), t, "")) if isinstance(t, T.StructType) else _json_leaves()(col)
+    if isinstance(t, T.StructType):
+        leaves = F.array(*_struct_leaves(F.col(col), t, ""))
+    else:
+        leaves = _json_leaves()(col)
     return df.select(*ids, F.explode(leaves).alias("__e")).select(*ids, "__e.path", "__e.value")
 
 
+def malformed(df: DataFrame, col: str) -> DataFrame:
+    """The rows whose text ``flatten_paths`` leaves out: neither null nor one JSON value of bearable depth."""
+    return df.filter(F.col(col).isNotNull() & _json_leaves()(col).isNull())
+
+
 def explode_map_of_lists(df: DataFrame, map_col: str, id: str | Sequence[str]) -> DataFrame:
     """(id, key, pos, element) for a map of arrays."""
     ids = [id] if isinstance(id, str) else list(id)
@@ -126,13 +141,12 @@ def valid_bindings(
 
 
 def apply_find_replace(
-    df: DataFrame, text: str, mapping: DataFrame, env: str, bound: int = INLINE_ROWS
+    df: DataFrame, text: str, mapping: DataFrame, env: str, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Apply the replacements of one environment to a text, one after the other and literally.
 
-    mapping(find_value, replace_value map, ord). Entries without the environment are skipped. The mapping is
-    part of the plan while it has at most ``bound`` entries; a longer one is applied in several passes,
-    in the same order, with the text staged in between.
+    mapping(find_value, replace_value map, ord). Entries without the environment are skipped. The ordered entries
+    are read as arrays of at most ``block`` rows, one after the other in one plan; no text is written in between.
     """
     entries = mapping.select(
         F.col("ord").cast("bigint").alias("ord"),
@@ -140,20 +154,11 @@ def apply_find_replace(
         F.element_at("replace_value", F.lit(env)).alias("new_value"),
     ).filter("find_value <> '' AND new_value IS NOT NULL")
 
-    def fold(rows: DataFrame, steps: list[Row]) -> DataFrame:
-        if not steps:
-            return rows
-        ordered = sorted(steps, key=lambda r: r.ord)
-        pairs = F.array(*[F.struct(F.lit(r.find_value).alias("f"), F.lit(r.new_value).alias("r")) for r in ordered])
-        done = F.aggregate(pairs, F.col(text), lambda acc, s: F.replace(acc, s["f"], s["r"]))
+    def replaced(rows: DataFrame, params: Column) -> DataFrame:
+        done = F.aggregate(params, F.col(text), lambda acc, s: F.replace(acc, s["find_value"], s["new_value"]))
         return rows.withColumn(text, done)
 
-    steps = rows_within(entries, bound)
-    if steps is not None:
-        return fold(df, steps)
-    for part in chunks(entries, "ord", bound):
-        df = stage(fold(df, rows_within(part, bound)), "replaced")
-    return df
+    return fold_blocks(df, entries, "ord", ["find_value", "new_value"], replaced, block)
 
 
 def rewrite_quoted_head(df: DataFrame, name: str, text: str, target: str, value: str) -> DataFrame:

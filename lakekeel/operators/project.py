@@ -1,4 +1,4 @@
-"""Projections and filters on one frame. Nothing here shuffles, except over-long rule tables."""
+"""Projections and filters on one frame. Nothing here shuffles the frame."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.bounded import INLINE_ROWS, rows_within
-from lakekeel.plans.skew import first_per_key, lookup_join
+from lakekeel.plans.bounded import BLOCK_ROWS, fold_blocks
 
 
 # Part of a private-link resource id -> resource type, in test order.
@@ -27,17 +26,7 @@ RESOURCE_TYPES = [
     ("Microsoft.Purview/accounts", "account"),
     ("Microsoft.MachineLearningServices/workspaces", "amlworkspace"),
 ]
-# Part of a workspace name -> icon, and environment -> colour, in test order.
-ICONS = [
-    ("prepare", "Notebook"),
-    ("ingest", "Pipelines"),
-    ("orchestrate", "Dataflow"),
-    ("store", "Lakehouse"),
-    ("model", "Dataset"),
-    ("present", "Report"),
-    ("core", "Links"),
-]
-COLOURS = [("dev", "#1E90FF"), ("tst", "#FFA500"), ("prd", "#008000")]
+_HIT = "__hit"
 
 
 def rule_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -94,47 +83,41 @@ def dynamic_reference(
     return rows.withColumn("value", ref)
 
 
-def _first_hit(
-    df: DataFrame, col: Column, rules: DataFrame, out: str, bound: int = INLINE_ROWS
-) -> DataFrame:
-    """Add the label of the first rule (by ``ord``) whose needle is in the text; null without a hit."""
-    rows = rows_within(rules.select("ord", "needle", "label"), bound)
-    if rows is not None:
-        label = F.lit(None).cast("string")
-        for r in sorted(rows, key=lambda r: r.ord, reverse=True):
-            label = F.when(F.contains(col, F.lit(r.needle)), F.lit(r.label)).otherwise(label)
-        return df.withColumn(out, label)
-
-    # Over the bound: look up the substrings of each different text in the rules by equality.
-    key = F.sha2(col, 256)
-    texts = first_per_key(df.select(key.alias("__key"), col.alias("__text")).dropna(), "__key", ["__text"])
-    lengths = rules.agg(F.collect_set(F.length("needle")).alias("n")).scalar()  # one entry per length
-    # one row per text and needle length, so that only the places of one length are in memory at a time
-    texts = texts.withColumn("__n", F.explode(lengths)).filter(F.length("__text") >= F.col("__n"))
-    places = F.sequence(F.lit(1), F.length("__text") - F.col("__n") + 1)
-    grams = F.transform(places, lambda i: F.substring(F.col("__text"), i, F.col("__n")))
-    probes = texts.select("__key", F.explode(F.array_distinct(grams)).alias("needle"))
-    best = first_per_key(rules.select("ord", "needle", "label"), "needle", ["ord"])
-    hits = lookup_join(probes, best, "needle", "inner")
-    labels = hits.groupBy("__key").agg(F.min_by("label", "ord").alias(out))
-    return lookup_join(df.withColumn("__key", key), labels, "__key").drop("__key")
+def _first_hit(df: DataFrame, col: Column, rules: DataFrame, out: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """Add the label of the first rule (by ``ord``) whose needle is in the text; null without a hit.
+
+    Linear in the text and in the number of rules; of the later blocks of a long rule table only rows that no
+    earlier rule has labelled are looked at.
+    """
+    def label_left(rows: DataFrame, params: Column) -> DataFrame:
+        hit = F.get(F.filter(params, lambda r: F.contains(col, r["needle"])), F.lit(0))
+        return rows.withColumn(_HIT, F.when(F.col(_HIT).isNull(), hit).otherwise(F.col(_HIT)))
+
+    kind = rules.schema["ord"].dataType.simpleString()
+    start = df.withColumn(_HIT, F.lit(None).cast(f"struct<__ord:{kind},needle:string,label:string>"))
+    found = fold_blocks(start, rules, "ord", ["needle", "label"], label_left, block)
+    return found.withColumn(out, F.col(_HIT)["label"]).drop(_HIT)
 
 
 def classify_first_match(
-    df: DataFrame, col: str, rules: DataFrame, out: str = "label", bound: int = INLINE_ROWS
+    df: DataFrame, col: str, rules: DataFrame, out: str = "label", block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Label of the first rule whose needle the text contains; case counts, null without a hit."""
-    return _first_hit(df, F.col(col), rules, out, bound)
+    return _first_hit(df, F.col(col), rules, out, block)
 
 
 def match_labels(
-    df: DataFrame, col: str, rules: DataFrame, overlays: DataFrame | None = None, out: str = "label"
+    df: DataFrame,
+    col: str,
+    rules: DataFrame,
+    overlays: DataFrame | Mapping[str, DataFrame] | None = None,
+    out: str = "label",
 ) -> DataFrame:
     """Ordered label rules on the lower-cased text.
 
     The first hit that is not "default" decides; its label "" stands for null. "default" does not stop the
-    search, so it only remains when no other rule hits. ``overlays`` are a second first-match table, used
-    on rows that got a label of their own.
+    search, so it only remains when no other rule hits. ``overlays`` are more first-match tables by the name of
+    their column (one table alone: ``overlay``), used on rows that got a label of their own.
     """
     low = F.lower(col)
     found = _first_hit(df, low, rules.filter("label <> 'default'"), "__stop")
@@ -142,11 +125,10 @@ def match_labels(
     stop = F.col("__stop")
     label = F.when(stop.isNotNull(), F.nullif(stop, F.lit(""))).otherwise(F.col("__default"))
     found = found.withColumn(out, label)
-    if overlays is not None:
-        own = stop.isNotNull() & (stop != "")
-        found = _first_hit(found, low, overlays, "__over").withColumn(
-            "overlay", F.when(own, F.col("__over"))
-        ).drop("__over")
+    own = stop.isNotNull() & (stop != "")
+    more = {"overlay": overlays} if isinstance(overlays, DataFrame) else overlays or {}
+    for name, table in more.items():
+        found = _first_hit(found, low, table, "__over").withColumn(name, F.when(own, F.col("__over"))).drop("__over")
     return found.drop("__stop", "__default")
 
 

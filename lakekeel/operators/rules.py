@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakekeel.functions.text import is_blank, is_empty
-from lakekeel.plans.skew import lookup_join
+from lakekeel.plans.skew import distinct_keys, lookup_join
 from lakekeel.session import stage
 
 
@@ -98,14 +98,17 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 
 
 def rules_in_scope(rules: DataFrame, objects: DataFrame, level: int = MODEL_LEVEL) -> DataFrame:
-    """(rule_id, object_id) for the rules that apply to each object by type and compatibility level."""
+    """(rule_id, object_id) for the rules that apply to each object by type and compatibility level.
+
+    The rules are read as one map from type to rule ids, so the objects are neither shuffled nor joined.
+    """
     kinds = rules.filter(F.col("level") <= level).select(
         "rule_id", F.explode(F.split("scope", ",")).alias("kind")
     )
     kinds = kinds.select("rule_id", F.trim("kind").alias("object_type"))
-    per_type = kinds.groupBy("object_type").agg(F.collect_list("rule_id").alias("__rules"))
-    # few types, so nearly every type is hot: the join spreads them
-    rows = lookup_join(objects.select("object_id", "object_type"), per_type, "object_type", "inner")
+    per_type = kinds.groupBy("object_type").agg(F.collect_list("rule_id").alias("ids"))  # a handful of types
+    by_type = per_type.agg(F.map_from_entries(F.collect_list(F.struct("object_type", "ids"))).alias("m")).scalar()
+    rows = objects.select("object_id", F.try_element_at(by_type, F.col("object_type")).alias("__rules"))
     return rows.select(F.explode("__rules").alias("rule_id"), "object_id")
 
 
@@ -124,27 +127,28 @@ def with_usage(objects: DataFrame, usage: DataFrame) -> DataFrame:
 def with_translations(objects: DataFrame, translations: DataFrame, cultures: DataFrame) -> DataFrame:
     """Add how many cultures there are and how many have a name, description and folder for the object.
 
-    ``exempt_name`` tells whether a translated name is "" or equal to the name. One list of names per
-    object, as long as the cultures.
+    Translations into cultures that are not listed do not count, and repeated rows of an object and culture count
+    once. ``exempt_name`` tells whether a translated name is "" or equal to the name of the object.
     """
-    per_object = translations.groupBy("object_id").agg(
-        *[
-            F.count_if(~is_empty(c)).alias(n)
-            for c, n in (("t_name", "n_names"), ("t_description", "n_descriptions"), ("t_folder", "n_folders"))
-        ],
-        F.collect_set("t_name").alias("__t_names"),
-    )
+    listed = distinct_keys(cultures, "culture").filter("culture IS NOT NULL")
+    counted = {"t_name": "n_names", "t_description": "n_descriptions", "t_folder": "n_folders"}
+    named = translations.join(listed, "culture", "left_semi").join(
+        objects.select("object_id", F.col("name").alias("__name")), "object_id")
+    exempt = (F.col("t_name") == "") | (F.col("t_name") == F.col("__name"))
+    per_culture = named.groupBy("object_id", "culture").agg(
+        *[F.bool_or(~is_empty(c)).alias(n) for c, n in counted.items()],
+        F.bool_or(F.coalesce(exempt, F.lit(False))).alias("exempt_name"))
+    per_object = per_culture.groupBy("object_id").agg(
+        *[F.count_if(n).alias(n) for n in counted.values()], F.bool_or("exempt_name").alias("exempt_name"))
+    n = listed.agg(F.count("*").alias("n")).scalar()
     rows = objects.join(per_object, "object_id", "left")
-    n = cultures.agg(F.count_distinct("culture").alias("n")).scalar()
-    names = F.col("__t_names")
-    exempt = F.array_contains(names, F.lit("")) | F.array_contains(names, F.col("name"))
     return rows.withColumns(
         {
             "n_cultures": n,
-            **{c: F.coalesce(c, F.lit(0)) for c in ("n_names", "n_descriptions", "n_folders")},
-            "exempt_name": F.coalesce(exempt, F.lit(False)),
+            **{c: F.coalesce(c, F.lit(0)) for c in counted.values()},
+            "exempt_name": F.coalesce("exempt_name", F.lit(False)),
         }
-    ).drop("__t_names")
+    )
 
 
 def with_parent(
@@ -168,8 +172,13 @@ def with_parent(
     return lookup_join(children, parents, "parent_id")
 
 
-def with_child_counts(objects: DataFrame, usage: DataFrame | None = None) -> DataFrame:
-    """Add counts of the children of each object: visible ones without folder, and free columns."""
+def with_child_counts(
+    objects: DataFrame, usage: DataFrame | None = None, parents: DataFrame | None = None
+) -> DataFrame:
+    """Add counts of the children of each object: visible ones without folder, and free columns.
+
+    ``parents`` limits the rows that are returned; children are counted among all ``objects``.
+    """
     loose = F.col("is_visible") & is_empty("display_folder")
     kids = objects if usage is None else with_usage(objects, usage)
     counts = [
@@ -181,7 +190,8 @@ def with_child_counts(objects: DataFrame, usage: DataFrame | None = None) -> Dat
         counts.append(F.count_if(free).alias("n_free_columns"))
     per_parent = kids.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(*counts)
     names = [c for c in per_parent.columns if c != "parent_id"]
-    rows = objects.join(per_parent.withColumnRenamed("parent_id", "object_id"), "object_id", "left")
+    rows = (objects if parents is None else parents).join(
+        per_parent.withColumnRenamed("parent_id", "object_id"), "object_id", "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
 
 
@@ -305,7 +315,7 @@ PREDICATES: dict[str, Callable[[], Column]] = {
 
 
 def _failures(rule_ids: Iterable[str], level: int) -> Column:
-    """Array with one entry per rule: its id and severity where it fails, else null."""
+    """Array of the rules that fail, with id and severity."""
     fails = []
     for rule in (BY_ID[r] for r in rule_ids):
         if rule.level <= level:
@@ -313,7 +323,13 @@ def _failures(rule_ids: Iterable[str], level: int) -> Column:
             bad = F.col("object_type").isin(kinds) & PREDICATES[rule.rule_id]()
             hit = F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"))
             fails.append(F.when(bad, hit))
-    return F.array(*fails)
+    return F.array_compact(F.array(*fails))
+
+
+def in_scopes(objects: DataFrame, rule_ids: Iterable[str]) -> DataFrame:
+    """The objects of a type that some of the rules cover: cuts the rows before any join."""
+    kinds = {s.strip() for r in rule_ids for s in BY_ID[r].scope.split(",")}
+    return objects.filter(F.col("object_type").isin(sorted(kinds)))
 
 
 def violations(objects: DataFrame, rule_ids: Iterable[str], level: int = MODEL_LEVEL) -> DataFrame:
@@ -322,7 +338,7 @@ def violations(objects: DataFrame, rule_ids: Iterable[str], level: int = MODEL_L
 
 
 def _exploded_failures(objects: DataFrame, failures: Column) -> DataFrame:
-    hits = objects.select("object_id", F.explode(failures).alias("__v")).filter("__v IS NOT NULL")
+    hits = objects.select("object_id", F.explode(failures).alias("__v"))
     return hits.select("__v.rule_id", "__v.severity", "object_id")
 
 
@@ -367,18 +383,18 @@ def check_predicates(objects: DataFrame, rule_ids: Iterable[str] = ROW_RULES) ->
 
 def check_names(objects: DataFrame, translations: DataFrame, cultures: DataFrame) -> DataFrame:
     """Naming rules; an object with a real translated name is exempt."""
-    return violations(with_translations(objects, translations, cultures), NAME_RULES)
+    return violations(with_translations(in_scopes(objects, NAME_RULES), translations, cultures), NAME_RULES)
 
 
 def check_group_counts(objects: DataFrame, limit: int = FOLDER_LIMIT) -> DataFrame:
     """Tables with more than ``limit`` visible children outside display folders."""
-    rows = with_child_counts(objects).withColumn("folder_limit", F.lit(limit))
+    rows = with_child_counts(objects, parents=in_scopes(objects, COUNT_RULES)).withColumn("folder_limit", F.lit(limit))
     return violations(rows, COUNT_RULES)
 
 
 def check_unused(objects: DataFrame, usage: DataFrame) -> DataFrame:
     """Hidden objects that nothing uses, and visible ones in no perspective although there are some."""
-    rows = with_usage(objects, usage)
+    rows = with_usage(in_scopes(objects, USAGE_RULES), usage)
     return violations(rows.withColumn("has_perspectives", _any_perspective(usage)), USAGE_RULES)
 
 
@@ -394,7 +410,8 @@ def _with_many_side(objects: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def check_key_columns(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     """Visible columns on the many side of a relationship."""
-    return violations(_with_many_side(objects, relationships), ["LAYOUT_HIDE_FK_COLUMNS"])
+    rules = ["LAYOUT_HIDE_FK_COLUMNS"]
+    return violations(_with_many_side(in_scopes(objects, rules), relationships), rules)
 
 
 def check_coverage(objects: DataFrame, translations: DataFrame, cultures: DataFrame) -> DataFrame:
@@ -404,7 +421,7 @@ def check_coverage(objects: DataFrame, translations: DataFrame, cultures: DataFr
     """
     level = F.coalesce(F.col("object_type") == "Level", F.lit(False))
     levels = with_parent(objects, objects.filter(level), count_partitions=False).select(*objects.columns, "parent_visible")
-    rest = objects.filter(~level).withColumn("parent_visible", F.lit(None).cast("boolean"))
+    rest = in_scopes(objects.filter(~level), COVERAGE_RULES).withColumn("parent_visible", F.lit(None).cast("boolean"))
     return violations(with_translations(levels.unionByName(rest), translations, cultures), COVERAGE_RULES)
 
 
@@ -438,8 +455,9 @@ def _with_incoming(objects: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def check_single_use(objects: DataFrame, usage: DataFrame, relationships: DataFrame) -> DataFrame:
     """Tables with at most one free visible column and exactly one incoming relationship."""
-    rows = _with_incoming(with_child_counts(objects, usage), relationships)
-    return violations(rows, ["AVOID_SINGLE_ATTRIBUTE_DIMENSIONS"])
+    rules = ["AVOID_SINGLE_ATTRIBUTE_DIMENSIONS"]
+    rows = _with_incoming(with_child_counts(objects, usage, in_scopes(objects, rules)), relationships)
+    return violations(rows, rules)
 
 
 def check_references(objects: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -450,7 +468,7 @@ def check_references(objects: DataFrame, references: DataFrame | None = None) ->
     """
     if references is None:
         references = resolve_references(stage(extract_references(objects), "references"), objects)
-    linked = violations(with_references(objects, references), REFERENCE_RULES)
+    linked = violations(with_references(in_scopes(objects, REFERENCE_RULES), references), REFERENCE_RULES)
     return linked.unionByName(violations(objects, ["DAX_DIVISION_COLUMNS"]))
 
 
@@ -474,6 +492,11 @@ def _link_flags(
     related = usage.filter("kind = 'relationship'").select("object_id").distinct()
     # free columns: all the visible columns of the table, less those used in relationships
     bound = children.filter(visible & is_column).join(related, "object_id", "left_semi")
+    # a relationship says something about its column and about its table: one reading, two rows
+    ends = relationships.select(F.explode(F.array(
+        F.struct(F.col("from_column_id").alias("object_id"), F.lit(True).alias("on_many_side"), F.lit(None).cast("int").alias("n_incoming")),
+        F.struct(F.col("to_table").alias("object_id"), F.lit(None).cast("boolean").alias("on_many_side"), F.lit(1).alias("n_incoming")),
+    )).alias("e")).select("e.*")
     frames = [
         usage.select("object_id", *[(F.col("kind") == k).alias(f"used_{k}") for k in USAGE_KINDS]),
         references.select(
@@ -481,8 +504,7 @@ def _link_flags(
             ((F.col("to_type") == "Column") & ~qualified).alias("bare_column"),
             ((F.col("to_type") == "Measure") & qualified).alias("qualified_measure"),
         ),
-        relationships.select(F.col("from_column_id").alias("object_id"), F.lit(True).alias("on_many_side")),
-        relationships.select(F.col("to_table").alias("object_id"), F.lit(1).alias("n_incoming")),
+        ends,
         children.select(
             parent,
             one(loose & (is_column | (F.col("object_type") == "Hierarchy"))).alias("n_loose_columns"),
@@ -518,7 +540,7 @@ def run_rules(
     slim = stage(
         objects.withColumns(
             {
-                "own": F.array_compact(_failures(alone, level)),
+                "own": _failures(alone, level),
                 "refs": _references_in("expression") if references is None else F.lit(None).cast("array<string>"),
                 "description": F.when(~is_empty("description"), F.lit("set")),
             }

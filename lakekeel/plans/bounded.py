@@ -1,27 +1,40 @@
-"""Small parameter tables inside expressions, each behind a check of its size."""
+"""Ordered parameter tables inside expressions, a block of bounded size at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INLINE_ROWS = 256
-
-
-def rows_within(df: DataFrame, bound: int = INLINE_ROWS) -> list[Row] | None:
-    """All rows of ``df`` if there are at most ``bound`` of them, else None. Fetches ``bound + 1`` at most."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
-def chunks(df: DataFrame, ord: str, size: int = INLINE_ROWS) -> Iterator[DataFrame]:
-    """``df`` in frames of at most ``size`` rows, following ``ord``. Used when a table is over the bound."""
-    from lakekeel.session import stage
-    from lakekeel.sources.sinks import assign_identity
-
-    numbered = stage(assign_identity(df, ord, name="__pos"), "chunks")
-    total = numbered.agg(F.max("__pos")).first()[0] or 0
-    for lo in range(1, total + 1, size):
-        yield numbered.filter(F.col("__pos").between(lo, lo + size - 1)).drop("__pos")
+BLOCK_ROWS = 10_000  # rows of a parameter table that an expression holds at once
+
+
+def fold_blocks(
+    df: DataFrame,
+    params: DataFrame,
+    ord: str,
+    columns: Sequence[str],
+    step: Callable[[DataFrame, Column], DataFrame],
+    block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``step(df, array)`` for the rows of ``params`` in the order of ``ord``, an array of ``block`` rows at a time.
+
+    Each array is read as a scalar subquery when the query runs. All blocks are steps of one plan: nothing is
+    written or shuffled in between, and the work is proportional to the number of rows in ``params``. Where blocks
+    begin is found by Spark; the driver gets one value for each of them.
+    """
+    slim = params.select(F.col(ord).alias("__ord"), *columns)
+    # the place of a row among the others is needed for more than one block only
+    total = slim.count()
+    starts: list = [None]
+    if total > block:
+        from lakekeel.sources.sinks import assign_identity
+
+        slim = assign_identity(slim, ["__ord", *columns], name="__at", start=0)
+        starts = list(range(0, total, block))
+    for start in starts:
+        part = slim if start is None else slim.filter(F.col("__at").between(start, start + block - 1))
+        rows = part.agg(F.array_sort(F.collect_list(F.struct("__ord", *columns))).alias("rows")).scalar()
+        df = step(df.withColumn("__params", rows), F.col("__params")).drop("__params")
+    return df

@@ -12,10 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakekeel.operators.joins import cross_env_mapping
-from lakekeel.operators.nested import apply_find_replace
+from lakekeel.operators.joins import cross_env_mapping, resolve_bindings, resolve_from_earlier
+from lakekeel.operators.nested import apply_find_replace, valid_bindings
 from lakekeel.operators.project import expand_name_template, filter_layers
 from lakekeel.operators.upsert import keyed_upsert, overlay_merge, reconcile, union_dedupe_priority
+from lakekeel.session import stage
 from lakekeel.sources.sinks import assign_identity
 
 
@@ -56,23 +57,50 @@ def release(
     """Content as it is to be published, and what to create, skip or delete.
 
     content(layer, item, text), mapping(find_value, replace_value, ord), published(layer, logical_id, guid,
-    ord). Each layer sees the mapping and then the ids of the layers released before it.
+    ord). Each layer sees the mapping and then, for every logical id, the guid that the first of the layers
+    released before it has published.
     """
-    rank = {name.strip().lower(): i for i, name in enumerate(layers)}
-    wanted = filter_layers(content, "layer", list(rank))
+    names = [name.strip().lower() for name in layers]
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.lower("layer")).cast("int")
+    wanted = filter_layers(content, "layer", names)
+    known = filter_layers(published, "layer", names).withColumn("at", rank)
+    # an id is a target in every layer; the layers are a handful
+    targets = known.groupBy("logical_id").agg(F.min("ord").alias("id_ord")).withColumn(
+        "target_at", F.explode(F.sequence(F.lit(1), F.lit(len(names)))))
+    first = known.withColumn("place", F.struct("at", "ord")).groupBy("logical_id", "at").agg(F.min_by("guid", "place").alias("guid"))
+    found = stage(
+        resolve_from_earlier(targets, first, "logical_id", "target_at", "at", "guid").filter("guid IS NOT NULL"), "resolved")
     after = mapping.agg(F.coalesce(F.max("ord"), F.lit(0)).cast("bigint")).first()[0]  # one number
     parts = []
-    for layer, at in rank.items():
-        earlier = [name for name, i in rank.items() if i < at]
-        ids = published.filter(F.lower("layer").isin(earlier)).select(
+    for at, layer in enumerate(names, 1):
+        ids = found.filter(F.col("target_at") == at).select(
             F.col("logical_id").alias("find_value"),
             F.create_map(F.lit(environment), "guid").alias("replace_value"),
-            (F.col("ord") + after + 1).alias("ord"),
+            (F.col("id_ord") + after + 1).alias("ord"),
         )
-        known = mapping.select("find_value", "replace_value", F.col("ord").cast("bigint").alias("ord")).unionByName(ids)
-        parts.append(apply_find_replace(wanted.filter(F.lower("layer") == layer), "text", known, environment))
+        steps = mapping.select("find_value", "replace_value", F.col("ord").cast("bigint").alias("ord")).unionByName(ids)
+        parts.append(apply_find_replace(wanted.filter(F.lower("layer") == layer), "text", steps, environment))
     texts = reduce(DataFrame.unionByName, parts)
-    return texts, reconcile(wanted, filter_layers(actual, "layer", list(rank)), ["layer", "item"], remove_orphans)
+    return texts, reconcile(wanted, filter_layers(actual, "layer", names), ["layer", "item"], remove_orphans)
+
+
+def bind_models(
+    definition: DataFrame,
+    layer: str,
+    templates: DataFrame,
+    connections: DataFrame,
+    models: DataFrame,
+    environment: str,
+) -> tuple[DataFrame, DataFrame]:
+    """After a release: the models of a layer with the connection each is bound to, and those that cannot be bound.
+
+    definition(lakehouse_name, lakehouse_ws_layer, layer, semantic_models) holds the bindings as defined; only
+    complete ones of ``layer`` count. The other frames are those of ``resolve_bindings``.
+    """
+    complete = valid_bindings(
+        definition, ["lakehouse_name", "lakehouse_ws_layer", "layer", "semantic_models"], "layer", layer, "semantic_models")
+    one = complete.select("lakehouse_name", "lakehouse_ws_layer", F.array("semantic_models").alias("semantic_models"))
+    return resolve_bindings(one, templates, connections, models, environment)
 
 
 def provision(

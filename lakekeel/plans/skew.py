@@ -1,25 +1,24 @@
 """Joins and row picks that hold up when one key has a third of all rows.
 
-``lookup_join`` joins a large frame to one row per key. Which keys are hot is found with Spark's mergeable
-``approx_top_k`` sketch: one column-pruned pass, partial aggregation in the map tasks and a list of at most
-``TOP`` hashes. The list only decides which keys are spread over several tasks. Every choice of keys gives the
-same rows, so the sketch being approximate never shows in a result.
+``lookup_join`` joins a large frame to one row per key. A right side that Spark will broadcast needs no more than
+that. Otherwise the keys with many rows are counted first, with partial sums in the map tasks, and the short list of
+them is staged: both sides read the same list, so every left row meets its one right row whatever is in it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOP = 1024  # a key is hot from 1/1024 of the rows on, so there are at most 1024 hot keys
-TRACKED = 16384
-SALTS = 64
-MIN_HOT_ROWS = 10_000  # a key with fewer rows is no problem for one task
+from lakekeel.session import stage
 
-_HASH, _SALT, _RN = "__key_hash", "__salt", "__rn"
+ROWS_PER_SALT = 1_000_000  # a key is hot from so many rows on, and gets a salt for each so many
+
+_HASH, _SALT, _SALTS, _RN = "__key_hash", "__salt", "__salts", "__rn"
 
 
 def as_list(names: str | Sequence[str]) -> list[str]:
@@ -42,16 +41,19 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
     return all(kind(left, k) == kind(right, k) for k in keys)
 
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Array of the hashes of the hot keys of ``df``, as a scalar subquery."""
-    top = df.select(key_hash(df, keys).alias(_HASH)).agg(
-        F.expr(f"approx_top_k({_HASH}, {TOP}, {TRACKED})").alias("top"), F.count("*").alias("n")
-    )
-    return top.select(
-        F.expr(
-            f"transform(filter(top, t -> t.count * {TOP} >= n and t.count >= {MIN_HOT_ROWS}), t -> t.item)"
-        ).alias("hot")
-    ).scalar()
+def will_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the size of ``df`` is within its limit for broadcasts."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", limit.lower()).groups()
+    size = int(number) * 1024 ** " kmgtp".index(unit[0]) if unit not in ("", "b") else int(number)
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_salt: int | None = None) -> DataFrame:
+    """(key hash, salts) of the keys with over ``rows_per_salt`` rows, by the share of each."""
+    per_salt = rows_per_salt or ROWS_PER_SALT
+    counts = df.select(key_hash(df, keys).alias(_HASH)).groupBy(_HASH).agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > per_salt).select(_HASH, F.ceil(F.col("n") / per_salt).cast("int").alias(_SALTS))
 
 
 def lookup_join(
@@ -59,25 +61,31 @@ def lookup_join(
     right: DataFrame,
     on: str | Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
     keys_of: DataFrame | None = None,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds at most one row per key (inner, left, left_semi or left_anti).
 
-    Rows of hot left keys are spread by the id of the task that read them, and the one right row of such a
-    key is repeated once per salt. The id is the same when a lost task is run again, and copies of one row
-    in different tasks get different salts. ``keys_of`` is a cheaper frame with the keys of ``left``, for a
-    ``left`` that is itself the result of a join.
+    Rows of hot left keys are spread by the id of the task that read them, over as many salts as the key has
+    shares of ``rows_per_salt`` rows; the one right row of such a key is repeated once per salt. The id is the same
+    when a lost task is run again, and copies of one row in different tasks get different salts. ``keys_of`` is a
+    cheaper frame with the keys of ``left``, for a ``left`` that is itself the result of a join.
     """
     on = as_list(on)
     if not _same_keys(left, right, on):
         raise ValueError(f"cast the join keys {on} to the same types first")
-    hot = hot_key_hashes(left if keys_of is None else keys_of, on)
-    is_hot = F.coalesce(F.array_contains(hot, key_hash(left, on)), F.lit(False))
-    spread = F.when(is_hot, F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.withColumn(_SALT, F.coalesce(spread, F.lit(0)))
-    salted_right = right.withColumn(_SALT, F.explode(copies))
+    if will_broadcast(right):
+        return left.join(right, on, how)
+    hot = stage(hot_keys(left if keys_of is None else keys_of, on, rows_per_salt), "hot")
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn(_HASH, key_hash(df, on)).join(hot, _HASH, "left").drop(_HASH)
+
+    copies = F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1)
+    own = left.withColumn(_SALT, F.spark_partition_id())  # before any shuffle
+    salted_left = marked(own).withColumn(
+        _SALT, F.coalesce(F.pmod(F.xxhash64(_SALT), F.col(_SALTS)).cast("int"), F.lit(0))).drop(_SALTS)
+    salted_right = marked(right).withColumn(_SALT, F.explode(copies)).drop(_SALTS)
     return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)
 
 

@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakekeel.operators.upsert import keyed_upsert
+
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
 
 
 def land(df: DataFrame, path: str, source: str) -> DataFrame:
-    """Raw copy with load columns."""
-    df.withColumns({"_source": F.lit(source), "_loaded_at": F.current_timestamp()}).write.mode(
-        "overwrite"
-    ).parquet(path)
+    """Append a raw copy as a load of its own, with load columns; returns the rows of this load."""
+    load = f"{path}/load={uuid.uuid4().hex[:12]}"
+    df.withColumns({"_source": F.lit(source), "_loaded_at": F.current_timestamp()}).write.parquet(load)
     extra = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_loaded_at", T.TimestampType())])
-    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, *extra.fields])).parquet(path)
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, *extra.fields])).parquet(load)
+
+
+def upsert_base(rows: DataFrame, known: DataFrame | None, path: str, keys: Sequence[str], seq: str) -> DataFrame:
+    """Write the next version of a Base table: ``known`` (its last version, or None) with ``rows`` upserted.
+
+    Rows of an old key replace it whole; of several rows of one key the last by ``seq`` counts. The old version
+    stays readable while the new one is written.
+    """
+    plain = rows.drop(seq)
+    base = plain.limit(0) if known is None else known.select(*plain.columns)
+    placed = base.withColumn("_pos", F.lit(None).cast(rows.schema[seq].dataType))  # the order of rows is of no interest
+    merged = keyed_upsert(placed, rows, keys, seq, "_pos").select(*plain.columns)
+    version = f"{path}/version={uuid.uuid4().hex[:12]}"
+    merged.write.parquet(version)
+    return rows.sparkSession.read.schema(plain.schema).parquet(version)
 
 
 def split_rejects(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -61,18 +78,28 @@ def revenue_by_nation_month(lines: DataFrame, orders: DataFrame, customers: Data
     )
 
 
-def zone_pipeline(sources: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
-    """Landing: raw copies. Base: typed lines, rejects apart. Curated: revenue by nation and month.
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 
-    ``sources`` holds lineitem, orders, customer and nation.
-    """
 
-    def written(df: DataFrame, path: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+def zone_pipeline(
+    sources: Mapping[str, DataFrame], out_dir: str, base: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Landing: raw copies, one load after the other. Base: typed lines, upserted, rejects apart. Curated: revenue.
 
+    ``sources`` holds lineitem, orders, customer and nation; ``base`` is the Base table of the run before. Lines are
+    checked in one pass over the landing, which is written once, by result.
+    """
     landing = {name: land(df, f"{out_dir}/landing/{name}", name) for name, df in sources.items()}
-    good, rejects = split_rejects(landing["lineitem"], line_checks())
+    lines = landing["lineitem"]
+    spark = lines.sparkSession
+    passed = {name: F.coalesce(ok, F.lit(False)) for name, ok in line_checks().items()}
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in passed.items()]))
+    checked = f"{out_dir}/checked/{uuid.uuid4().hex[:12]}"
+    judged = lines.withColumn("_failed", failed).withColumn(
+        "_result", F.when(F.size("_failed") == 0, "passed").otherwise("failed"))
+    judged.write.partitionBy("_result").parquet(checked)
+    known = spark.read.schema(judged.schema).parquet(checked)
+    good = known.filter("_result = 'passed'").drop("_result", "_failed")
     typed = good.withColumns(
         {
             "l_extendedprice": F.col("l_extendedprice").cast(MONEY),
@@ -80,26 +107,41 @@ def zone_pipeline(sources: Mapping[str, DataFrame], out_dir: str) -> dict[str, D
             "l_tax": F.col("l_tax").cast(RATE),
             "l_shipdate": F.col("l_shipdate").cast("date"),
         }
-    )
-    base = written(typed, f"{out_dir}/base/lineitem")
-    revenue = revenue_by_nation_month(base, landing["orders"], landing["customer"], landing["nation"])
+    ).drop("_source")
+    now = upsert_base(typed, base, f"{out_dir}/base/lineitem", LINE_KEY, "_loaded_at")
+    revenue = revenue_by_nation_month(now, landing["orders"], landing["customer"], landing["nation"])
+    curated = f"{out_dir}/curated/revenue"
+    revenue.write.mode("overwrite").parquet(curated)
     return {
-        "landing": landing["lineitem"],
-        "base": base,
-        "rejects": written(rejects, f"{out_dir}/base/lineitem_rejects"),
-        "curated": written(revenue, f"{out_dir}/curated/revenue"),
+        "landing": lines,
+        "base": now,
+        "rejects": known.filter("_result = 'failed'").drop("_result"),
+        "curated": spark.read.schema(revenue.schema).parquet(curated),
     }
 
 
-def deploy_log_metrics(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
+def deploy_log_metrics(events: DataFrame) -> DataFrame:
     """Per event type and day: events, share of the day's events, median and 95th percentile of the value.
 
-    Percentiles use Spark's mergeable sketch: partial results of fixed size instead of all the values.
+    Percentiles are exact: the least value up to which that share of the values lies. Equal values are counted in
+    the map tasks first; the running counts of a type and day go over its distinct values, sorted, not in memory.
     """
-    counts = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("value") > 100).alias("n_slow"),
-        F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95)), accuracy).alias("__p"),
+    kind = ["day", "event_type"]
+    values = events.groupBy(F.to_date("ts").alias("day"), "event_type", "value").agg(F.count("*").alias("c"))
+    known = F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)
+    upto = Window.partitionBy(*kind).orderBy(F.col("value").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    totals = values.groupBy(*kind).agg(F.sum(known).alias("n_known"))  # one row per type and day
+    ranked = values.withColumn("upto", F.sum(known).over(upto)).join(totals, kind)
+
+    def percentile(share: float) -> Column:
+        return F.min(F.when(F.col("upto") >= F.col("n_known") * share, F.col("value")))
+
+    counts = ranked.groupBy(*kind).agg(
+        F.sum("c").alias("n"),
+        F.sum(F.when(F.col("value") > 100, F.col("c")).otherwise(0)).alias("n_slow"),
+        percentile(0.5).alias("p50"),
+        percentile(0.95).alias("p95"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
     )
@@ -111,13 +153,6 @@ def deploy_log_metrics(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
         }
     )
     return days.select(
-        "day",
-        "event_type",
-        "n",
-        "n_slow",
-        (F.col("n_error") / F.col("n_day")).alias("error_share"),
-        F.get("__p", F.lit(0)).alias("p50"),
-        F.get("__p", F.lit(1)).alias("p95"),
-        "min_value",
-        "max_value",
+        "day", "event_type", "n", "n_slow", (F.col("n_error") / F.col("n_day")).alias("error_share"), "p50", "p95",
+        "min_value", "max_value",
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +57,29 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lakekeel/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``staged_tables`` around the job ends, or for good without it.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Around a whole job: removes the tables that ``stage`` has written inside, once the results are written."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _STAGED[before:]

@@ -72,15 +72,15 @@ def named_text(df: DataFrame, path: Column | str, text: str, names: Sequence[str
     )
 
 
-def scan_named_text(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    """Whole text of the files below ``root`` with one of these names, whatever the case."""
+def scan_named_text(spark: SparkSession, root: str, names: Sequence[str], name_regex: str = r"([^/]*)$") -> DataFrame:
+    """Whole text of the files below ``root`` with one of these names, whatever the case.
+
+    The name is the first group of ``name_regex`` in the path: the file name, unless a folder carries it.
+    """
     files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    wanted = [n.lower() for n in names]
-    return files.filter(F.lower("_metadata.file_name").isin(wanted)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("name"),
-        F.col("value").alias("text"),
-    )
+    path = F.col("_metadata.file_path")
+    rows = files.select(path.alias("path"), F.regexp_extract(path, name_regex, 1).alias("name"), F.col("value").alias("text"))
+    return rows.filter(F.lower("name").isin([n.lower() for n in names]))
 
 
 def pick_source_by_priority(

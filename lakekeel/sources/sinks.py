@@ -29,11 +29,16 @@ def _sorted_value(c: Column, t: T.DataType) -> Column:
     return c
 
 
-def write_canonical_json(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Each row as one JSON text: keys sorted at every level, nulls kept. Written to ``path`` if given."""
+def canonical_json(df: DataFrame) -> Column:
+    """The whole row as one JSON text: keys sorted at every level, nulls kept."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
     row = F.struct(*[_sorted_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
-    out = df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def write_canonical_json(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Each row as one JSON text: keys sorted at every level, nulls kept. Written to ``path`` if given."""
+    out = df.select(canonical_json(df).alias("json"))
     if path:
         out.write.text(path)
     return out

@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+BATCH, DAY = "batch_id", "event_date"
+
 
 def ingest_stream(
     stream: DataFrame,
     target_path: str,
     key: str,
+    ts: str,
     checkpoint: str,
-    within: str = "1 day",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append each row once, however often the source delivers it within ``within``.
+    """Append each row once, however often and however late the source delivers it again.
 
-    The window runs on arrival time. Repeats come soon after the first delivery, so the state stays as small
-    as the arrivals of one window; and no row is ever late, however old its event is, so none is dropped.
+    A batch is cut to one row per key, and rows that an earlier batch has landed are left out: an event keeps its
+    date, so only the dates of the batch are looked up, and only their keys are read. A batch owns the folder of its
+    number and overwrites it when it is run again. There is no state to grow and no window to outlive.
     """
-    once = (
-        stream.withColumn("arrived_at", F.current_timestamp())
-        .withWatermark("arrived_at", within)
-        .dropDuplicatesWithinWatermark([key])
-    )
-    writer = once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    schema = landing_schema(stream.schema)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        once = batch.withColumn(DAY, F.to_date(ts)).dropDuplicates([key])
+        folder = f"{target_path}/{BATCH}={batch_id}"
+        if batch_id > 0:
+            days = [r[0] for r in once.select(DAY).distinct().collect()]  # a row per date
+            known = landed(spark, target_path, schema).filter(F.col(BATCH) < batch_id)
+            same_day = F.col(DAY).isin([d for d in days if d is not None])
+            if None in days:
+                same_day = same_day | F.col(DAY).isNull()
+            once = once.join(known.filter(same_day).select(key), key, "left_anti").select(*once.columns)
+        once.write.mode("overwrite").partitionBy(DAY).parquet(folder)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(target_path)
+    return writer.start()
+
+
+def landing_schema(events: T.StructType) -> T.StructType:
+    return T.StructType([*events.fields, T.StructField(BATCH, T.LongType()), T.StructField(DAY, T.DateType())])
+
+
+def landed(spark: SparkSession, target_path: str, schema: T.StructType) -> DataFrame:
+    """All landed rows, with the number of their batch and their date; no rows before the first batch."""
+    return spark.read.schema(schema).option("basePath", target_path).parquet(target_path)

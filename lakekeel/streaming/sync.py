@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakekeel.plans.skew import as_list, first_per_key
+from lakekeel.operators.project import sync_status
+from lakekeel.plans.skew import as_list, first_per_key, lookup_join
 
-BATCH = "batch_id"
+BATCH, BASE = "batch_id", "upto"
 
 
 def sync_stream(
@@ -20,23 +23,39 @@ def sync_stream(
     key: str | Sequence[str],
     ord: str | Sequence[str],
     checkpoint: str,
+    head: str | None = None,
+    compact_every: int = 50,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Write, per micro-batch, the newest row of every key that changed in it.
 
-    The newest row so far is the state of a streaming aggregate, so a batch costs what it brings and never
-    re-reads the target; changes are combined in the map tasks, so a busy key is no hot spot. A batch owns
+    The newest row so far is the state of a streaming aggregate, so changes are combined in the map tasks and a busy
+    key is no hot spot; on conflict the streamed row wins. With ``head``, the column that tells versions apart, a key
+    whose newest row has the head that the target has already is up to date and is not written again. A batch owns
     the folder of its number and overwrites it when it is run again, which makes retries harmless.
+
+    Every ``compact_every`` batches the current rows are written as a new base. From then on readers, and the stream
+    itself, read that base and the batches after it.
     """
     keys, order = as_list(key), as_list(ord)
     rest = [c for c in stream.columns if c not in keys]
     newest = stream.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"), F.count("*").alias("n_changes")
     )
+    schema = target_schema(stream, keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.select(*keys, "__row.*", "n_changes")
+        if head is not None and batch_id > 0:
+            held = current_rows(spark, target_path, schema, keys, before=batch_id).select(
+                *keys, F.col(head).alias("__head"), F.lit(True).alias("__held"))
+            judged = sync_status(lookup_join(rows, held, keys), "__head", head, out="__status")
+            skip = F.col("__held").isNotNull() & (F.col("__status") != "update")
+            rows = judged.filter(~F.coalesce(skip, F.lit(False))).select(*rows.columns)
         rows.write.mode("overwrite").parquet(f"{target_path}/{BATCH}={batch_id}")
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact(spark, target_path, schema, keys, batch_id)
 
     writer = (
         newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -52,14 +71,33 @@ def target_schema(stream: DataFrame, key: str | Sequence[str]) -> T.StructType:
     return T.StructType([*fields, T.StructField("n_changes", T.LongType()), T.StructField(BATCH, T.LongType())])
 
 
-def current_rows(spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str]) -> DataFrame:
-    """The target as of now: the row of the last batch that wrote the key."""
+def _bases(spark: SparkSession, target_path: str) -> list[int]:
+    """Numbers of the batches up to which there is a complete base, in order."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "_SUCCESS").load(f"{target_path}-{BASE}=*").select("path").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(int(re.search(rf"-{BASE}=(\d+)/", r[0])[1]) for r in files)
+
+
+def current_rows(
+    spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str], before: int | None = None
+) -> DataFrame:
+    """The target as of now, or before a batch: the row of the last batch that wrote the key."""
     log = spark.read.schema(schema).option("basePath", target_path).parquet(target_path)
+    if before is not None:
+        log = log.filter(F.col(BATCH) < before)
+    bases = [b for b in _bases(spark, target_path) if before is None or b < before]
+    if bases:
+        kept = spark.read.schema(schema).parquet(f"{target_path}-{BASE}={bases[-1]}")
+        log = log.filter(F.col(BATCH) > bases[-1]).unionByName(kept.withColumn(BATCH, F.lit(bases[-1]).cast("bigint")))
     return first_per_key(log, key, [BATCH], last=True).drop(BATCH)
 
 
-def compact(
-    spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str], out_path: str
-) -> None:
-    """Write the current rows as one table, from which a reader no longer needs the batches."""
-    current_rows(spark, target_path, schema, key).write.parquet(out_path)
+def compact(spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str], upto: int) -> None:
+    """Write the rows as of a batch as a base; the batches up to it are not read any more."""
+    rows = current_rows(spark, target_path, schema, key, before=upto + 1)
+    rows.write.mode("overwrite").parquet(f"{target_path}-{BASE}={upto}")

@@ -12,19 +12,19 @@ LAYER = f"struct<items:map<string,array<{ITEM}>>,permissions:map<string,array<{P
 SCHEMA = f"name string, generic struct<permissions:map<string,array<{PRINCIPAL}>>>, layers map<string,{LAYER}>"
 
 MAIN = """{
-  "name": "Sol - {layer} [{environment}]",
+  "name": "Harbour {layer} ({environment})",
   "generic": {"permissions": {"Admin": [{"type": "Group", "id": "g1"}, {"type": "Group", "id": "g1"}]}},
   "layers": {
-    "Core": {"items": {"SQLDatabase": [{"item_name": "Meta", "connection_name": "Meta [{environment}]"}]}},
-    "Store": {"items": {"Lakehouse": [{"item_name": "Curated"}, {"item_name": "Base"}]},
+    "Quay": {"items": {"Ledger": [{"item_name": "Tides", "connection_name": "Tides ({environment})"}]}},
+    "Depot": {"items": {"Crate": [{"item_name": "Sorted"}, {"item_name": "Raw"}]},
               "permissions": {"Admin": [{"type": "Group", "id": "g1"}, {"type": "WorkspaceIdentity", "name": "Run"}]}}
   }
 }"""
 OVER = """{
   // only what differs
   "layers": {
-    "Core": {"items": {"SQLDatabase": [{"item_name": "Meta", "skip_item_creation": true}]}},
-    "Store": {"items": {"Lakehouse": [{"item_name": "Extra"}]}}
+    "Quay": {"items": {"Ledger": [{"item_name": "Tides", "skip_item_creation": true}]}},
+    "Depot": {"items": {"Crate": [{"item_name": "Spare"}]}}
   }
 }"""
 
@@ -49,22 +49,22 @@ def test_provision_from_files(spark, tmp_path):
     generic = explode_map_of_lists(layers.select("layer", "generic.permissions"), "permissions", "layer")
     own = explode_map_of_lists(layers.select("layer", "body.permissions"), "permissions", "layer")
     shape = ["layer", F.col("key").alias("role"), F.col("element.id").alias("principal_id"), F.col("pos").cast("long").alias("ord")]
-    actual = spark.createDataFrame([("Sol - Store [dev]", "Lakehouse", "Base")], "workspace string, item_type string, item_name string")
+    actual = spark.createDataFrame([("Harbour Depot (dev)", "Crate", "Raw")], "workspace string, item_type string, item_name string")
     got = flows.provision(
         rows.filter("env = 'main'").drop("env"), rows.filter("env = 'dev'").drop("env"),
-        generic.select(*shape), own.select(*shape), actual, "Sol - {layer} [{environment}]", "dev",
+        generic.select(*shape), own.select(*shape), actual, "Harbour {layer} ({environment})", "dev",
     )
     assert sorted((r.workspace, r.item_name, r.connection_name, r.skip_item_creation) for r in got["items"].collect()) == [
-        ("Sol - Core [dev]", "Meta", "Meta [{environment}]", True),
-        ("Sol - Store [dev]", "Base", None, None),
-        ("Sol - Store [dev]", "Curated", None, None),
-        ("Sol - Store [dev]", "Extra", None, None),
+        ("Harbour Depot (dev)", "Raw", None, None),
+        ("Harbour Depot (dev)", "Sorted", None, None),
+        ("Harbour Depot (dev)", "Spare", None, None),
+        ("Harbour Quay (dev)", "Tides", "Tides ({environment})", True),
     ]
     assert sorted((r.item_name, r.action) for r in got["actions"].collect()) == [
-        ("Base", "skip"), ("Curated", "create"), ("Extra", "create")]
+        ("Raw", "skip"), ("Sorted", "create"), ("Spare", "create")]
     # generic duplicates stay, the layer's g1 is there already, its identity without id is new
     assert sorted((r.layer, r.principal_id or "", r.src) for r in got["permissions"].collect()) == [
-        ("Core", "g1", 0), ("Core", "g1", 0), ("Store", "", 1), ("Store", "g1", 0), ("Store", "g1", 0)]
+        ("Depot", "", 1), ("Depot", "g1", 0), ("Depot", "g1", 0), ("Quay", "g1", 0), ("Quay", "g1", 0)]
 
 
 def test_identities_are_deferred(spark, tmp_path):
@@ -96,3 +96,15 @@ def test_release_sees_only_layers_released_before(spark):
     texts, actions = flows.release(content, mapping, published, "tst", ["core", " store", "MODEL"], actual)
     assert {r.item: r.text for r in texts.collect()} == {"a": "y L1 L2", "b": "y G1 L2", "c": "y G1 G2"}
     assert {(r.item, r.action) for r in actions.collect()} == {("a", "skip"), ("b", "create"), ("c", "create"), ("gone", "delete")}
+
+
+def test_models_are_bound_after_a_release(spark):
+    definition = spark.createDataFrame(
+        [("Crate", "Depot", "Charts", ["Tide", "", "Moon"]), ("Crate", "Depot", "Other", ["Sun"]), ("", "Depot", "Charts", ["Star"])],
+        "lakehouse_name string, lakehouse_ws_layer string, layer string, semantic_models array<string>")
+    templates = spark.createDataFrame([("Depot", " Crate ", "c-{environment}", 1)], "lakehouse_ws_layer string, lakehouse_name string, connection_name string, ord int")
+    connections = spark.createDataFrame([("c-tst", "id1", "host;db", 1)], "connection_name string, connection_id string, path string, ord int")
+    models = spark.createDataFrame([("Tide", "m1")], "semantic_model string, model_id string")
+    bound, rejected = flows.bind_models(definition, " charts", templates, connections, models, "tst")
+    assert [(r.semantic_model, r.connection_id, r.database_name, r.model_id) for r in bound.collect()] == [("Tide", "id1", "db", "m1")]
+    assert [(r.semantic_model, r.reason) for r in rejected.collect()] == [("Moon", "model_not_found")]

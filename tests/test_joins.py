@@ -60,7 +60,7 @@ def test_acl_takes_the_last_match(spark):
 def test_grid_over_the_bound_is_the_same(spark, rows):
     left = spark.createDataFrame([(i,) for i in range(5)], "l int")
     right = spark.createDataFrame([(f"e{i}", i) for i in range(7)], "e string, o int")
-    assert rows(J.expected_grid(left, right)) == rows(J.expected_grid(left, right, bound=3))
+    assert rows(J.expected_grid(left, right)) == rows(J.expected_grid(left, right, rows=3))
     assert J.expected_grid(left, right).count() == 35
 
 

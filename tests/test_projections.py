@@ -72,7 +72,7 @@ def test_first_match_over_the_bound_is_the_same(spark, rows):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rules = P.rule_frame(spark, [("ring", "R"), ("red", "D"), ("a", "A"), ("red", "late"), ("il", "I")])
     inline = P.classify_first_match(df, "t", rules).select("i", "label")
-    joined = P.classify_first_match(df, "t", rules, bound=2).select("i", "label")
+    joined = P.classify_first_match(df, "t", rules, block=2).select("i", "label")
     assert rows(inline) == rows(joined)
     assert dict(inline.collect())[2] == "D"
 

@@ -8,8 +8,12 @@ from lakekeel.plans import skew
 
 
 @pytest.fixture
-def low_threshold(monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 50)
+def low_threshold(spark, monkeypatch):
+    """Few rows make a key hot, and no side is small enough for a broadcast."""
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def facts(spark, null_share=False):
@@ -27,12 +31,27 @@ def test_salted_join_equals_plain_join(spark, rows, low_threshold, how, null_sha
     assert rows(skew.lookup_join(left, right, "k", how)) == rows(left.join(right, "k", how))
 
 
-def test_hot_key_is_found_and_spread(spark, low_threshold):
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_both_sides_share_one_list_without_subquery_reuse(spark, rows, low_threshold, how):
+    left = facts(spark)
+    right = spark.range(0, 600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.execution.reuseSubquery", "false")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        joined = skew.lookup_join(left, right, "k", how)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "Subquery" not in plan
+        assert rows(joined) == rows(left.join(right, "k", how))
+    finally:
+        spark.conf.unset("spark.sql.execution.reuseSubquery")
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_hot_key_is_found_and_spread_by_its_share(spark, low_threshold):
     left = facts(spark)
-    hot = left.select(skew.hot_key_hashes(left, ["k"]).alias("h")).first().h
-    assert hot == [left.filter("k = 7").select(F.xxhash64("k")).first()[0]]
+    hot = skew.hot_keys(left, ["k"]).collect()
+    assert [tuple(r) for r in hot] == [(left.filter("k = 7").select(F.xxhash64("k")).first()[0], 41)]
     right = spark.range(0, 1000).select(F.col("id").alias("k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         placed = skew.lookup_join(left, right, "k").filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count()
@@ -40,12 +59,16 @@ def test_hot_key_is_found_and_spread(spark, low_threshold):
         assert placed.count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_no_hot_key_without_enough_rows(spark):
-    left = facts(spark)
-    assert left.select(skew.hot_key_hashes(left, ["k"]).alias("h")).first().h == []
+    assert skew.hot_keys(facts(spark), ["k"]).count() == 0
+
+
+def test_a_small_right_side_needs_no_list(spark):
+    plan = skew.lookup_join(facts(spark), spark.range(0, 600).select(F.col("id").alias("k")), "k")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and text.count("Range") == 2
 
 
 def test_first_per_key_is_cut_before_the_shuffle(spark):

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lakekeel.plans import zones
-from lakekeel.streaming.ingest import ingest_stream
+from lakekeel.streaming.ingest import ingest_stream, landed, landing_schema
 from lakekeel.streaming.sync import compact, current_rows, sync_stream, target_schema
 
 SF = "/root/testdata/sf0.001"
@@ -34,15 +34,51 @@ def test_sync_equals_batch_over_several_batches_and_a_restart(spark, tmp_path, r
     # nothing new: a restart from the checkpoint changes nothing
     finish(sync_stream(stream, target, "user_id", ["ts", "event_id"], ck))
     assert rows(current_rows(spark, target, schema, "user_id").select("user_id", "event_id")) == rows(want)
-    compact(spark, target, schema, "user_id", str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == want.count()
+    compact(spark, target, schema, "user_id", 2)
+    assert spark.read.parquet(f"{target}-upto=2").count() == want.count()
+    assert rows(current_rows(spark, target, schema, "user_id").select("user_id", "event_id")) == rows(want)
+
+
+def test_equal_heads_are_not_written_again_and_bases_are_used(spark, tmp_path, rows):
+    events, stream = replay(spark, tmp_path)
+    target = str(tmp_path / "target")
+    q = finish(sync_stream(stream, target, "user_id", ["ts", "event_id"], str(tmp_path / "ck"), head="event_id", compact_every=2))
+    batches = len({p.batchId for p in map(_progress, q.recentProgress)})
+    log = spark.read.parquet(target)
+    assert log.count() == log.select("user_id", "event_id").distinct().count()  # each version once
+    assert batches >= 3 and spark.read.parquet(f"{target}-upto=1").count() > 0
+    got = current_rows(spark, target, target_schema(stream, "user_id"), "user_id")
+    want = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    assert rows(got.select("user_id", "event_id")) == rows(want)
+
+
+class _progress:
+    def __init__(self, p):
+        self.batchId = p["batchId"]
 
 
 def test_ingest_keeps_each_event_once_and_drops_no_old_one(spark, tmp_path, rows):
     events, stream = replay(spark, tmp_path)
-    finish(ingest_stream(stream, str(tmp_path / "landing"), "event_id", str(tmp_path / "ck")))
-    got = spark.read.parquet(str(tmp_path / "landing")).drop("arrived_at")
-    assert rows(got) == rows(events)
+    landing = str(tmp_path / "landing")
+    finish(ingest_stream(stream, landing, "event_id", "ts", str(tmp_path / "ck")))
+    schema = landing_schema(events.schema)
+    assert rows(landed(spark, landing, schema).drop("batch_id", "event_date")) == rows(events)
+    # all of them once more, in a new source file after a restart
+    events.repartition(1).write.mode("append").parquet(str(tmp_path / "src"))
+    finish(ingest_stream(stream, landing, "event_id", "ts", str(tmp_path / "ck")))
+    assert landed(spark, landing, schema).count() == events.count()
+
+
+def test_base_is_upserted_and_landing_grows(spark, tmp_path):
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders", "customer", "nation")}
+    first = zones.zone_pipeline(tables, str(tmp_path))
+    n = first["base"].count()
+    changed = tables["lineitem"].limit(50).withColumn("l_tax", F.lit(0.01))
+    second = zones.zone_pipeline({**tables, "lineitem": changed}, str(tmp_path), first["base"])
+    assert second["base"].count() == n
+    assert spark.read.parquet(str(tmp_path / "landing" / "lineitem")).count() == tables["lineitem"].count() + 50
+    ok = changed.filter("l_quantity > 0 and l_discount between 0 and 0.08").count()
+    assert second["base"].filter("l_tax = 0.01").count() >= ok > 0
 
 
 def test_rejects_name_every_failed_check(spark):
@@ -56,3 +92,10 @@ def test_error_share(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 01:00:00' as ts, t as event_type, v as value from values ('error', 1d), ('view', 2d), ('view', 3d), ('view', 200d) as x(t, v)")
     got = {r.event_type: (r.n, r.n_slow, r.error_share, r.p50) for r in zones.deploy_log_metrics(df).collect()}
     assert got == {"error": (1, 0, 0.25, 1.0), "view": (3, 1, 0.25, 3.0)}
+
+
+def test_percentiles_are_exact(spark):
+    df = spark.range(0, 100_001).select(
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), (F.col("id") / 7).alias("value"))
+    r = zones.deploy_log_metrics(df).first()
+    assert (r.p50, r.p95) == (50_000 / 7, 95_000 / 7)

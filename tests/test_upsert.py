@@ -119,6 +119,47 @@ def test_reconcile_swaps(spark):
     assert dict(U.reconcile(a, b, "k", remove_orphans=False).collect()) == {1: "create", 2: "skip"}
 
 
+def test_later_items_of_a_name_update_earlier_ones(spark):
+    item = "array<struct<item_name:string,x:int,y:int,present:array<string>>>"
+    has = ["item_name", "x", "y"]
+    df = spark.createDataFrame(
+        [([("a", 1, 1, None), ("a", 2, None, None), ("b", 2, 2, None)], [("b", None, 9, None), ("c", 3, 3, has), ("c", 4, None, has)])],
+        f"l {item}, r {item}")
+    got = df.select(U.merge_items(df.l, df.r, df.schema["l"].dataType.elementType).alias("m")).first().m
+    assert [tuple(x)[:3] for x in got] == [("a", 2, None), ("b", 2, 9), ("c", 4, None)]
+
+
+def test_structs_and_maps_merge_at_every_level(spark):
+    kind = "k string, s struct<a:int,b:int,deep:struct<x:int,merge_type:int,l:array<string>>>, m map<string,string>"
+    base = spark.createDataFrame([("x", (1, 2, (3, None, ["p"])), {"a": "1", "b": "2"}), ("y", None, None)], kind)
+    over = spark.createDataFrame([("x", (9, None, (8, 0, ["q"])), {"b": None, "c": "3"}), ("y", (1, None, None), {"z": "1"})], kind)
+    got = {r.k: r for r in U.overlay_merge(base, over, "k", 1).collect()}
+    assert (got["x"].s.a, got["x"].s.b) == (9, 2)
+    assert tuple(got["x"].s.deep) == (3, None, ["p"])  # the level says 0
+    assert got["x"].m == {"a": "1", "b": None, "c": "3"} and got["y"].m == {"z": "1"} and got["y"].s.a == 1
+    kept = {r.k: r for r in U.overlay_merge(base, over, "k", 0).collect()}
+    assert kept["x"].s.a == 1 and kept["x"].m == {"a": "1", "b": "2", "c": None}
+    marked = spark.createDataFrame([("x", None, {"merge_type": "0", "a": "7"})], kind)
+    assert U.overlay_merge(base, marked, "k", 2).filter("k = 'x'").first().m == {"a": "1", "b": "2"}
+
+
+def test_null_keys_are_one_key(spark, rows):
+    base = spark.createDataFrame([(None, "1", "1", 0), ("y", "2", "2", 1)], BASE)
+    changes = spark.createDataFrame([(None, "n", "n", 1), ("z", "z", "z", 2)], "k string, a string, b string, seq int")
+    upserted = U.keyed_upsert(base, changes, "k", "seq")
+    assert rows(upserted) == sorted([(None, "n", "n", 0, False), ("y", "2", "2", 1, False), ("z", "z", "z", 2, True)], key=repr)
+    assert rows(U.reconcile(base, changes, "k")) == sorted([(None, "skip"), ("y", "create"), ("z", "delete")], key=repr)
+    assert U.keyed_delete(base, changes, "k").count() == 2
+
+
+def test_upsert_reads_the_base_once(spark, tmp_path):
+    spark.createDataFrame([("x", "1", "1", 0)], BASE).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    changes = spark.createDataFrame([("x", "n", "n", 1)], "k string, a string, b string, seq int")
+    plan = U.keyed_upsert(base, changes, "k", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         U.overlay_merge(*frames(spark), "k", 3)
