@@ -85,17 +85,33 @@ class Splitter:
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Places as three byte planes, low bytes first, compressed. Frequent words have small places."""
+    """Numbers as four byte planes, low bytes first, compressed: small and frequent numbers take little room."""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-CHUNKS = "chunk string, doc_ids array<bigint>, lengths array<int>, places binary, words array<array<string>>, slots array<array<int>>"
+def _pack_words(words: list[str]) -> bytes:
+    """How many words, the length of each in bytes, and the words, compressed."""
+    encoded = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, encoded), "<u4", len(encoded))
+    head = np.array([len(encoded)], "<u4").tobytes() + sizes.tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(encoded))
+
+
+def _unpack_words(blob: bytes) -> list[str]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [data[a:b].decode() for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+# per chunk: its documents, their lengths in words, the places of the words, and by bucket the words with their numbers
+CHUNKS = "chunk string, doc_ids array<bigint>, lengths array<int>, places binary, words array<binary>, slots array<binary>"
 
 
 def _chunks_of(spec: Broadcast, buckets: int, chunk_chars: int):
@@ -103,7 +119,7 @@ def _chunks_of(spec: Broadcast, buckets: int, chunk_chars: int):
         from pyspark import TaskContext
 
         split = Splitter(spec.value)
-        part, number = TaskContext.get().partitionId(), 0
+        part_id, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         lengths: list[int] = []
         codes: list[np.ndarray] = []
@@ -121,17 +137,18 @@ def _chunks_of(spec: Broadcast, buckets: int, chunk_chars: int):
             order = np.argsort(-np.bincount(every, minlength=len(known)), kind="stable")
             rank = np.empty(len(known), np.int32)
             rank[order] = np.arange(len(known), dtype=np.int32)
-            words: list[list[str]] = [[] for _ in range(buckets)]
-            slots: list[list[int]] = [[] for _ in range(buckets)]
+            parts: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
             for w, r in zip(known, rank.tolist()):
-                b = zlib.crc32(w.encode()) % buckets
-                words[b].append(w)
-                slots[b].append(r)
+                parts[zlib.crc32(w.encode()) % buckets].append((w, r))
+            words, slots = [], []
+            for part in parts:
+                part.sort()
+                words.append(_pack_words([w for w, _ in part]) if part else None)
+                slots.append(_pack(np.array([r for _, r in part])) if part else None)
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{number}"]), pa.array([ids], pa.list_(pa.int64())),
+                [pa.array([f"{part_id}-{number}"]), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([lengths], pa.list_(pa.int32())), pa.array([_pack(rank[every])], pa.binary()),
-                 pa.array([words], pa.list_(pa.list_(pa.string()))),
-                 pa.array([slots], pa.list_(pa.list_(pa.int32())))],
+                 pa.array([words], pa.list_(pa.binary())), pa.array([slots], pa.list_(pa.binary()))],
                 names=["chunk", "doc_ids", "lengths", "places", "words", "slots"])
 
         for batch in batches:
@@ -152,7 +169,7 @@ def _chunks_of(spec: Broadcast, buckets: int, chunk_chars: int):
     return run
 
 
-ENCODED = "chunk string, slots array<int>, n array<int>, ids array<int>"
+ENCODED = "chunk string, bucket int, n binary, ids binary"
 
 
 def _encode_words(spec: Broadcast):
@@ -161,18 +178,18 @@ def _encode_words(spec: Broadcast):
         known: dict[str, list[int]] = {}
         for batch in batches:
             n, ids = [], []
-            for words in batch.column(2):
-                words = words.as_py()
-                new = list(dict.fromkeys(w for w in words if w not in known))
+            for blob in batch.column(2):
+                words = _unpack_words(blob.as_py())
+                new = [w for w in words if w not in known]
                 if len(known) + len(new) > CACHED_WORDS:
-                    known, new = {}, list(dict.fromkeys(words))
+                    known, new = {}, words
                 known.update(zip(new, (e.ids for e in tok.encode_batch(new, add_special_tokens=False))))
                 mine = [known[w] for w in words]
-                n.append([len(x) for x in mine])
-                ids.append([i for x in mine for i in x])
+                n.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine))))
+                ids.append(_pack(np.array([i for x in mine for i in x], np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.list_(pa.int32())),
-                 pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "slots", "n", "ids"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.binary()), pa.array(ids, pa.binary())],
+                names=["chunk", "bucket", "n", "ids"])
 
     return run
 
@@ -210,24 +227,25 @@ DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 def _document_ids(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
     """Ids of each document of the chunks of a batch."""
     for row in range(batch.num_rows):
-        doc_ids, lengths, places = (batch.column(k)[row] for k in (1, 2, 3))
-        parts = batch.column(4)[row].as_py()
-        slots = np.concatenate([np.asarray(p["slots"], np.int64) for p in parts] or [np.zeros(0, np.int64)])
-        n_in = np.concatenate([np.asarray(p["n"], np.int64) for p in parts] or [np.zeros(0, np.int64)])
-        values = np.concatenate([np.asarray(p["ids"], np.int32) for p in parts] or [np.zeros(0, np.int32)])
-        starts = np.empty(len(slots), np.int64)
-        n = np.empty(len(slots), np.int64)
-        starts[slots] = np.cumsum(n_in) - n_in
-        n[slots] = n_in
-        codes = _unpack(places.as_py())
+        doc_ids, lengths, places, slots, parts = (batch.column(k)[row].as_py() for k in range(1, 6))
+        own = [_unpack(b) for b in slots if b is not None]
+        parts.sort(key=lambda p: p["bucket"])
+        none = np.zeros(0, np.int64)
+        order = np.concatenate([*own, none])
+        n_in = np.concatenate([*(_unpack(p["n"]) for p in parts), none])
+        values = np.concatenate([*(_unpack(p["ids"]) for p in parts), none]).astype(np.int32)
+        starts, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order] = np.cumsum(n_in) - n_in
+        n[order] = n_in
+        codes = _unpack(places)
         at = 0
-        for doc_id, length in zip(doc_ids.as_py(), lengths.as_py()):
+        for doc_id, length in zip(doc_ids, lengths):
             yield doc_id, take_ragged(values, starts, n, codes[at:at + length])
             at += length
 
 
 def _chunk_table(documents: DataFrame, path: str, buckets: int | None, chunk_chars: int) -> DataFrame:
-    """(chunk, doc_ids, lengths, places, parts): each chunk with the ids of its words."""
+    """(chunk, doc_ids, lengths, places, slots, parts): each chunk with the ids of its words."""
     spark = documents.sparkSession
     spec = spark.sparkContext.broadcast(_spec(path))
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -235,15 +253,15 @@ def _chunk_table(documents: DataFrame, path: str, buckets: int | None, chunk_cha
     with arrow_batches(spark, 1000):
         chunks = stage(slim.mapInArrow(_chunks_of(spec, buckets, chunk_chars), CHUNKS), "bpe")
     words = (
-        chunks.select("chunk", F.posexplode(F.arrays_zip("words", "slots")).alias("bucket", "part"))
-        .select("bucket", "chunk", F.col("part.slots").alias("slots"), F.col("part.words").alias("words"))
-        .filter(F.size("words") > 0).repartition("bucket").select("chunk", "slots", "words")
+        chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
+        .filter(F.col("words").isNotNull()).repartition("bucket").select("chunk", "bucket", "words")
     )
     encoded = words.mapInArrow(_encode_words(spec), ENCODED)
     # at most one row per chunk and bucket, so a group is as large as the word list of a chunk
-    parts = encoded.groupBy("chunk").agg(F.collect_list(F.struct("slots", "n", "ids")).alias("parts"))
-    return chunks.select("chunk", "doc_ids", "lengths", "places").join(parts, "chunk", "left").withColumn(
-        "parts", F.coalesce("parts", F.array().cast("array<struct<slots:array<int>,n:array<int>,ids:array<int>>>")))
+    parts = encoded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("parts"))
+    none = F.array().cast("array<struct<bucket:int,n:binary,ids:binary>>")
+    return chunks.select("chunk", "doc_ids", "lengths", "places", "slots").join(parts, "chunk", "left").withColumn(
+        "parts", F.coalesce("parts", none))
 
 
 def encode(documents: DataFrame, path: str, buckets: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
