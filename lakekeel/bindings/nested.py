@@ -144,16 +144,17 @@ def apply_find_replace(spark, sf):
 
 
 @query(
-    "apply_many_replacements",
+    "apply_replacements_10257",
     """
-    WITH r AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS f, min(o_orderkey) AS k FROM orders GROUP BY 1)
+    WITH r AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS f, min(o_orderkey) AS k
+               FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10257) GROUP BY 1)
     SELECT c_custkey, CASE WHEN k IS NULL THEN c_name ELSE replace(c_name, f, 'K' || k) END AS text
     FROM customer LEFT JOIN r ON f = c_name[-9:]
     """,
 )
-def apply_many_replacements(spark, sf):
-    """One entry per order; in every text the first entry that fits leaves nothing for the later ones."""
-    mapping = table(spark, sf, "orders").select(
+def apply_replacements_10257(spark, sf):
+    """The first orders as entries, more than one block of them; the first that fits leaves nothing for the others."""
+    mapping = table(spark, sf, "orders").orderBy("o_orderkey").limit(10257).select(
         F.col("o_orderkey").alias("ord"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("find_value"),
         F.create_map(F.lit("tst"), F.concat(F.lit("K"), "o_orderkey")).alias("replace_value"))
     customer = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("text"))
