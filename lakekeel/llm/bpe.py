@@ -24,10 +24,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakekeel.llm.common import arrow_batches
-from lakekeel.session import stage
+from lakekeel.llm.common import arrow_batches, stage_by
 
-CHUNK_CHARS = 8_000_000  # characters of text in a chunk, unless a single document is longer
+CHUNK_CHARS = 16_000_000  # characters of text in a chunk, unless a single document is longer
 CACHED_WORDS = 500_000  # words a task remembers; beyond that it starts over and may encode a word again
 
 # fixed value: the pattern that splits text before the merges
@@ -250,8 +249,8 @@ def _chunk_table(documents: DataFrame, path: str, buckets: int | None, chunk_cha
     spec = spark.sparkContext.broadcast(_spec(path))
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with arrow_batches(spark, 1000):
-        chunks = stage(slim.mapInArrow(_chunks_of(spec, buckets, chunk_chars), CHUNKS), "bpe")
+    with arrow_batches(spark, 1000):  # the positions stay where they are written: only words and ids move
+        chunks = stage_by(slim.mapInArrow(_chunks_of(spec, buckets, chunk_chars), CHUNKS), "chunk", buckets, "bpe")
     words = (
         chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
         .filter(F.col("words").isNotNull()).repartition("bucket").select("chunk", "bucket", "words")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekeel.plans.skew import lookup_join
-from lakekeel.session import stage
+from lakekeel.session import stage, work_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -52,6 +52,18 @@ def small_side(df: DataFrame, label: str, rows: int = 200_000) -> DataFrame:
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
 
+def stage_by(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
+    """``df``, written to the shared folder in ``parts`` buckets by ``key``: a join by that key need not move it.
+
+    Buckets are known to the session's catalog under a name of their own; the files are those of ``stage``.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    name = "lakekeel_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)")).first()
     return row[0], row[1]
