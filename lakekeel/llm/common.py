@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakekeel.plans.skew import lookup_join
 from lakekeel.session import stage, work_path
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -83,11 +82,12 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     )
     seen = _state(now)
     while seen[0]:
+        # each side of a join is a table, so Spark can split the links of a node that has very many
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = lookup_join(both, low, "a", "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = lookup_join(large, low, "a", "inner").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), label)
+        large = stage(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), label)
         after = _state(now)
         if after == seen:
