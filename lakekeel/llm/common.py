@@ -42,13 +42,14 @@ def first_of(df: DataFrame, key: str, order: Column) -> DataFrame:
     return df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(at) == 1).drop(at)
 
 
-def small_side(df: DataFrame, label: str, rows: int = 200_000) -> DataFrame:
-    """``df``, staged, as the small side of a join: with a broadcast hint if it has at most ``rows`` rows.
+def small_side(df: DataFrame, label: str, limit: int = 16 << 20) -> DataFrame:
+    """``df``, staged, as the small side of a join: with a broadcast hint if its files have at most ``limit`` bytes.
 
-    Beyond that Spark joins by shuffle; the rows of the join are the same. For rows of a few short columns.
+    Beyond that Spark joins by shuffle; the rows of the join are the same.
     """
     kept = stage(df, label)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(kept) if size <= limit else kept
 
 
 def stage_by(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
