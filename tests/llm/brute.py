@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import functools
 import hashlib
 import re
 from collections import defaultdict
@@ -76,16 +77,26 @@ def benchmark_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER))
 
 
+@functools.cache
+def windows_of(items):
+    """{length: {window: items}}"""
+    out = defaultdict(lambda: defaultdict(set))
+    for item, text in items:
+        own = benchmark_words(text)
+        n = min(len(own), 10)
+        for i in range(len(own) - n + 1 if n else 0):
+            out[n][tuple(own[i:i + n])].add(item)
+    return out
+
+
 def contamination(text, items):
     words, hit, found = benchmark_words(text), set(), set()
-    for item, item_text in items:
-        own = benchmark_words(item_text)
-        n = min(len(own), 10)
-        for run in {tuple(own[i:i + n]) for i in range(len(own) - n + 1)} if n else ():
-            for i in range(len(words) - n + 1):
-                if tuple(words[i:i + n]) == run:
-                    hit.update(range(i, i + n))
-                    found.add(item)
+    for n, runs in windows_of(tuple(items)).items():
+        for i in range(len(words) - n + 1):
+            owners = runs.get(tuple(words[i:i + n]))
+            if owners:
+                hit.update(range(i, i + n))
+                found |= owners
     found.discard(None)
     return len(words), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)
 
