@@ -143,7 +143,7 @@ def op7(spark, sf):
 
 @query("op8_lines")
 def op8(spark, sf):
-    return lines.digest(lines.dropped_positions(table(spark, sf, "documents")))
+    return lines.digest(lines.dropped_positions(table(spark, sf, "documents"), whole=True))
 
 
 @query("op9_chat")

@@ -338,6 +338,41 @@ def test_a_key_with_many_unlike_lines_loses_no_link(spark):
     assert got == {d for d, _ in want}
 
 
+def edited_lines(rng, n_words, share, unit):
+    """A line of random words and the same with a share of its words or characters replaced."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n_words)]
+    parts = list(words) if unit == "words" else list(" ".join(words))
+    places = [i for i, p in enumerate(parts) if p != " "]
+    for i in rng.sample(places, max(1, int(share * len(places)))):
+        parts[i] = "".join(rng.choices(letters, k=len(parts[i])))
+    return " ".join(words), (" " if unit == "words" else "").join(parts)
+
+
+def test_edited_lines_of_ordinary_length_are_found(spark):
+    """Recall against plain edit similarity of at least 0.8 on lines of 5 to 50 words."""
+    rng = random.Random(12)
+    pairs = {}
+    for unit, share in (("words", 0.01), ("words", 0.1), ("words", 0.2), ("characters", 0.05)):
+        for n in (5, 8, 12, 20, 30, 50):
+            for _ in range(40):
+                a, b = edited_lines(rng, n, share, unit)
+                if a != b and 1 - brute.levenshtein(a, b) / max(len(a), len(b)) >= 0.8:
+                    pairs.setdefault((unit, share, n), []).append((a, b))
+    rows = [x for ps in pairs.values() for p in ps for x in p]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    gone = {r["doc_id"] for r in lines.dropped_positions(df, whole=True).filter(F.size("dropped") > 0).collect()}
+    assert all(i % 2 for i in gone)  # the second of a pair goes, and no line of another pair
+    recall, i = {}, 0
+    for kind, ps in pairs.items():
+        recall[kind] = (sum(i + 2 * k + 1 in gone for k in range(len(ps))), len(ps))
+        i += 2 * len(ps)
+    print(recall)
+    for unit, share, least in (("words", 0.01, 0.97), ("words", 0.1, 0.97), ("words", 0.2, 0.95), ("characters", 0.05, 0.9)):
+        found, of = (sum(v[k] for kind, v in recall.items() if kind[:2] == (unit, share)) for k in (0, 1))
+        assert found >= least * of, (unit, share, recall)
+
+
 # ---- decontamination ----
 
 
