@@ -27,12 +27,20 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 ENCODINGS = (
     ("[0-9]+", _DIGITS, 1.0),
     ("[0-9a-f]+", _DIGITS + "abcdef", 2.2),
-    ("[0-9A-F]+", _DIGITS + "ABCDEF", 2.2),
+    ("[0-9]+(?:-[0-9]+)+", _DIGITS, 1.0),
+    ("[0-9a-fA-F]+(?:-[0-9a-fA-F]+)*", _DIGITS + "abcdef", 2.2),
     ("[A-Z2-7]+", _UPPER + "234567", 1.1),
     ("[a-z]+", _LOWER, 0.7),
+    ("[a-z0-9]+", _LOWER + _DIGITS, 1.4),
+    ("[A-Z0-9]+", _UPPER + _DIGITS, 1.4),
     ("[A-Za-z0-9]+", _LOWER + _UPPER + _DIGITS, 3.1),
     (".+", _LOWER + _UPPER + _DIGITS + "+/-_", 3.3),
 )
+FOLDED = "^[0-9a-fA-F]+(-[0-9a-fA-F]+)*$"  # hex is tested in lower case and without its dashes
+# base36 is close to text: short tokens show themselves more often among the letters of base62, long ones only among
+# their own, so these tokens have both tests
+BASE62 = "[A-Za-z0-9]+"
+CASED = _DIGITS + "abcdefABCDEF"  # hex of both cases, where each case of a letter is as likely as a digit
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -122,13 +130,36 @@ def _battery(token: Column, alphabet: Column, excess: Column) -> Column:
 
 
 def _tests(token: Column) -> Column:
-    """The battery under the narrowest encoding that the token fits."""
+    """The battery under the narrowest encoding that the token fits; for base36 the better of that and base62, and
+    for hex of both cases the better of that without and with the case.
+
+    Of two tests that find the token uniform, the one with the smaller text_p counts; the first is doubled before.
+    """
     alphabet = excess = None
     for pattern, letters, more in reversed(ENCODINGS):
         fits = token.rlike(f"^{pattern}$")
         alphabet = F.lit(letters) if alphabet is None else F.when(fits, F.lit(letters)).otherwise(alphabet)
         excess = F.lit(more) if excess is None else F.when(fits, F.lit(more)).otherwise(excess)
-    return let(alphabet, lambda a: let(excess, lambda e: _battery(token, a, e)))
+    own = F.when(token.rlike(FOLDED), F.lower(F.replace(token, F.lit("-"), F.lit("")))).otherwise(token)
+    letters, more = next((x, y) for pattern, x, y in ENCODINGS if pattern == BASE62)
+
+    def trial(s: Column, a: Column, e: Column) -> Column:
+        return F.struct(s.alias("s"), a.alias("a"), e.alias("e"))
+
+    narrow, wide = trial(own, alphabet, excess), trial(token, F.lit(letters), F.lit(more))
+    both = alphabet.isin([x for _, x, _ in ENCODINGS if len(x) == 36])
+    cased = token.rlike("^[0-9a-fA-F]+$") & token.rlike("[a-f]") & token.rlike("[A-F]")
+    trials = F.when(both, F.array(narrow, wide)).when(
+        cased, F.array(narrow, trial(token, F.lit(CASED), F.lit(3.4)))).otherwise(F.array(narrow))
+    results = F.transform(trials, lambda t: _battery(t["s"], t["a"], t["e"]))
+
+    def best(rs: Column) -> Column:
+        ranked = F.array_sort(F.transform(rs, lambda r, i: F.struct(
+            (r["uniform_p"] < UNIFORM_P).alias("rejected"), (r["text_p"] * (F.size(rs) - i)).alias("text_p"),
+            r["uniform_p"].alias("uniform_p"), r["bits"].alias("bits"))))
+        return F.get(ranked, F.lit(0))
+
+    return let(results, best)
 
 
 def random_tokens(text: Column) -> Column:

@@ -95,6 +95,28 @@ def test_secret_patterns_and_random_tokens(spark):
     assert not [s for i in (5, 6, 7) for s in got[i] if s[1] == 3]
 
 
+def test_recall_of_random_tokens_by_encoding_and_length(spark):
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    encodings = {"base36": lower + digits, "BASE36": upper + digits, "HeX": digits + "abcdefABCDEF",
+                 "HEX": digits + "ABCDEF", "base62": lower + upper + digits, "base64": lower + upper + digits + "+/"}
+    cases = [(name, n, "".join(rng.choices(letters, k=n)))
+             for name, letters in encodings.items() for n in (20, 24, 32, 40, 64, 88, 128) for _ in range(60)]
+    grouped = ["".join(rng.choices(digits + "abcdef", k=32)) for _ in range(60)]
+    cases += [("uuid", 36, "-".join((h[:8], h[8:12], "4" + h[13:16], rng.choice("89ab") + h[17:20], h[20:]))) for h in grouped]
+    text = ["the-quick-brown-fox-jumps-over", "2024-01-15-2024-01-16-2024", "internationalization2024", "added-faced-decade-beef-cafe"]
+    cases += [("text", i, t) for i, t in enumerate(text)]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, (*_, t) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: bool(r["spans"]) for r in secrets.find_secrets(df).collect()}
+    recall = {}
+    for i, (name, n, _) in enumerate(cases):
+        recall.setdefault((name, n), []).append(got[i])
+    recall = {k: sum(v) / len(v) for k, v in recall.items()}
+    print(recall)
+    for (name, n), share in recall.items():
+        assert (share == 0 or n == 0) if name == "text" else share >= (0.9 if n >= 64 else 0.75 if n >= 32 else 0.4), (name, n, share)
+
+
 # ---- licences ----
 
 
