@@ -395,6 +395,15 @@ def test_edited_lines_of_ordinary_length_are_found(spark):
         assert found >= least * of, (unit, share, recall)
 
 
+def test_lines_that_differ_in_numbers_and_signs_are_compared(spark):
+    groups = [["Total 5 12", "Total 99"], ["x = a + b * 10", "x == (a / b)"], ["12 | 7 | 30", "450 | 81 | 6"], ["--- 1 ---", "=== 22 ==="],
+              ["one  Line with\tspace 7", "One line with space 7 "], ["step 1 of the long list of things", "step 2 of the long list of things"]]
+    rows = [x for g in groups for x in g]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    gone = {r["doc_id"] for r in lines.dropped_positions(df, whole=True).filter(F.size("dropped") > 0).collect()}
+    assert gone == {9, 11}  # equal but for white space and case, and similar
+
+
 # ---- decontamination ----
 
 
