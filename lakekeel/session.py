@@ -60,14 +60,20 @@ def work_path(spark: SparkSession, label: str) -> str:
 _STAGED: list[str] = []
 
 
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder that ``staged_tables`` removes with the others."""
+    path = work_path(spark, label)
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The table stays until ``staged_tables`` around the job ends, or for good without it.
     """
     spark = df.sparkSession
-    path = work_path(spark, label)
-    _STAGED.append(path)
+    path = staged_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
