@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakekeel.session import stage, work_path
+from lakekeel.session import stage, staged_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -53,15 +53,18 @@ def small_side(df: DataFrame, label: str, limit: int = 16 << 20) -> DataFrame:
 
 
 def stage_by(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
-    """``df``, written to the shared folder in ``parts`` buckets by ``key``: a join by that key need not move it.
+    """``df``, staged in ``parts`` buckets by ``key``: a join by that key need not move it.
 
-    Buckets are known to the session's catalog under a name of their own; the files are those of ``stage``.
+    Only a table of the catalog can tell Spark its buckets. It is known under a name of its own for as long as it
+    takes to plan a read of it, and forgotten at once; the files are those of ``stage`` and go with them.
     """
     spark = df.sparkSession
-    path = work_path(spark, label)
+    path = staged_path(spark, label)
     name = "lakekeel_" + path.rsplit("-", 1)[1]
-    df.write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.llm import (
-    bpe, chat, decontaminate, language, license, lines, quality, secrets, simhash, urls,
+    bpe, chat, decontaminate, language, license, lines, quality, secrets, simhash, suffixes, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,8 @@ FROM d LEFT JOIN cover ON cover.rid = d.rid LEFT JOIN items ON items.rid = d.rid
 def op10(spark, sf):
     found = decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return decontaminate.digest(found)
+
+
+@query("op13_suffixes")
+def op13(spark, sf):
+    return suffixes.digest(suffixes.without_repeats(table(spark, sf, "documents")))
