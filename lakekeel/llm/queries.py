@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.llm import (
-    bpe, chat, decontaminate, language, license, lines, phrases, quality, secrets, simhash, suffixes, urls,
+    bpe, chat, decontaminate, language, license, lines, phrases, quality, secrets, simhash, spelling, suffixes, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,11 @@ def op10(spark, sf):
     return decontaminate.digest(found)
 
 
+@query("op11_spelling")
+def op11(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 @query("op12_collocations", r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
