@@ -44,19 +44,24 @@ _MEET = np.array([[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER an
 
 
 class Text:
-    """The bytes of a chunk's rows, with room to read eight bytes anywhere."""
+    """The bytes of a chunk's rows."""
 
     def __init__(self, rows: pa.RecordBatch):
         self.data, self.offsets = text_bytes(rows.column(1))
         self.sizes = np.diff(self.offsets)
-        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.within = np.arange(len(self.data), dtype=np.int32) - self.offsets[:-1].astype(np.int32)[self.row]
-        self.left = self.sizes.astype(np.int32)[self.row] - self.within
         self.ids = rows.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
 
+    def rows_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
     def sample(self) -> np.ndarray:
-        whole = (self.left >= SAMPLE) & (self.within + self.left >= LENGTH)
-        return np.flatnonzero(whole & _IN_COVER[self.within % PERIOD])
+        """Where the windows of the cover sample begin, in texts that are long enough for a string."""
+        long = np.flatnonzero(self.sizes >= LENGTH)
+        first, end = self.offsets[long], self.offsets[long] + self.sizes[long] - SAMPLE + 1
+        periods = -(-(end - first) // PERIOD)
+        at = np.repeat(first - PERIOD * (np.cumsum(periods) - periods), periods) + PERIOD * np.arange(periods.sum())
+        every = (at[:, None] + np.array(COVER)).ravel()
+        return every[every < np.repeat(end, periods * len(COVER))]
 
 
 def _eights(data: np.ndarray, order: str = "<") -> np.ndarray:
@@ -73,45 +78,59 @@ def _hashes(eights: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.nd
 
 
 def _sample_values(bits: int):
+    """The sample windows of a chunk, with a count of two for those that occur twice or more."""
     def values(rows: pa.RecordBatch):
         text = Text(rows)
-        return np.unique(_hashes(_eights(text.data), text.sample(), SAMPLE, bits)), None
+        found = np.sort(_hashes(_eights(text.data), text.sample(), SAMPLE, bits))
+        first = np.flatnonzero(np.diff(found, prepend=found[:1] ^ np.uint64(1)))
+        return found[first], np.minimum(np.diff(first, append=len(found)), 2)
 
     return values
 
 
-def _candidates(text: Text, eights: np.ndarray, elsewhere: np.ndarray, bits: int) -> np.ndarray:
-    """Places whose 50 bytes can be found in another document: a sample near them can."""
+def _candidates(text: Text, eights: np.ndarray, often: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the stretches of suffixes with a repeated sample window within ``PERIOD`` bytes."""
     at = text.sample()
     values = _hashes(eights, at, SAMPLE, bits)
-    order = np.argsort(values)
-    row, same = text.row[at][order], values[order]
-    first = np.flatnonzero(np.diff(same, prepend=same[:1] ^ np.uint64(1)))
-    here = np.zeros(len(at), bool)
-    if len(first):  # of several documents of this chunk
-        several = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
-        here[order] = np.repeat(several, np.diff(first, append=len(at)))
-    at = at[here | among(values, elsewhere)]
-    n = len(text.data)
-    marks = np.bincount(at - np.minimum(text.within[at], PERIOD - 1), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
-    return np.flatnonzero((np.cumsum(marks)[:n] > 0) & (text.left >= LENGTH))
+    near = np.zeros(1 << 22, bool)  # passes what may be among ``often``
+    shift = np.uint64(max(bits - 22, 0))
+    near[often >> shift] = True
+    maybe = np.flatnonzero(near[values >> shift])
+    at = at[maybe[among(values[maybe], often)]]
+    row = text.rows_of(at)
+    lo = np.maximum(at - PERIOD + 1, text.offsets[row])
+    new = np.ones(len(at), bool)
+    new[1:] = (lo[1:] > at[:-1] + 1) | (row[1:] != row[:-1])
+    last = np.flatnonzero(np.concatenate([new[1:], np.ones(min(len(at), 1), bool)]))
+    ends = np.minimum(at[last] + 1, text.offsets[row[last] + 1] - LENGTH + 1)
+    begins = lo[new]
+    some = ends > begins
+    return begins[some], ends[some]
 
 
-def _least_seeds(text: Text, eights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The least hash of ``SEED`` bytes within the 50 bytes at each place."""
-    n = len(text.data)
-    low = mixed(mixed(mixed(np.full(n, SEED, np.uint64), eights[:n]), eights[8:n + 8]), np.uint64(0))
-    width, wanted = 1, LENGTH - SEED + 1
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _least_seeds(eights: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least hash of ``SEED`` bytes within the 50 bytes at each place of the stretches."""
+    wanted = LENGTH - SEED + 1
+    sizes = ends - begins
+    at = _places(begins, sizes + wanted - 1)
+    low = mixed(mixed(mixed(np.full(len(at), SEED, np.uint64), eights[at]), eights[at + 8]), np.uint64(0))
+    width = 1
     while width < wanted:
         step = min(width, wanted - width)
         low = np.minimum(low[:-step], low[step:])
         width += step
-    return low[at]
+    wide = np.cumsum(sizes + wanted - 1) - (sizes + wanted - 1)  # where a stretch begins among its seeds
+    return low[_places(wide, sizes)] if len(at) else np.zeros(0, np.uint64)
 
 
-def _pieces(text: Text, eights: np.ndarray, at: np.ndarray, parts: int) -> tuple[dict, pa.RecordBatch]:
+def _pieces(text: Text, eights: np.ndarray, begins: np.ndarray, ends: np.ndarray, parts: int) -> tuple[dict, pa.RecordBatch]:
     """Per block the distinct pieces (text, suffixes, least id), and where each run of suffixes finds its piece."""
-    seeds = _least_seeds(text, eights, at)
+    seeds = _least_seeds(eights, begins, ends)
+    at = _places(begins, ends - begins)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (seeds[1:] != seeds[:-1])
     started = np.flatnonzero(new)
@@ -126,7 +145,7 @@ def _pieces(text: Text, eights: np.ndarray, at: np.ndarray, parts: int) -> tuple
         first.tolist(), (first + run + LENGTH - 1).tolist())), np.int64, len(first))
     m = len(numbers)
     low = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(low, no, text.ids[text.row[first]])
+    np.minimum.at(low, no, text.ids[text.rows_of(first)])
     runs, home = np.zeros(m, np.int64), np.zeros(m, np.int64)
     runs[no], home[no] = run, block
     order = np.argsort(home, kind="stable")
@@ -152,11 +171,11 @@ def _cut(parts: int, bits: int):
         for k, frozen in zip(chunk.column("chunk").to_pylist(), chunk.column("data").to_pylist()):
             text = Text(thaw(frozen))
             eights = _eights(text.data)
-            at = _candidates(text, eights, merged(known), bits)
-            pieces, layout = _pieces(text, eights, at, parts)
+            begins, ends = _candidates(text, eights, merged(known), bits)
+            pieces, layout = _pieces(text, eights, begins, ends, parts)
             numbers += [k] * (len(pieces) + 1)
             blocks += [LAYOUT, *pieces]
-            sizes += [len(at), *(int(np.sum(p.column(1).to_numpy())) for p in pieces.values())]
+            sizes += [int(np.sum(ends - begins)), *(int(np.sum(p.column(1).to_numpy())) for p in pieces.values())]
             data += [freeze([layout]), *(freeze([p]) for p in pieces.values())]
         return pa.table({"chunk": pa.array(numbers, pa.int64()), "part": pa.array(blocks, pa.int64()),
                          "n": pa.array(sizes, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -257,21 +276,25 @@ def _mark(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         first, run, place = (layout.column(k).to_numpy() for k in range(3))
         told = [thaw(data[k]) for k in order[1:]]
         low = np.concatenate([np.zeros(0, np.int64), *(np.repeat(t.column(0).to_numpy(), t.column(1).to_numpy()) for t in told)])
-        inside = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
-        at = np.repeat(first, run) + inside
-        at = at[low[np.repeat(place, run) + inside] < text.ids[text.row[at]]]
-        marks = np.bincount(at, minlength=n + 1) - np.bincount(at + LENGTH, minlength=n + 1)
-        covered = np.cumsum(marks)[:n] > 0
+        at = _places(first, run)
+        at = at[low[_places(place, run)] < np.repeat(text.ids[text.rows_of(first)], run)]
+        marks = np.zeros(n + 1, np.int8)
+        marks[at] = 1
+        marks[at + LENGTH] -= 1
+        covered = np.cumsum(marks, dtype=np.int32)[:n] > 0
     upto = np.concatenate([[0], np.cumsum(~covered)])
     kept_at = upto[text.offsets]
     kept = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(rows), [None, pa.py_buffer(kept_at.astype(np.int64).tobytes()), pa.py_buffer(text.data[~covered].tobytes())])
-    opens = covered & ((text.within == 0) | ~np.concatenate([[False], covered[:-1]])) if n else covered
-    closes = covered & ((text.left == 1) | ~np.concatenate([covered[1:], [False]])) if n else covered
-    begin, end = text.within[opens].astype(np.int64), text.within[closes].astype(np.int64) + 1
-    spans_at = np.searchsorted(np.flatnonzero(opens), text.offsets).astype(np.int32)
-    spans = pa.ListArray.from_arrays(pa.array(spans_at), pa.StructArray.from_arrays(
-        [pa.array(begin), pa.array(end)], names=["start", "end"]))
+    edges = np.zeros(n + 1, bool)  # of the rows
+    edges[text.offsets] = True
+    opens = covered & (edges[:n] | ~np.concatenate([[False], covered])[:n])
+    closes = covered & (edges[1:] | ~np.concatenate([covered[1:], [False]])[:n])
+    at = np.flatnonzero(opens)
+    base = text.offsets[text.rows_of(at)]
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(at, text.offsets).astype(np.int32)), pa.StructArray.from_arrays(
+            [pa.array(at - base), pa.array(np.flatnonzero(closes) + 1 - base)], names=["start", "end"]))
     return pa.table({"doc_id": rows.column(0), "n_bytes": pa.array(text.sizes), "n_removed": pa.array(text.sizes - np.diff(kept_at)),
                      "removed": spans, "kept": kept.cast(pa.binary())})
 
