@@ -26,9 +26,9 @@ from lakekeel.session import stage
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVERED = 50  # per cent of a phrase's occurrences within a longer candidate from which on it is dropped
-CHUNK = 16 << 20  # bytes of text of a chunk
+CHUNK = 8 << 20  # bytes of text of a chunk
 TRIE = 4 << 20  # bytes of phrases of a trie, about
-SENT = 96 << 20  # bytes of tries that are broadcast at once
+SENT = 48 << 20  # bytes of tries that are broadcast at once
 RANGE = 1 << 16  # phrases whose counts are summed together
 UNKNOWN = "und"  # the language of rows without one
 
