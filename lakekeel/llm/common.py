@@ -36,7 +36,7 @@ def long_id(df: DataFrame, name: str = "doc_id") -> Column:
     return F.col(name) if dict(df.dtypes)[name] == "bigint" else F.col(name).cast("bigint").alias(name)
 
 
-def first_of(df: DataFrame, key: str, order: Column) -> DataFrame:
+def first_of(df: DataFrame, key: str | list[str], order: Column) -> DataFrame:
     """The first whole row per key; each map task sends on one row per key at most."""
     at = fresh(df, "__rn")
     return df.withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(at) == 1).drop(at)

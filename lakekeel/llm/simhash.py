@@ -19,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakekeel.llm.common import components, first_of, fresh
 from lakekeel.session import stage
@@ -53,15 +52,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row of documents(doc_id, text); fp is the 64 bits as a signed long."""
+    """(doc_id, th, fp) per row of documents(doc_id, text); th is a hash of the text, fp the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, fp bigint")
+    slim = documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 # ---- the covering code ------------------------------------------------------------------------------------------
@@ -232,9 +232,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """(doc_id, fp, component_id, root) per row of documents(doc_id, text).
+    """(doc_id, th, fp, component_id, root) per row of documents(doc_id, text).
 
-    component_id is the smallest doc_id reachable over links, root the smallest fingerprint. Null and empty texts
+    th is a hash of the text. component_id is the smallest doc_id reachable over links, root the smallest fingerprint. Null and empty texts
     have fingerprint zero, which links like any other. Equal fingerprints are one node, so copies cost a row each
     and no pairs. Repeated rows come out repeated. A null doc_id gets the smallest doc_id of its group, null if
     there is none. Other columns are not read; an empty table gives an empty table.
@@ -246,7 +246,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
         "fp", F.coalesce("root", "fp").alias("root"), "low")
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = member.join(lowest, "root").select("fp", "component_id", "root")
-    return docs.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id", "root")
+    return docs.join(of_fp, "fp", "left").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -256,24 +256,16 @@ def digest(found: DataFrame) -> DataFrame:
 def one_per_group(documents: DataFrame, **settings) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays, by a hash of the text. A group without any doc_id keeps one row
-    in the same way. ``documents`` is read twice and its texts move once, to meet the list of ids that stay.
+    Of several texts of a group with that doc_id, or of a group without any doc_id, the one with the least hash stays,
+    once. Groups whose smallest doc_id is the same keep a document each. ``documents`` is read twice and its texts
+    move once, to meet the list of those that stay.
     """
     found = near_duplicates(documents, **settings)
-    ids = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select(*documents.columns)
-    once = first_of(named, "doc_id", F.xxhash64("text"))
-    fp, root = fresh(documents, "__fp"), fresh(documents, "__root")
-    orphans = found.filter("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
-    shingle = settings.get("shingle", SHINGLE)
-    at = documents.columns.index("text")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (v.encode() if (v := t.as_py()) is not None else None for t in batch.column(at))
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, fp])
-
-    schema = T.StructType([*documents.schema.fields, T.StructField(fp, T.LongType())])
-    loose = documents.filter("doc_id is null").mapInArrow(mark, schema).join(orphans, fp)
-    return once.unionByName(first_of(loose, root, F.xxhash64("text")).drop(fp, root))
+    leads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("th"), F.first("component_id").alias("id"))
+    th, key, want = (fresh(documents, c) for c in ("__th", "__key", "__want"))
+    # an id or a text alone may stand for very many rows; a null id counts as one
+    wanted = leads.select(F.xxhash64("id", F.col("id").isNull()).alias(key), F.col("th").alias(want)).distinct()
+    ident = F.col("doc_id").cast("bigint")
+    marked = documents.withColumns({key: F.xxhash64(ident, ident.isNull()), th: F.xxhash64("text")})
+    kept = marked.join(wanted, (marked[key] == wanted[key]) & (marked[th] == wanted[want]), "left_semi")
+    return first_of(kept, [key, th], F.lit(0)).select(*documents.columns)

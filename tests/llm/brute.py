@@ -2,7 +2,9 @@
 
 import functools
 import hashlib
+import itertools
 import re
+import struct
 from collections import defaultdict
 
 import xxhash
@@ -111,34 +113,76 @@ def levenshtein(a, b):
 
 
 def line_words(line):
-    import regex
+    return [w for w in re.split("[ \t\x0b\x0c\r]", line.lower()) if w]
 
-    return regex.findall(r"\p{L}+", line.lower()) or [w for w in [line.strip(" \t\n\r\x0b\x0c")] if w]
 
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def chained(block, values):
+    h = xx(struct.pack("<i", block))
+    for v in values:
+        h = xx(struct.pack("<q", v), h)
+    return h
+
+
+def line_blocks(words):
+    """({block: key}, SimHash in blocks) of a line."""
+    some = [w for w in words if len(w) >= 5] or words
+    hashes = sorted(xx(w.encode()) % (1 << 40) for w in some)
+    keys, sim = {}, 0
+    for b in range(10):
+        own = [h for h in hashes if (b << 40) // 10 <= h < ((b + 1) << 40) // 10]
+        if own:
+            after = hashes[(hashes.index(own[0]) + 1) % len(hashes)]
+            keys[b] = chained(b, own if len(own) > 1 else [own[0], after])
+            sim |= own[0] % 64 << 6 * b
+    return keys, sim
 
-def line_simhash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
+def similar(x, y, similarity=0.8):
+    may = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    return abs(len(x) - len(y)) <= may and levenshtein(x, y) <= may
 
-def dropped_lines(documents, bits=2, similarity=0.8):
-    """{(doc_id, text): positions that go}."""
+
+def dropped_lines(documents, similarity=0.8, crowd=1000):
+    """{(doc_id, text): positions that go}"""
     docs = sorted({(d, t) for d, t in documents if t is not None},
                   key=lambda r: (r[0] is not None, r[0] or 0, xx_signed(r[1])))
     places = [(d, t, p, " ".join(line_words(s))) for d, t in docs for p, s in enumerate(t.split("\n"))]
-    norms = list(dict.fromkeys(n for *_, n in places if n))
-    sims = {" ".join(w): line_simhash(w) for _, t in docs for w in map(line_words, t.split("\n")) if w}
+    blocks = {n: line_blocks(n.split(" ")) for n in dict.fromkeys(n for *_, n in places if n)}
+    held = defaultdict(set)
+    for n, (keys, _) in blocks.items():
+        for k in keys.values():
+            held[k].add(n)
+    longer = defaultdict(set)
+    for n, (keys, _) in blocks.items():
+        for b, k in keys.items():
+            if len(held[k]) > crowd:
+                parts = [keys.get(x % 10) for x in (b, b + 1, b + 2)]
+                h = 42
+                for part in parts:
+                    h = h if part is None else xx(struct.pack("<Q", part), h)
+                longer[h].add(n)
+    groups_of = [g for g in held.values() if len(g) <= crowd] + list(longer.values())
+    linked = set()
+    for g in groups_of:
+        for a, b in itertools.combinations(sorted(g), 2):
+            if (a, b) not in linked and (blocks[a][1] ^ blocks[b][1]).bit_count() <= 20 and similar(a, b, similarity):
+                linked.add((a, b))
+    root = {n: n for n in blocks}
 
-    def linked(a, b):
-        if (sims[a] ^ sims[b]).bit_count() > bits:
-            return False
-        x, y = a.split(" "), b.split(" ")
-        return levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
 
-    root = groups(norms, linked)
+    for a, b in linked:
+        root[find(a)] = find(b)
     first, out = {}, defaultdict(list)
     for d, t, p, n in places:
-        if n and first.setdefault(root[n], (d, t, p)) != (d, t, p):
+        if n and first.setdefault(find(n), (d, t, p)) != (d, t, p):
             out[d, t].append(p)
     return dict(out)
 
