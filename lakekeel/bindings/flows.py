@@ -34,7 +34,9 @@ def parameter_mapping(spark, sf):
 
 
 CONTENT = """
-    content AS (SELECT lang AS layer, doc_id AS item, text || ' core-1 core-2 ' || source AS text FROM documents)
+    content AS (SELECT d.lang AS layer, d.doc_id AS item, d.text || ' core-1 core-2 ' || d.source || ' id-' || (d.doc_id + 1) || '-' AS text,
+                       'id-' || (d.doc_id + 1) || '-' AS ref, list_position(['en', 'de', 'fr'], n.lang) < list_position(['en', 'de', 'fr'], d.lang) AS known
+                FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)
 """
 
 
@@ -42,7 +44,7 @@ def _release(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("lang").alias("layer"),
         F.col("doc_id").alias("item"),
-        F.concat("text", F.lit(" core-1 core-2 "), "source").alias("text"),
+        F.concat("text", F.lit(" core-1 core-2 "), "source", F.lit(" id-"), F.col("doc_id") + 1, F.lit("-")).alias("text"),
     )
     mapping = spark.createDataFrame(
         [("the", {"tst": "THE"}, 1), ("core-1", {"prd": "never"}, 2), ("src1", {"tst": "$1"}, 3)],
@@ -50,6 +52,9 @@ def _release(spark, sf):
     published = spark.createDataFrame(
         [("en", "core-1", "guid-en", 1), ("de", "core-2", "guid-de", 2), ("fr", "THE", "late", 3)],
         "layer string, logical_id string, guid string, ord bigint")
+    published = published.unionByName(docs.select(  # every document has a logical id, to which the one before it refers
+        "layer", F.concat(F.lit("id-"), "item", F.lit("-")).alias("logical_id"), F.concat(F.lit("g"), "item").alias("guid"),
+        (F.col("item") + 10).alias("ord")))
     actual = table(spark, sf, "labels").join(docs, F.col("doc_id") == F.col("item")).select("layer", "item")
     gone = table(spark, sf, "conversations").filter("turn = 0").select(F.lit("en").alias("layer"), (-F.col("conv_id") - 1).alias("item"))
     return flows.release(docs, mapping, published, "tst", ["EN", "de", " fr"], actual.unionByName(gone))
@@ -58,7 +63,9 @@ def _release(spark, sf):
 @query(
     "release_content",
     f"""
-    WITH {CONTENT}, m AS (SELECT layer, item, replace(replace(text, 'the', 'THE'), 'src1', '$1') AS text FROM content)
+    WITH {CONTENT}, m AS (
+        SELECT layer, item, CASE WHEN known THEN replace(text, ref, 'g' || (item + 1)) ELSE text END AS text
+        FROM (SELECT * REPLACE (replace(replace(text, 'the', 'THE'), 'src1', '$1') AS text) FROM content))
     SELECT layer, item, CASE layer WHEN 'en' THEN text WHEN 'de' THEN replace(text, 'core-1', 'guid-en')
            ELSE replace(replace(text, 'core-1', 'guid-en'), 'core-2', 'guid-de') END AS text
     FROM m WHERE layer IN ('en', 'de', 'fr')

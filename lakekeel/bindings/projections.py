@@ -166,7 +166,7 @@ TEXT_RULES = [("license", "license"), ("Copyright", "rights"), ("the ", "english
 )
 def classify_first_match(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return P.classify_first_match(docs, "text", P.rule_frame(spark, TEXT_RULES)).select("doc_id", "label")
+    return P.classify_first_match(docs, "text", TEXT_RULES).select("doc_id", "label")
 
 
 def _order_rules(spark, sf, n):
@@ -192,7 +192,7 @@ def _many_rules(n):
         return P.classify_first_match(customer, "c_name", _order_rules(spark, sf, n)).select("c_custkey", "label")
 
 
-for _n in (257, 1000, 10_000):  # at the last one the rules no longer fit one block with room to spare
+for _n in (257, 1000, 10_000, 100_000):
     _many_rules(_n)
 
 
@@ -220,12 +220,11 @@ def classify_resource(spark, sf):
     )
     resource = F.concat(F.lit("/subscriptions/"), "l_orderkey", F.lit("/providers/"), kind, F.lit("/"), "l_partkey")
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", resource.alias("resource_id"))
-    rules = P.rule_frame(spark, P.RESOURCE_TYPES)
-    return P.classify_first_match(rows, "resource_id", rules, "resource_type").drop("resource_id")
+    return P.classify_first_match(rows, "resource_id", P.RESOURCE_TYPES, "resource_type").drop("resource_id")
 
 
 LABELS = [("ring", "default"), ("red", ""), ("bolt", "Bolt"), ("blue", "Blue"), ("old", "default")]
-OVERLAYS = [("brand#1", "#1E90FF"), ("large", "#FFA500"), ("brand#2", "#008000")]
+OVERLAYS = [("brand#1", "first"), ("large", "big"), ("brand#2", "second")]
 
 
 @query(
@@ -237,15 +236,14 @@ OVERLAYS = [("brand#1", "#1E90FF"), ("large", "#FFA500"), ("brand#2", "#008000")
     SELECT p_partkey,
            CASE WHEN stop = '' THEN NULL WHEN stop IS NOT NULL THEN stop
                 WHEN contains(n, 'ring') OR contains(n, 'old') THEN 'default' END AS label,
-           CASE WHEN stop <> '' THEN CASE WHEN contains(n, 'brand#1') THEN '#1E90FF'
-                WHEN contains(n, 'large') THEN '#FFA500' WHEN contains(n, 'brand#2') THEN '#008000' END END AS overlay
+           CASE WHEN stop <> '' THEN CASE WHEN contains(n, 'brand#1') THEN 'first'
+                WHEN contains(n, 'large') THEN 'big' WHEN contains(n, 'brand#2') THEN 'second' END END AS overlay
     FROM l
     """,
 )
 def match_labels(spark, sf):
     names = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    rules, overlays = P.rule_frame(spark, LABELS), P.rule_frame(spark, OVERLAYS)
-    return P.match_labels(names, "name", rules, overlays).select("p_partkey", "label", "overlay")
+    return P.match_labels(names, "name", LABELS, OVERLAYS).select("p_partkey", "label", "overlay")
 
 
 SIGNS = [("license", "scroll"), ("token", "key"), ("heit", "tower"), ("ment", "leaf"), ("ción", "wave"), ("er", "")]

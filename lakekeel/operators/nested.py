@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.bounded import BLOCK_ROWS, fold_blocks
+from lakekeel.plans.grams import containing
+from lakekeel.session import stage
 
 
 def _struct_leaves(c: Column, t: T.StructType, prefix: str) -> list[Column]:
@@ -140,25 +142,54 @@ def valid_bindings(
     )
 
 
-def apply_find_replace(
-    df: DataFrame, text: str, mapping: DataFrame, env: str, block: int = BLOCK_ROWS
-) -> DataFrame:
-    """Apply the replacements of one environment to a text, one after the other and literally.
+def apply_find_replace(df: DataFrame, text: str, mapping: DataFrame, env: str, scope: str | None = None) -> DataFrame:
+    """Apply the replacements of one environment to a text, one after the other by ``ord`` and literally.
+
+    mapping(find_value, replace_value map, ord). Entries without the environment are skipped. With ``scope``, a
+    column of both frames, an entry holds for rows of its scope only, or for all if its scope is null.
 
-    mapping(find_value, replace_value map, ord). Entries without the environment are skipped. The ordered entries
-    are read as arrays of at most ``block`` rows, one after the other in one plan; no text is written in between.
+    Each distinct text meets only the entries whose find value it contains, and these are applied in order. An entry
+    whose find value comes about only by replacing others is found in what the steps before it have made; the
+    look-up is repeated for such texts until nothing new is found. Time does not depend on how long the mapping is.
     """
-    entries = mapping.select(
+    entries = stage(mapping.select(
         F.col("ord").cast("bigint").alias("ord"),
-        "find_value",
+        F.col("find_value").alias("needle"),
         F.element_at("replace_value", F.lit(env)).alias("new_value"),
-    ).filter("find_value <> '' AND new_value IS NOT NULL")
-
-    def replaced(rows: DataFrame, params: Column) -> DataFrame:
-        done = F.aggregate(params, F.col(text), lambda acc, s: F.replace(acc, s["find_value"], s["new_value"]))
-        return rows.withColumn(text, done)
-
-    return fold_blocks(df, entries, "ord", ["find_value", "new_value"], replaced, block)
+        (F.col(scope) if scope else F.lit(None).cast("string")).alias("for"),
+    ).filter("needle <> '' AND new_value IS NOT NULL"), "entries")
+    where = F.col(scope) if scope else F.lit(None).cast("string")
+    start = stage(df.select(F.col(text).alias("start"), where.alias("scope")).filter("start is not null").distinct(), "starts")
+
+    def hits(states: DataFrame) -> DataFrame:
+        """(start, scope, ord, needle, new_value) of the entries that some state (start, scope, text) contains."""
+        pairs = containing(states.select("text").distinct(), entries.select("needle"))
+        met = states.join(pairs, "text").join(entries, "needle")
+        return met.filter("for is null or for = scope").select("start", "scope", "ord", "needle", "new_value").distinct()
+
+    def applied(steps: DataFrame) -> DataFrame:
+        """(start, scope, states): the text after each step."""
+        lists = steps.groupBy("start", "scope").agg(F.array_sort(F.collect_list(F.struct("ord", "needle", "new_value"))).alias("steps"))
+        states = F.aggregate("steps", F.array("start"), lambda done, s: F.concat(
+            done, F.array(F.replace(F.element_at(done, -1), s["needle"], s["new_value"]))))
+        return lists.select("start", "scope", states.alias("states"))
+
+    def of(steps: DataFrame, some: DataFrame, how: str, *also: str) -> DataFrame:
+        """The steps whose text and scope (and ``also``) are in ``some``, or are not."""
+        names = ["start", "scope", *also]
+        keys = some.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
+        return steps.join(keys, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]), how)
+
+    known = fresh = stage(hits(start.select("start", "scope", F.col("start").alias("text"))), "steps")
+    while not fresh.isEmpty():
+        made = applied(of(known, fresh, "left_semi")).select("start", "scope", F.explode("states").alias("text"))
+        more = hits(stage(made.filter("text <> start").distinct(), "states"))
+        fresh = stage(of(more, known, "left_anti", "ord", "needle"), "steps")
+        known = known.unionByName(fresh)
+    done = applied(known).select(F.col("start").alias("__start"), F.col("scope").alias("__scope"), F.element_at("states", -1).alias("__done"))
+    same = (F.col(text) == F.col("__start")) & where.eqNullSafe(F.col("__scope"))
+    rows = df.join(done, same, "left").withColumn(text, F.coalesce("__done", F.col(text)))
+    return rows.select(*df.columns)
 
 
 def rewrite_quoted_head(df: DataFrame, name: str, text: str, target: str, value: str) -> DataFrame:

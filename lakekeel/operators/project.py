@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.bounded import BLOCK_ROWS, fold_blocks
+from lakekeel.plans.grams import containing
+from lakekeel.plans.skew import lookup_join
 
 
 # Part of a private-link resource id -> resource type, in test order.
@@ -26,7 +27,8 @@ RESOURCE_TYPES = [
     ("Microsoft.Purview/accounts", "account"),
     ("Microsoft.MachineLearningServices/workspaces", "amlworkspace"),
 ]
-_HIT = "__hit"
+CASES = 100  # rules that are written out as one expression
+Rules = DataFrame | Sequence[tuple[str, str]]
 
 
 def rule_frame(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -83,50 +85,65 @@ def dynamic_reference(
     return rows.withColumn("value", ref)
 
 
-def _first_hit(df: DataFrame, col: Column, rules: DataFrame, out: str, block: int = BLOCK_ROWS) -> DataFrame:
-    """Add the label of the first rule (by ``ord``) whose needle is in the text; null without a hit.
+def _first_hit(df: DataFrame, col: Column, rules: Rules, out: str) -> DataFrame:
+    """Add the label of the first rule whose needle is in the text; null without a hit.
 
-    Linear in the text and in the number of rules; of the later blocks of a long rule table only rows that no
-    earlier rule has labelled are looked at.
+    Up to ``CASES`` rules become one CASE, which stops at the first hit. A longer table is looked up: each distinct
+    text meets only the needles that have a rare part in common with it.
     """
-    def label_left(rows: DataFrame, params: Column) -> DataFrame:
-        hit = F.get(F.filter(params, lambda r: F.contains(col, r["needle"])), F.lit(0))
-        return rows.withColumn(_HIT, F.when(F.col(_HIT).isNull(), hit).otherwise(F.col(_HIT)))
-
-    kind = rules.schema["ord"].dataType.simpleString()
-    start = df.withColumn(_HIT, F.lit(None).cast(f"struct<__ord:{kind},needle:string,label:string>"))
-    found = fold_blocks(start, rules, "ord", ["needle", "label"], label_left, block)
-    return found.withColumn(out, F.col(_HIT)["label"]).drop(_HIT)
-
-
-def classify_first_match(
-    df: DataFrame, col: str, rules: DataFrame, out: str = "label", block: int = BLOCK_ROWS
-) -> DataFrame:
-    """Label of the first rule whose needle the text contains; case counts, null without a hit."""
-    return _first_hit(df, F.col(col), rules, out, block)
+    if isinstance(rules, DataFrame):
+        few = rules.filter("needle is not null").select("ord", "needle", "label").limit(CASES + 1).collect()  # no more than that
+        if len(few) <= CASES:
+            rules = [(r["needle"], r["label"]) for r in sorted(few, key=lambda r: (r["ord"], r["needle"]))]
+    if not isinstance(rules, DataFrame) and len(rules) <= CASES:
+        label = F.lit(None).cast("string")
+        for needle, name in reversed([r for r in rules if r[0] is not None]):
+            label = F.when(F.contains(col, F.lit(needle)), F.lit(name)).otherwise(label)
+        return df.withColumn(out, label)
+    table = rules if isinstance(rules, DataFrame) else rule_frame(df.sparkSession, rules)
+    first = table.filter("needle is not null").groupBy("needle").agg(F.min(F.struct("ord", "label")).alias("rule"))
+    texts = df.select(col.alias("text")).filter("text is not null").distinct()
+    hits = containing(texts, first.select("needle")).join(first, "needle")
+    labels = hits.groupBy("text").agg(F.min(F.struct("rule.ord", "needle", "rule.label")).alias("hit"))
+    labels = labels.select(F.col("text").alias("__text"), F.col("hit.label").alias(out))
+    return lookup_join(df.drop(out).withColumn("__text", col), labels, "__text").drop("__text")
+
+
+def classify_first_match(df: DataFrame, col: str, rules: Rules, out: str = "label") -> DataFrame:
+    """Label of the first rule whose needle the text contains; case counts, null without a hit.
+
+    ``rules`` is a table (ord, needle, label) of any length, or an ordered list of (needle, label).
+    """
+    return _first_hit(df, F.col(col), rules, out)
 
 
 def match_labels(
     df: DataFrame,
     col: str,
-    rules: DataFrame,
-    overlays: DataFrame | Mapping[str, DataFrame] | None = None,
+    rules: Rules,
+    overlays: Rules | Mapping[str, Rules] | None = None,
     out: str = "label",
 ) -> DataFrame:
     """Ordered label rules on the lower-cased text.
 
     The first hit that is not "default" decides; its label "" stands for null. "default" does not stop the
-    search, so it only remains when no other rule hits. ``overlays`` are more first-match tables by the name of
-    their column (one table alone: ``overlay``), used on rows that got a label of their own.
+    search, so it only remains when no other rule hits. ``overlays`` are more first-match rules by the name of
+    their column (one alone: ``overlay``), used on rows that got a label of their own.
     """
     low = F.lower(col)
-    found = _first_hit(df, low, rules.filter("label <> 'default'"), "__stop")
-    found = _first_hit(found, low, rules.filter("label = 'default'"), "__default")
+
+    def those(default: bool) -> Rules:
+        if isinstance(rules, DataFrame):
+            return rules.filter((F.col("label") == "default") == default)
+        return [r for r in rules if (r[1] == "default") == default]
+
+    found = _first_hit(df, low, those(False), "__stop")
+    found = _first_hit(found, low, those(True), "__default")
     stop = F.col("__stop")
     label = F.when(stop.isNotNull(), F.nullif(stop, F.lit(""))).otherwise(F.col("__default"))
     found = found.withColumn(out, label)
     own = stop.isNotNull() & (stop != "")
-    more = {"overlay": overlays} if isinstance(overlays, DataFrame) else overlays or {}
+    more = overlays if isinstance(overlays, Mapping) else {} if overlays is None else {"overlay": overlays}
     for name, table in more.items():
         found = _first_hit(found, low, table, "__over").withColumn(name, F.when(own, F.col("__over"))).drop("__over")
     return found.drop("__stop", "__default")

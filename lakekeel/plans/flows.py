@@ -70,18 +70,15 @@ def release(
     first = known.withColumn("place", F.struct("at", "ord")).groupBy("logical_id", "at").agg(F.min_by("guid", "place").alias("guid"))
     found = stage(
         resolve_from_earlier(targets, first, "logical_id", "target_at", "at", "guid").filter("guid IS NOT NULL"), "resolved")
-    after = mapping.agg(F.coalesce(F.max("ord"), F.lit(0)).cast("bigint")).first()[0]  # one number
-    parts = []
-    for at, layer in enumerate(names, 1):
-        ids = found.filter(F.col("target_at") == at).select(
-            F.col("logical_id").alias("find_value"),
-            F.create_map(F.lit(environment), "guid").alias("replace_value"),
-            (F.col("id_ord") + after + 1).alias("ord"),
-        )
-        steps = mapping.select("find_value", "replace_value", F.col("ord").cast("bigint").alias("ord")).unionByName(ids)
-        parts.append(apply_find_replace(wanted.filter(F.lower("layer") == layer), "text", steps, environment))
-    texts = reduce(DataFrame.unionByName, parts)
-    return texts, reconcile(wanted, filter_layers(actual, "layer", names), ["layer", "item"], remove_orphans)
+    after = mapping.agg(F.coalesce(F.max("ord"), F.lit(0)).cast("bigint").alias("after"))  # one row
+    layer = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("target_at"))
+    ids = found.crossJoin(after).select(
+        F.col("logical_id").alias("find_value"), F.create_map(F.lit(environment), "guid").alias("replace_value"),
+        (F.col("id_ord") + F.col("after") + 1).alias("ord"), layer.alias("__layer"))
+    steps = mapping.select(
+        "find_value", "replace_value", F.col("ord").cast("bigint").alias("ord"), F.lit(None).cast("string").alias("__layer")).unionByName(ids)
+    texts = apply_find_replace(wanted.withColumn("__layer", F.lower("layer")), "text", steps, environment, scope="__layer")
+    return texts.drop("__layer"), reconcile(wanted, filter_layers(actual, "layer", names), ["layer", "item"], remove_orphans)
 
 
 def bind_models(

@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -45,9 +46,28 @@ def test_replacements_are_literal_and_in_order(spark):
         [("b", {"tst": "c$1\\"}, 2), ("a", {"tst": "b"}, 1), ("z", {"prd": "never"}, 3), ("q", {"tst": ""}, 4)],
         "find_value string, replace_value map<string,string>, ord int")
     df = spark.createDataFrame([("aab",), ("zqz",)], "t string")
-    for bound in (256, 2):
-        got = sorted(r.t for r in N.apply_find_replace(df, "t", mapping, "tst", bound).collect())
-        assert got == ["c$1\\c$1\\c$1\\", "zz"]
+    got = sorted(r.t for r in N.apply_find_replace(df, "t", mapping, "tst").collect())
+    assert got == ["c$1\\c$1\\c$1\\", "zz"]
+
+
+def test_replacements_that_follow_from_others(spark):
+    """Values that hold, complete or join into other find values, against plain replacement one after the other."""
+    rng = random.Random(6)
+    word = lambda lo, hi: "".join(rng.choice("abc-") for _ in range(rng.randrange(lo, hi)))
+    entries = [(word(1, 6), word(0, 5), i, rng.choice((None, None, "x", "y"))) for i in range(60)]
+    rng.shuffle(entries)
+    rows = [(word(0, 30), s) for s in ("x", "y", None) for _ in range(60)] + [(None, "x"), ("", "y")]
+
+    def by_hand(text, scope):
+        for find, value, _, where in sorted(entries, key=lambda e: e[2]):
+            text = text.replace(find, value) if text is not None and where in (None, scope) else text
+        return text
+
+    mapping = spark.createDataFrame(
+        [(f, {"tst": v}, o, s) for f, v, o, s in entries], "find_value string, replace_value map<string,string>, ord int, s string")
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "i int, t string, s string")
+    got = dict(N.apply_find_replace(df, "t", mapping, "tst", scope="s").select("i", "t").collect())
+    assert got == {i: by_hand(t, s) for i, (t, s) in enumerate(rows)}
 
 
 def test_quoted_head(spark):

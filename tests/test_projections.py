@@ -1,9 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from lakekeel.functions import text as tx
 from lakekeel.operators import project as P
+from lakekeel.plans.grams import containing
 from lakekeel.sources import scans, sinks
 
 
@@ -67,14 +69,34 @@ def test_label_rules(spark):
                    "bolt red": None, "ring red": None, "none": None}
 
 
-def test_first_match_over_the_bound_is_the_same(spark, rows):
-    texts = ["ring", "red ring", "credo", "a red a", "", None, "anvil", "ring"]
+def test_first_match_of_a_table_and_a_list(spark, rows):
+    rng = random.Random(3)
+    texts = ["ring", "red ring", "credo", "a red a", "", None, "anvil", "ring", "ünïcödé ä", "line\nfeed x"]
+    texts += ["".join(rng.choice("abcé") for _ in range(rng.randrange(40))) for _ in range(300)]
+    rules = [("ring", "R"), ("red", "D"), ("a\tb", "T"), ("red", "late"), ("il", "I"), ("cödé", "U"), ("\nfe", "N"), (None, "null")]
+    rules += [("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))), f"r{i}") for i in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rules = P.rule_frame(spark, [("ring", "R"), ("red", "D"), ("a", "A"), ("red", "late"), ("il", "I")])
-    inline = P.classify_first_match(df, "t", rules).select("i", "label")
-    joined = P.classify_first_match(df, "t", rules, block=2).select("i", "label")
-    assert rows(inline) == rows(joined)
-    assert dict(inline.collect())[2] == "D"
+    for own in (rules, [*rules, ("", "every")]):
+        want = {i: next((x for n, x in own if n is not None and t is not None and n in t), None) for i, t in enumerate(texts)}
+        listed = P.classify_first_match(df, "t", own).select("i", "label")
+        looked_up = P.classify_first_match(df, "t", P.rule_frame(spark, own)).select("i", "label")
+        assert dict(listed.collect()) == dict(looked_up.collect()) == want
+
+
+def test_needles_are_found_without_a_broadcast(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(200)]
+    needles = {"".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9))) for _ in range(150)}
+    df, many = (spark.createDataFrame([(x,) for x in sorted(set(v))], f"{c} string") for v, c in ((texts, "text"), (needles, "needle")))
+    want = {(t, n) for t in texts for n in needles if n in t}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for value in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            got = [tuple(r) for r in containing(df, many).collect()]
+            assert set(got) == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_private_link_rules_are_case_sensitive_and_ordered(spark):
