@@ -47,13 +47,14 @@ def keyed_upsert(
     New keys come after all base rows, in the order of their first write. ``base`` has one row per key and
     its position in ``pos``; ``changes`` has the other columns of ``base`` and the write order ``seq``. The
     result has the columns of ``base`` and ``is_new``; new rows have their first ``seq`` as position. A null in
-    the key is a value like any other: a change with a null key replaces the base row with a null key.
+    the key is a value like any other: a change with a null key replaces the base row with a null key. A change
+    without ``seq`` counts as written before all others of its key.
 
     The changes are cut to one row per key in the map tasks, and one full outer join reads each side once.
     """
     keys = as_list(key)
     payload = [c for c in base.columns if c not in (*keys, pos)]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*payload), seq).alias("__new"), F.min(seq).alias("__first"))
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(F.col(seq).isNotNull(), F.col(seq))).alias("__new"), F.min(seq).alias("__first"))
     last = last.select(*[F.col(k).alias(f"__n{i}") for i, k in enumerate(keys)], "__new", "__first")
     old = base.withColumn("__old", F.lit(True))
     rows = old.join(last, _same(old, last, [(k, f"__n{i}") for i, k in enumerate(keys)]), "full_outer")

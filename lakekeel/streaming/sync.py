@@ -3,18 +3,80 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from lakekeel.operators.project import sync_status
-from lakekeel.plans.skew import as_list, first_per_key, lookup_join
-
-BATCH, BASE = "batch_id", "upto"
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from lakekeel.plans.skew import as_list
+
+BATCH, BASE, KIND = "batch_id", "upto", "kind"
+ROW, COUNT = "row", "count"  # kinds of what a batch writes: whole rows, or counts of keys that are up to date
+CHANGES = "n_changes"
+
+
+def _newest_of_batch(keys: Sequence[str], order: Sequence[str]):
+    """In every Arrow batch one row per key, the newest, with the number of its rows: what a busy key costs later."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            by = [(c, "ascending") for c in (*keys, *order)]
+            rows = rows.take(pc.sort_indices(rows, sort_keys=by, null_placement="at_start")).combine_chunks()
+            last = np.zeros(len(rows), bool)
+            last[-1] = True
+            for k in keys:
+                c = rows.column(k)
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+                last[:-1] |= other.to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(last)
+            kept = rows.take(pa.array(at)).append_column(CHANGES, pa.array(np.diff(at, prepend=-1)))
+            yield from kept.to_batches()
+
+    return run
+
+
+class NewestRow(StatefulProcessor):
+    """Holds, per key, the order and head of the newest row so far and the number of changes; hands on newer rows."""
+
+    def __init__(self, keys: Sequence[str], rest: Sequence[str], order: Sequence[str], head: str | None, state: T.StructType):
+        self.keys, self.rest, self.order, self.head, self.state = keys, rest, order, head, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("newest", self.state)
+
+    def _place(self, row) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in self.order)  # null is before all values
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest, n = None, 0
+        for r in rows:
+            n += r[CHANGES]
+            if newest is None or self._place(r) > self._place(newest):
+                newest = r
+        was = self.held.get() if self.held.exists() else None
+        n += was[-1] if was is not None else 0
+        order = [newest[c] for c in self.order]
+        write = was is None or self._place(newest) >= self._place(dict(zip(self.order, was)))
+        if not write:
+            order = list(was[:len(self.order)])
+        elif was is not None and self.head is not None:
+            write = newest[self.head] != was[len(self.order)]
+        head = [] if self.head is None else [newest[self.head] if write or was is None else was[len(self.order)]]
+        self.held.update((*order, *head, n))
+        out = {c: newest[c] if write else None for c in self.rest}
+        yield Row(**dict(zip(self.keys, key)), **out, **{CHANGES: n, KIND: ROW if write else COUNT})
+
+    def close(self) -> None:
+        pass
 
 
 def sync_stream(
@@ -29,37 +91,33 @@ def sync_stream(
 ) -> StreamingQuery:
     """Write, per micro-batch, the newest row of every key that changed in it.
 
-    The newest row so far is the state of a streaming aggregate, so changes are combined in the map tasks and a busy
-    key is no hot spot; on conflict the streamed row wins. With ``head``, the column that tells versions apart, a key
-    whose newest row has the head that the target has already is up to date and is not written again. A batch owns
-    the folder of its number and overwrites it when it is run again, which makes retries harmless.
+    The order and head of the newest row of every key are the state of the stream; changes are combined per Arrow
+    batch before they go to their key, so a busy key is no hot spot. A row that is older than what the target has is
+    not written; on equal order the streamed row wins. With ``head``, the column that tells versions apart, a row
+    whose head is that of the newest row so far is up to date and is not written again; only the number of
+    changes of its key is. No batch reads the target. A batch owns the folder of its number and overwrites it when it is
+    run again, which makes retries harmless.
 
-    Every ``compact_every`` batches the current rows are written as a new base. From then on readers, and the stream
-    itself, read that base and the batches after it.
+    Every ``compact_every`` batches the current rows are written as a new base. From then on readers read that
+    base and the batches after it.
     """
     keys, order = as_list(key), as_list(ord)
     rest = [c for c in stream.columns if c not in keys]
-    newest = stream.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"), F.count("*").alias("n_changes")
-    )
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    state = T.StructType([T.StructField(f"o{i}", kinds[c]) for i, c in enumerate(order)]
+                         + ([] if head is None else [T.StructField("head", kinds[head])]) + [T.StructField("n", T.LongType())])
+    slim = T.StructType([*stream.schema.fields, T.StructField(CHANGES, T.LongType())])
     schema = target_schema(stream, keys)
+    result = T.StructType([*[f for f in schema.fields if f.name not in (BATCH, KIND)], T.StructField(KIND, T.StringType())])
+    newest = stream.mapInArrow(_newest_of_batch(keys, order), slim).groupBy(*keys).transformWithState(
+        NewestRow(keys, rest, order, head, state), outputStructType=result, outputMode="Update", timeMode="None")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*keys, "__row.*", "n_changes")
-        if head is not None and batch_id > 0:
-            held = current_rows(spark, target_path, schema, keys, before=batch_id).select(
-                *keys, F.col(head).alias("__head"), F.lit(True).alias("__held"))
-            judged = sync_status(lookup_join(rows, held, keys), "__head", head, out="__status")
-            skip = F.col("__held").isNotNull() & (F.col("__status") != "update")
-            rows = judged.filter(~F.coalesce(skip, F.lit(False))).select(*rows.columns)
-        rows.write.mode("overwrite").parquet(f"{target_path}/{BATCH}={batch_id}")
+        batch.write.mode("overwrite").partitionBy(KIND).parquet(f"{target_path}/{BATCH}={batch_id}")
         if compact_every and batch_id % compact_every == compact_every - 1:
-            compact(spark, target_path, schema, keys, batch_id)
+            compact(batch.sparkSession, target_path, schema, keys, batch_id)
 
-    writer = (
-        newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    )
+    writer = newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -68,7 +126,7 @@ def sync_stream(
 def target_schema(stream: DataFrame, key: str | Sequence[str]) -> T.StructType:
     keys = as_list(key)
     fields = [stream.schema[k] for k in keys] + [f for f in stream.schema.fields if f.name not in keys]
-    return T.StructType([*fields, T.StructField("n_changes", T.LongType()), T.StructField(BATCH, T.LongType())])
+    return T.StructType([*fields, T.StructField(CHANGES, T.LongType()), T.StructField(BATCH, T.LongType()), T.StructField(KIND, T.StringType())])
 
 
 def _bases(spark: SparkSession, target_path: str) -> list[int]:
@@ -86,15 +144,21 @@ def _bases(spark: SparkSession, target_path: str) -> list[int]:
 def current_rows(
     spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str], before: int | None = None
 ) -> DataFrame:
-    """The target as of now, or before a batch: the row of the last batch that wrote the key."""
+    """The target as of now, or before a batch: the row of the last batch that wrote the key, and its changes so far."""
     log = spark.read.schema(schema).option("basePath", target_path).parquet(target_path)
     if before is not None:
         log = log.filter(F.col(BATCH) < before)
     bases = [b for b in _bases(spark, target_path) if before is None or b < before]
     if bases:
-        kept = spark.read.schema(schema).parquet(f"{target_path}-{BASE}={bases[-1]}")
-        log = log.filter(F.col(BATCH) > bases[-1]).unionByName(kept.withColumn(BATCH, F.lit(bases[-1]).cast("bigint")))
-    return first_per_key(log, key, [BATCH], last=True).drop(BATCH)
+        plain = T.StructType([f for f in schema.fields if f.name not in (BATCH, KIND)])
+        kept = spark.read.schema(plain).parquet(f"{target_path}-{BASE}={bases[-1]}")
+        kept = kept.withColumns({BATCH: F.lit(bases[-1]).cast("bigint"), KIND: F.lit(ROW)})
+        log = log.filter(F.col(BATCH) > bases[-1]).unionByName(kept)
+    keys = as_list(key)
+    rest = [f.name for f in schema.fields if f.name not in (*keys, CHANGES, BATCH, KIND)]
+    found = log.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), F.when(F.col(KIND) == ROW, F.col(BATCH))).alias("__row"), F.max(CHANGES).alias(CHANGES))
+    return found.select(*keys, "__row.*", CHANGES)
 
 
 def compact(spark: SparkSession, target_path: str, schema: T.StructType, key: str | Sequence[str], upto: int) -> None:

@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from lakekeel.plans import zones
@@ -44,12 +46,31 @@ def test_equal_heads_are_not_written_again_and_bases_are_used(spark, tmp_path, r
     target = str(tmp_path / "target")
     q = finish(sync_stream(stream, target, "user_id", ["ts", "event_id"], str(tmp_path / "ck"), head="event_id", compact_every=2))
     batches = len({p.batchId for p in map(_progress, q.recentProgress)})
-    log = spark.read.parquet(target)
+    log = spark.read.parquet(target).filter("kind = 'row'")
     assert log.count() == log.select("user_id", "event_id").distinct().count()  # each version once
     assert batches >= 3 and spark.read.parquet(f"{target}-upto=1").count() > 0
     got = current_rows(spark, target, target_schema(stream, "user_id"), "user_id")
     want = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     assert rows(got.select("user_id", "event_id")) == rows(want)
+    delivered = spark.read.parquet(str(tmp_path / "src")).groupBy("user_id").agg(F.count("*").alias("n_changes"))
+    assert rows(got.select("user_id", "n_changes")) == rows(delivered)
+
+
+def test_sync_of_null_keys_late_rows_and_ties(spark, tmp_path, rows):
+    """File by file: an older row and an equal head change the count only, a null key is a key."""
+    schema = "k string, at int, head string, x int"
+    steps = [[("a", 5, "h1", 1), (None, 1, "n1", 2), ("b", None, "b0", 3)], [("a", 3, "h0", 4), (None, 2, "n2", 5)],
+             [("a", 7, "h1", 6), ("b", None, "b1", 7), ("a", 6, "h9", 8)], [("a", 8, "h2", 9)]]
+    src, target, ck = (str(tmp_path / x) for x in ("src", "target", "ck"))
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        finish(sync_stream(stream, target, "k", "at", ck, head="head", compact_every=3))
+    got = current_rows(spark, target, target_schema(stream, "k"), "k")
+    assert rows(got) == rows(spark.createDataFrame(
+        [("a", 8, "h2", 9, 5), (None, 2, "n2", 5, 2), ("b", None, "b1", 7, 2)], schema + ", n_changes bigint"))
+    written = spark.read.parquet(target).filter("kind = 'row'").select("k", "head")
+    assert rows(written) == rows(spark.createDataFrame([("a", "h1"), (None, "n1"), ("b", "b0"), (None, "n2"), ("b", "b1"), ("a", "h2")], "k string, head string"))
 
 
 class _progress:
@@ -62,13 +83,26 @@ def test_ingest_keeps_each_event_once_and_drops_no_old_one(spark, tmp_path, rows
     landing = str(tmp_path / "landing")
     finish(ingest_stream(stream, landing, "event_id", "ts", str(tmp_path / "ck")))
     schema = landing_schema(events.schema)
-    assert rows(landed(spark, landing, schema).drop("batch_id", "event_date")) == rows(events)
+    assert rows(landed(spark, landing, schema).drop("batch_id", "key_part", "event_date")) == rows(events)
     # all of them once more, in a new source file after a restart
     events.repartition(1).write.mode("append").parquet(str(tmp_path / "src"))
     finish(ingest_stream(stream, landing, "event_id", "ts", str(tmp_path / "ck")))
     assert landed(spark, landing, schema).count() == events.count()
 
 
+def test_ingest_of_null_keys_and_changed_dates(spark, tmp_path, rows):
+    """Rows without a key land each; a repeat under another date does not; the earliest of a batch stays."""
+    schema = "id bigint, ts timestamp_ntz, v int"
+    day = lambda d: datetime.datetime(2024, 1, d)
+    src, landing, ck = (str(tmp_path / x) for x in ("src", "landing", "ck"))
+    for step in ([(1, day(2), 1), (1, day(1), 2), (None, day(1), 3), (None, day(1), 3), (None, day(2), 4)],
+                 [(1, day(9), 5), (2, day(1), 6), (None, None, 7), (3, None, 8)], [(2, day(3), 9), (3, day(1), 10)]):
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(src)
+        finish(ingest_stream(spark.readStream.schema(schema).parquet(src), landing, "id", "ts", ck, parts=3))
+    got = landed(spark, landing, landing_schema(spark.createDataFrame([], schema).schema))
+    assert sorted(r.v for r in got.collect()) == [2, 3, 3, 4, 6, 7, 8]
+
+
 def test_base_is_upserted_and_landing_grows(spark, tmp_path):
     tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders", "customer", "nation")}
     first = zones.zone_pipeline(tables, str(tmp_path))
