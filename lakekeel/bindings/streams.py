@@ -72,6 +72,35 @@ def zone_pipeline(spark, sf):
     return curated.withColumn("revenue", F.col("revenue").cast("double"))
 
 
+@query(
+    "zone_two_loads",
+    """
+    WITH second AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * 2 AS price, l_discount / 2 AS discount
+                    FROM lineitem WHERE l_linenumber = 1 OR l_quantity > 45),
+    l AS (SELECT l_orderkey, coalesce(s.price, l_extendedprice) AS price, coalesce(s.discount, l_discount) AS discount,
+                 (l_discount <= 0.08 OR s.price IS NOT NULL) AND l_quantity > 0 AND l_shipdate IS NOT NULL AS ok
+          FROM lineitem LEFT JOIN second s USING (l_orderkey, l_linenumber, l_partkey, l_suppkey))
+    SELECT n_name, strftime(o_orderdate, '%Y-%m') AS month,
+           CAST(sum(CAST(price AS DECIMAL(12,2)) * (1 - CAST(discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
+           count(DISTINCT o_orderkey) AS n_orders
+    FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+         JOIN nation ON c_nationkey = n_nationkey
+    WHERE ok GROUP BY 1, 2
+    """,
+)
+def zone_two_loads(spark, sf):
+    """A second load brings some lines twice with another price and ship date: the later row of the load stays."""
+    sources = {t: table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation")}
+    out = work_path(spark, "zones")
+    zones.zone_pipeline(sources, out)
+    some = sources["lineitem"].filter("l_linenumber = 1 OR l_quantity > 45").withColumn("l_shipdate", F.expr("l_shipdate + interval 1 day"))
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    first = some.withColumns({"l_extendedprice": price * 3, "l_discount": F.lit(0.01)})
+    last = some.withColumns({"l_extendedprice": price * 2, "l_discount": discount / 2})
+    curated = zones.zone_pipeline({**sources, "lineitem": first.unionByName(last)}, out)["curated"]
+    return curated.withColumn("revenue", F.col("revenue").cast("double"))
+
+
 @query(
     "zone_rejects",
     f"WITH {CHECKED} SELECT l_orderkey, l_partkey, l_linenumber, 'discount_in_range' AS failed FROM l WHERE NOT ok",

@@ -6,37 +6,61 @@ import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekeel.operators.upsert import keyed_upsert
+from lakekeel.plans.ranges import ranked_values
+from lakekeel.session import stage
 
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
 
 
+LOADED, SOURCE, PLACE = "_loaded_at", "_source", "_place"
+
+
 def land(df: DataFrame, path: str, source: str) -> DataFrame:
-    """Append a raw copy as a load of its own, with load columns; returns the rows of this load."""
+    """Append a raw copy as a load of its own, with load columns; returns the rows of this load.
+
+    ``_place`` is the order of a row within all loads: the time of the load, the file and the place in the file.
+    """
     load = f"{path}/load={uuid.uuid4().hex[:12]}"
-    df.withColumns({"_source": F.lit(source), "_loaded_at": F.current_timestamp()}).write.parquet(load)
-    extra = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_loaded_at", T.TimestampType())])
-    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, *extra.fields])).parquet(load)
+    df.withColumns({SOURCE: F.lit(source), LOADED: F.current_timestamp()}).write.parquet(load)
+    extra = [T.StructField(SOURCE, T.StringType()), T.StructField(LOADED, T.TimestampType())]
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, *extra])).parquet(load)
+    return rows.withColumn(PLACE, F.struct(LOADED, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
-def upsert_base(rows: DataFrame, known: DataFrame | None, path: str, keys: Sequence[str], seq: str) -> DataFrame:
-    """Write the next version of a Base table: ``known`` (its last version, or None) with ``rows`` upserted.
+PARTS = 64  # of a Base table, by hash of its key
+PART = "_part"
 
-    Rows of an old key replace it whole; of several rows of one key the last by ``seq`` counts. The old version
-    stays readable while the new one is written.
+
+def upsert_base(rows: DataFrame, path: str, keys: Sequence[str], seq: str, parts: int = PARTS) -> DataFrame:
+    """Upsert ``rows`` into the Base table at ``path``, which is made by the first load; returns the table.
+
+    Rows of an old key replace it whole; of several rows of one key the last by ``seq`` counts. The table is
+    partitioned by hash of the key. Only the parts that hold keys of the load are read, staged and overwritten; all
+    others stay as they are. A load that is run again gives the same table. ``parts`` is fixed by the first load.
     """
-    plain = rows.drop(seq)
-    base = plain.limit(0) if known is None else known.select(*plain.columns)
-    placed = base.withColumn("_pos", F.lit(None).cast(rows.schema[seq].dataType))  # the order of rows is of no interest
-    merged = keyed_upsert(placed, rows, keys, seq, "_pos").select(*plain.columns)
-    version = f"{path}/version={uuid.uuid4().hex[:12]}"
-    merged.write.parquet(version)
-    return rows.sparkSession.read.schema(plain.schema).parquet(version)
+    spark = rows.sparkSession
+    plain = T.StructType([f for f in rows.schema.fields if f.name != seq])
+    schema = T.StructType([*plain.fields, T.StructField(PART, T.IntegerType())])
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    marked = rows.withColumn(PART, part)
+    touched = [r[0] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
+    try:
+        known = spark.read.schema(schema).parquet(path).filter(F.col(PART).isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    placed = known.withColumn("_pos", F.lit(None).cast(rows.schema[seq].dataType))  # the order of rows is of no interest
+    merged = stage(keyed_upsert(placed, marked, keys, seq, "_pos").select(*schema.names), "base")  # reads what it replaces
+    merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    return spark.read.schema(schema).parquet(path).drop(PART)
 
 
 def split_rejects(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -78,16 +102,14 @@ def revenue_by_nation_month(lines: DataFrame, orders: DataFrame, customers: Data
     )
 
 
-LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def zone_pipeline(
-    sources: Mapping[str, DataFrame], out_dir: str, base: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    """Landing: raw copies, one load after the other. Base: typed lines, upserted, rejects apart. Curated: revenue.
+def zone_pipeline(sources: Mapping[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
+    """One load. Landing: raw copies, load after load. Base: typed lines, upserted, rejects apart. Curated: revenue.
 
-    ``sources`` holds lineitem, orders, customer and nation; ``base`` is the Base table of the run before. Lines are
-    checked in one pass over the landing, which is written once, by result.
+    ``sources`` holds lineitem, orders, customer and nation; what earlier loads have left in ``out_dir`` is the Base
+    that this one adds to. Lines are checked in one pass over the landing, which is written once, by result.
     """
     landing = {name: land(df, f"{out_dir}/landing/{name}", name) for name, df in sources.items()}
     lines = landing["lineitem"]
@@ -107,8 +129,8 @@ def zone_pipeline(
             "l_tax": F.col("l_tax").cast(RATE),
             "l_shipdate": F.col("l_shipdate").cast("date"),
         }
-    ).drop("_source")
-    now = upsert_base(typed, base, f"{out_dir}/base/lineitem", LINE_KEY, "_loaded_at")
+    ).drop(SOURCE, LOADED)
+    now = upsert_base(typed, f"{out_dir}/base/lineitem", LINE_KEY, PLACE)
     revenue = revenue_by_nation_month(now, landing["orders"], landing["customer"], landing["nation"])
     curated = f"{out_dir}/curated/revenue"
     revenue.write.mode("overwrite").parquet(curated)
@@ -124,27 +146,21 @@ def deploy_log_metrics(events: DataFrame) -> DataFrame:
     """Per event type and day: events, share of the day's events, median and 95th percentile of the value.
 
     Percentiles are exact: the least value up to which that share of the values lies. Equal values are counted in
-    the map tasks first; the running counts of a type and day go over its distinct values, sorted, not in memory.
+    the map tasks first; ``ranked_values`` then picks the values by their ranks, without all values of a group in one task.
     """
     kind = ["day", "event_type"]
-    values = events.groupBy(F.to_date("ts").alias("day"), "event_type", "value").agg(F.count("*").alias("c"))
-    known = F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)
-    upto = Window.partitionBy(*kind).orderBy(F.col("value").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    totals = values.groupBy(*kind).agg(F.sum(known).alias("n_known"))  # one row per type and day
-    ranked = values.withColumn("upto", F.sum(known).over(upto)).join(totals, kind)
-
-    def percentile(share: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col("n_known") * share, F.col("value")))
-
-    counts = ranked.groupBy(*kind).agg(
+    values = stage(events.groupBy(F.to_date("ts").alias("day"), "event_type", "value").agg(F.count("*").alias("c")), "values")
+    counts = values.groupBy(*kind).agg(
         F.sum("c").alias("n"),
         F.sum(F.when(F.col("value") > 100, F.col("c")).otherwise(0)).alias("n_slow"),
-        percentile(0.5).alias("p50"),
-        percentile(0.95).alias("p95"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
     )
+    shares = {"p50": 0.5, "p95": 0.95}
+    found = ranked_values(values.filter("value is not null"), kind, "value", "c", list(shares.values()))
+    picked = found.groupBy(*kind).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(p) for p, s in shares.items()])
+    same = [counts[c].eqNullSafe(picked[c]) for c in kind]
+    counts = counts.join(picked, same[0] & same[1], "left").select(*[counts[c] for c in counts.columns], *shares)
     day = Window.partitionBy("day")  # one row per event type by now
     days = counts.withColumns(
         {

@@ -43,7 +43,9 @@ def ingest_stream(
             known = landed(spark, target_path, schema).filter((F.col(BATCH) < batch_id) & F.col(PART).isin(own))
             once = once.join(known.select(PART, key), [PART, key], "left_anti").select(*rows.columns)
         every = once.unionByName(rows.filter(F.col(key).isNull()))
-        every.write.mode("overwrite").partitionBy(PART, DAY).parquet(f"{target_path}/{BATCH}={batch_id}")
+        # a file per part and batch; dates are in order within it, so that readers of some dates skip row groups
+        every.repartition(PART).sortWithinPartitions(PART, DAY).write.mode("overwrite").partitionBy(PART).parquet(
+            f"{target_path}/{BATCH}={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
@@ -52,7 +54,7 @@ def ingest_stream(
 
 
 def landing_schema(events: T.StructType) -> T.StructType:
-    own = [T.StructField(BATCH, T.LongType()), T.StructField(PART, T.IntegerType()), T.StructField(DAY, T.DateType())]
+    own = [T.StructField(DAY, T.DateType()), T.StructField(BATCH, T.LongType()), T.StructField(PART, T.IntegerType())]
     return T.StructType([*events.fields, *own])
 
 

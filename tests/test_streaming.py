@@ -1,8 +1,10 @@
 import datetime
+import math
 
 from pyspark.sql import functions as F
 
 from lakekeel.plans import zones
+from lakekeel.plans.ranges import ranked_values
 from lakekeel.streaming.ingest import ingest_stream, landed, landing_schema
 from lakekeel.streaming.sync import compact, current_rows, sync_stream, target_schema
 
@@ -108,7 +110,11 @@ def test_base_is_upserted_and_landing_grows(spark, tmp_path):
     first = zones.zone_pipeline(tables, str(tmp_path))
     n = first["base"].count()
     changed = tables["lineitem"].limit(50).withColumn("l_tax", F.lit(0.01))
-    second = zones.zone_pipeline({**tables, "lineitem": changed}, str(tmp_path), first["base"])
+    parts = lambda: {p.name: {f.name for f in p.glob("*.parquet")} for p in (tmp_path / "base" / "lineitem").glob("_part=*")}
+    before, own = parts(), changed.select(F.pmod(F.xxhash64(*zones.LINE_KEY), F.lit(zones.PARTS))).distinct().count()
+    second = zones.zone_pipeline({**tables, "lineitem": changed}, str(tmp_path))
+    after = parts()
+    assert len(before) == zones.PARTS > own >= sum(before[p] != after[p] for p in before) > 0  # others are not rewritten
     assert second["base"].count() == n
     assert spark.read.parquet(str(tmp_path / "landing" / "lineitem")).count() == tables["lineitem"].count() + 50
     ok = changed.filter("l_quantity > 0 and l_discount between 0 and 0.08").count()
@@ -133,3 +139,16 @@ def test_percentiles_are_exact(spark):
         F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), (F.col("id") / 7).alias("value"))
     r = zones.deploy_log_metrics(df).first()
     assert (r.p50, r.p95) == (50_000 / 7, 95_000 / 7)
+
+
+def test_percentiles_of_a_group_of_a_third_of_all_rows(spark):
+    rows = spark.range(0, 30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 50)).alias("g"),
+        F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double")).alias("v"), (F.col("id") % 4).alias("c"))
+    once = rows.filter("v is not null and c > 0").groupBy("g", "v").agg(F.sum("c").alias("c"))
+    got = {(r.g, r.share): r.v for r in ranked_values(once, ["g"], "v", "c", [0.5, 0.95, 1.0], ranges=16).collect()}
+    lists = {}
+    for r in once.collect():
+        lists.setdefault(r.g, []).extend([r.v] * r.c)
+    want = {(g, s): sorted(vs)[max(math.ceil(len(vs) * s) - 1, 0)] for g, vs in lists.items() for s in (0.5, 0.95, 1.0)}
+    assert got == want
