@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakekeel.bindings.registry import query, table
@@ -34,6 +35,47 @@ def explode_pages(spark, sf):
     return scans.explode_pages(pages, "value", ["conv_id", "page_no"])
 
 
+PAGED = """
+    t AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 2) - 1 AS page_no FROM conversations),
+    p AS (SELECT *, conv_id % 3 = 0 AND max(page_no) OVER (PARTITION BY conv_id) > 0 AS broken FROM t)
+"""
+
+
+def _saved_pages(spark, sf):
+    """Pages of two turns in no order, each with its token and that of the next; some chains lack their second page."""
+    page = F.floor(F.col("turn") / 2).alias("at")
+    pages = table(spark, sf, "conversations").groupBy("conv_id", page).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("value"))
+    of = Window.partitionBy("conv_id").orderBy("at")  # the pages of one listing
+    token = lambda no: F.md5(F.concat_ws("/", "conv_id", no))
+    rows = pages.withColumns({"no": F.row_number().over(of), "more": F.lead("at").over(of).isNotNull()}).withColumns({
+        "token": F.when(F.col("no") > 1, token("no")), "next_token": F.when(F.col("more"), token(F.col("no") + 1))})
+    kept = rows.filter("NOT (conv_id % 3 = 0 AND no = 2)").drop("at", "no", "more")
+    return scans.ordered_pages(kept.repartition("token"), "conv_id", "token", "next_token")
+
+
+@query(
+    "explode_continued_pages",
+    f"""
+    WITH {PAGED}
+    SELECT conv_id, CAST(page_no AS BIGINT) AS page_no,
+           CAST(row_number() OVER (PARTITION BY conv_id, page_no ORDER BY turn) - 1 AS INTEGER) AS pos, turn, role, text
+    FROM p WHERE NOT broken OR page_no = 0
+    """,
+)
+def explode_continued_pages(spark, sf):
+    return scans.explode_pages(_saved_pages(spark, sf)[0], "value", ["conv_id", "page_no"])
+
+
+@query(
+    "unreached_pages",
+    f"WITH {PAGED} SELECT conv_id, min(turn) AS first_turn, count(*) AS n FROM p WHERE broken AND page_no > 1 GROUP BY conv_id, page_no",
+)
+def unreached_pages(spark, sf):
+    lost = _saved_pages(spark, sf)[1]
+    return lost.select("conv_id", F.col("value")[0]["turn"].alias("first_turn"), F.size("value").cast("bigint").alias("n"))
+
+
 @query(
     "explode_pages_guid",
     """
@@ -132,7 +174,9 @@ def write_canonical_json(spark, sf):
         F.col("c_custkey").alias("id"),
         F.col("c_acctbal").alias("acctbal"),
     )
-    return sinks.write_canonical_json(rows)
+    path = work_path(spark, "canonical")
+    sinks.write_canonical_json(rows, path)
+    return spark.read.text(path).withColumnRenamed("value", "json")  # what is in the files
 
 
 @query(
@@ -147,6 +191,24 @@ def assign_identity(spark, sf):
     return sinks.assign_identity(orders, ["o_orderdate", "o_orderkey"])
 
 
+@query(
+    "extend_identity",
+    """
+    WITH c AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS early FROM orders GROUP BY 1),
+    n AS (SELECT o_custkey, row_number() OVER (ORDER BY early DESC, o_custkey) AS id FROM c)
+    SELECT o_orderkey, o_custkey, id FROM orders JOIN n USING (o_custkey)
+    """,
+)
+def extend_identity(spark, sf):
+    """Two loads, the second one twice: the customers of finished orders, then those of all."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path = work_path(spark, "customer-ids")
+    sinks.extend_identity(orders.filter("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", path, 1)
+    every = orders.select("o_orderkey", "o_custkey")
+    sinks.extend_identity(every, "o_custkey", path, 2)
+    return sinks.extend_identity(every, "o_custkey", path, 2)
+
+
 @query(
     "checked_names",
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from lakekeel.functions.text import is_guid
 from lakekeel.plans.skew import as_list, first_per_key
+from lakekeel.session import stage
 
 
 def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -62,6 +64,48 @@ def explode_pages(
     return item.select(*keep, "pos", "__item.*")
 
 
+def ordered_pages(
+    pages: DataFrame, source: str | Sequence[str], token: str, next_token: str
+) -> tuple[DataFrame, DataFrame]:
+    """Pages saved in any order, with their ``page_no`` in the order of their continuation; and those out of reach.
+
+    The first page of a source has no ``token``; every other page has the one that the page before it names as
+    ``next_token``. Pages behind a missing one or in a circle are out of reach, and so are those from a token on that
+    two pages have or two pages name, or from a second first page on. Steps towards the first page double in each
+    round, so a chain of n pages takes log n rounds of joins, each written to the shared folder.
+    """
+    keys = as_list(source)
+    own = F.coalesce(F.col(token), F.lit("")).alias("at")
+
+    def at(column: str) -> Column:
+        """Whether the other side is the page whose token ``column`` has."""
+        return reduce(lambda x, y: x & y, [F.col(column) == F.col("__at"), *[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]])
+
+    def named(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("at").alias("__at"), *more)
+
+    links = stage(pages.select(*keys, own, F.col(next_token).alias("to")), "pages")
+    single = links.groupBy(*keys, "at").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    before = links.filter("to <> ''").groupBy(*keys, F.col("to").alias("at0")).agg(
+        F.min("at").alias("back"), F.count("*").alias("n")).filter("n = 1").select(*keys, F.col("at0").alias("at"), "back")
+    back = named(before, F.col("back").alias("back"))
+    # (source, at, back, n): n steps lead from a page back to another; the first page has the token "" and stays
+    first = F.col("at") == ""
+    now = stage(single.join(back, at("at"), "left").select(
+        *keys, "at", F.when(first, "").otherwise(F.col("back")).alias("back"),
+        F.when(first, 0).otherwise(1).cast("bigint").alias("n")).filter("back is not null"), "steps")
+    for _ in range(links.count().bit_length()):  # after that many rounds only circles are left
+        if now.filter("back <> ''").isEmpty():
+            break
+        ahead = named(now, F.col("back").alias("__back"), F.col("n").alias("__n"))
+        now = stage(now.join(ahead, at("back")).select(
+            *keys, "at", F.col("__back").alias("back"), (F.col("n") + F.col("__n")).alias("n")), "steps")
+    there = named(now.filter("back = ''"), F.col("n").alias("page_no"))
+    marked = pages.withColumn("at", own)
+    reached = marked.join(there, at("at"), "left").select(*pages.columns, "page_no")
+    return reached.filter("page_no is not null"), reached.filter("page_no is null").drop("page_no")
+
+
 def named_text(df: DataFrame, path: Column | str, text: str, names: Sequence[str]) -> DataFrame:
     """Keep the rows whose last path segment is one of ``names``, whatever the case."""
     path = F.col(path) if isinstance(path, str) else path

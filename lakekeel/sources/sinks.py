@@ -1,14 +1,15 @@
-"""Writers: canonical JSON and gap-free keys."""
+"""Writers: canonical JSON and gap-free keys, also over several loads."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakekeel.plans.skew import as_list, order_cols
+from lakekeel.plans.skew import as_list, distinct_keys, lookup_join, order_cols
 from lakekeel.session import stage
 
 
@@ -81,3 +82,40 @@ def assign_identity(
         .join(F.broadcast(offsets), "__part")  # one row per range: n rows at most
         .select((F.col("__before") + place + F.lit(start)).alias(name), *[f"`{c}`" for c in df.columns])
     )
+
+
+LOAD = "load_no"
+
+
+def identity_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The keys that have a number, with it and with the load that gave it; none before the first load."""
+    full = T.StructType([*schema.fields, T.StructField(LOAD, T.LongType())])
+    try:
+        return spark.read.schema(full).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
+
+def extend_identity(
+    df: DataFrame, key: str | Sequence[str], path: str, load: int, name: str = "id", start: int = 1
+) -> DataFrame:
+    """``df`` with the number of its key: old keys keep theirs, new ones continue without gaps in the order of the key.
+
+    The numbers live in the table at ``path``, a folder a load. Where a load begins is the high-water mark of the
+    loads with smaller numbers, so a load that is run again gives the same numbers and overwrites its own folder; loads
+    run one after the other. Null keys get no number and take none.
+    """
+    spark, keys = df.sparkSession, as_list(key)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(name, T.LongType())])
+    known = identity_table(spark, path, schema).filter(F.col(LOAD) < load)
+    named = df
+    for k in keys:
+        named = named.filter(F.col(k).isNotNull())
+    new = lookup_join(distinct_keys(named, keys), known.select(*keys), keys, "left_anti")
+    top = known.agg(F.coalesce(F.max(name), F.lit(start - 1)).alias("__top"))  # one row
+    numbered = assign_identity(new, keys, name="__no", start=1).crossJoin(F.broadcast(top))
+    numbered.select(*keys, (F.col("__no") + F.col("__top")).cast("bigint").alias(name)).write.mode("overwrite").parquet(f"{path}/{LOAD}={load}")
+    every = identity_table(spark, path, schema).filter(F.col(LOAD) <= load)
+    return lookup_join(df, every.select(*keys, name), keys, "left")
