@@ -143,6 +143,11 @@ def line_blocks(words):
 
 def similar(x, y, similarity=0.8):
     may = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    u, v = x.split(" "), y.split(" ")
+    if min(len(x), len(y)) < 20:
+        return False
+    if levenshtein(u, v) > int(max(len(u), len(v)) * 0.6 + 1e-9):
+        return False
     return abs(len(x) - len(y)) <= may and levenshtein(x, y) <= may
 
 

@@ -228,6 +228,9 @@ def test_bpe_round_trip_through_the_piece_join(spark, small):
     slim = small.filter("doc_id < 40").select("doc_id", "text")
     back = bpe.decode(bpe.encode(slim, vocabulary_path()), vocabulary_path())
     assert keyed(map(tuple, back.collect())) == keyed(map(tuple, slim.collect()))
+    odd = [(1, "one text"), (1, "another text"), (1, "one text"), (None, "null id"), (None, "other null id"), (2, ""), (3, None)]
+    back = bpe.decode(bpe.encode(spark.createDataFrame(odd, "doc_id bigint, text string"), vocabulary_path()), vocabulary_path())
+    assert keyed(map(tuple, back.collect())) == keyed((d, t or "") for d, t in odd)
 
 
 # ---- SimHash ----
@@ -266,7 +269,10 @@ def test_no_link_is_lost_between_anchors(spark):
 
 
 def test_one_document_of_each_group_stays(odd_wide):
-    want = {c for _, _, c in simhash_by_hand(texts_of(odd_wide))}
+    found = simhash_by_hand(texts_of(odd_wide))
+    linked = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count() <= 4
+    root = brute.groups(sorted({fp for _, fp, _ in found}), linked)
+    want = [c for _, c in {(root[fp], c) for _, fp, c in found}]  # one for each group, whatever its smallest id
     kept = simhash.one_per_group(odd_wide)
     assert kept.columns == odd_wide.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
@@ -408,12 +414,11 @@ def test_edited_lines_of_ordinary_length_are_found(spark):
 def test_lines_that_differ_in_numbers_and_signs_are_compared(spark):
     groups = [["Total 5 12", "Total 99"], ["x = a + b * 10", "x == (a / b)"], ["12 | 7 | 30", "450 | 81 | 6"], ["--- 1 ---", "=== 22 ==="],
               ["one  Line with\tspace 7", "One line with space 7 "], ["step 1 of the long list of things", "step 2 of the long list of things"]]
-    rows = [x for g in groups for x in g] + ["Chapter 1\nTotal 5 15\nx = a + b", "Chapter 2\nTotal 98\nx = a - b"]
+    rows = [x for g in groups for x in g] + ["Chapter 1\nTotal 5 15\nx = a + b", "Chapter 2\nTotal 99 \nx = a - b"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    gone = {r["doc_id"] for r in lines.dropped_positions(df).filter(F.size("dropped") > 0).collect()}
-    assert {9, 11} <= gone <= {9, 11, 13}  # equal but for white space and case, and similar; one sign of nine characters may go
-    kept = {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}
-    assert kept[13].startswith("Chapter 2\nTotal 98")
+    gone = {r["doc_id"]: r["dropped"] for r in lines.dropped_positions(df).collect() if r["dropped"]}
+    assert gone == {9: [0], 11: [0], 13: [1]}  # equal but for white space and case, and similar
+    assert {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}[13] == "Chapter 2\nx = a - b"
 
 
 # ---- decontamination ----
