@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekeel.llm.common import arrow_batches, stage_by
+from lakekeel.session import stage
 
 CHUNK_CHARS = 16_000_000  # characters of text in a chunk, unless a single document is longer
 CACHED_WORDS = 500_000  # words a task remembers; beyond that it starts over and may encode a word again
@@ -284,15 +285,16 @@ def encode(documents: DataFrame, path: str, buckets: int | None = None, chunk_ch
 def decode(tokens: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """(key, text) from (key, ids): every id is joined to its piece and the pieces are put back in order.
 
-    The piece table is bounded by the vocabulary. Keys must be unique and not null; no ids give the empty text,
-    and so do null ids. Bytes that are not UTF-8 become U+FFFD.
+    Rows are numbered first, so repeated and null keys give a text per row. The piece table is bounded by the
+    vocabulary. No ids give the empty text, and so do null ids. Bytes that are not UTF-8 become U+FFFD.
     """
     pieces = F.broadcast(piece_table(tokens.sparkSession, path))
-    each = tokens.select(key, F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
+    rows = stage(tokens.select(F.monotonically_increasing_id().alias("__row"), key, "ids"), "tokens")
+    each = rows.select("__row", F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
     text = F.concat_ws("", F.transform(F.array_sort("parts"), lambda p: F.hex(p["piece"])))
-    texts = each.groupBy(key).agg(F.collect_list(F.struct("pos", "piece")).alias("parts")).select(
-        key, F.decode(F.unhex(text), "UTF-8").alias("text"))
-    return tokens.select(key).join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = each.groupBy("__row").agg(F.collect_list(F.struct("pos", "piece")).alias("parts")).select(
+        "__row", F.decode(F.unhex(text), "UTF-8").alias("text"))
+    return rows.select("__row", key).join(texts, "__row", "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def digests(documents: DataFrame, path: str, buckets: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -73,7 +73,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
     """
     system: tuple[str, str] | None = None
     past: list[tuple[str, str, int]] = []  # turns (role, text, prefix sum up to and with it) that may be repeated
-    window, room, total, start, first = None, 0, 0, 0, True
+    window, room, total, start = None, 0, 0, 0
     for role, text in turns:
         cost = tokens(text)
         if window is None or total + cost - start > room:
@@ -81,7 +81,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
                 yield window
             window, start = Formatted(), total
             spent = 0
-            if system is not None and not first:
+            if system is not None:
                 window.add(*system, new=False)
                 spent += tokens(system[1])
             before = [t for t in past if start - t[2] + tokens(t[1]) <= history]
@@ -92,13 +92,12 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
             room = max(budget - spent, 0)
         window.add(role, text, new=True)
         total += cost
-        if first and role == "system":
+        if role == "system":
             system = (role, text)
         else:
             past.append((role, text, total))
             while past and total - past[0][2] + tokens(past[0][1]) > history:
                 past.pop(0)
-        first = False
     if window is not None:
         yield window
 
@@ -129,8 +128,8 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     """The windows of conversations(conv_id, turn, role, text): text, masked ranges, and which turns are new.
 
     Turns go by turn number, nulls first, ties by role and text; repeated rows are turns of their own. Null texts
-    and roles are empty. A null conv_id is a conversation. The first turn is kept in every window if it is a system
-    turn. Turns are never cut. Other columns are not read.
+    and roles are empty. A null conv_id is a conversation. The latest system turn so far is kept in every window after
+    its own. Turns are never cut. Other columns are not read.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,9 +24,10 @@ SPARE = 6  # bits of a number beyond those that tell all numbers apart: one in 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def freeze(batches: list[pa.RecordBatch]) -> bytes:
+def freeze(batches: list[pa.RecordBatch], level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))
+    with pa.ipc.new_stream(sink, batches[0].schema, options=how) as out:
         for b in batches:
             out.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -55,7 +56,7 @@ def pack(rows: DataFrame, text: str, size: int, label: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([weight], pa.int64()), pa.array([freeze(held)], pa.binary())], names=["n_bytes", "data"])
+                [pa.array([weight], pa.int64()), pa.array([freeze(held, 4)], pa.binary())], names=["n_bytes", "data"])
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16

@@ -33,8 +33,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)  # a difference cover: every difference mod 13
 SAMPLE = LENGTH - PERIOD + 1  # bytes of a sample window; at any of 13 offsets it lies within the string
 SEED = 16  # bytes of the window that chooses the block
 RUN = 256  # suffixes of a piece, at most
-CHUNK = 8 << 20  # bytes of text of a chunk
-BLOCK = 1 << 20  # suffixes of a block, about
+CHUNK = 4 << 20  # bytes of text of a chunk
+BLOCK = 3 << 20  # bytes of text for each block; most suffixes have no partner and go to none
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
