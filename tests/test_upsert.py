@@ -163,3 +163,11 @@ def test_upsert_reads_the_base_once(spark, tmp_path):
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         U.overlay_merge(*frames(spark), "k", 3)
+
+
+def test_changes_without_a_sequence_come_first(spark, rows):
+    base = spark.createDataFrame([("a", 1, 0), ("b", 1, 1)], "k string, v int, pos int")
+    changes = spark.createDataFrame([("a", 2, None), ("b", 2, None), ("b", 3, 5), ("c", 4, None)], "k string, v int, seq int")
+    got = U.keyed_upsert(base, changes, "k", "seq").select("k", "v", "pos", "is_new")
+    assert rows(got) == rows(spark.createDataFrame(
+        [("a", 2, 0, False), ("b", 3, 1, False), ("c", 4, None, True)], "k string, v int, pos int, is_new boolean"))
