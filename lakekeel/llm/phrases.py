@@ -26,7 +26,7 @@ from lakekeel.session import stage
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVERED = 50  # per cent of a phrase's occurrences within a longer candidate from which on it is dropped
-CHUNK = 8 << 20  # bytes of text of a chunk
+CHUNK = 16 << 20  # bytes of text of a chunk
 TRIE = 4 << 20  # bytes of phrases of a trie, about
 SENT = 48 << 20  # bytes of tries that are broadcast at once
 RANGE = 1 << 16  # phrases whose counts are summed together
@@ -52,7 +52,7 @@ class Words:
         starts = np.flatnonzero(inside & (opens[:n] | ~np.concatenate([[True], inside[:-1]])[:n]))
         ends = np.flatnonzero(inside & (opens[1:] | ~np.concatenate([inside[1:], [True]])[:n])) + 1
         row = np.searchsorted(offsets, starts, side="right") - 1
-        breaks = np.cumsum(form == 10, dtype=np.int32)[starts]
+        breaks = np.searchsorted(np.flatnonzero(form == 10), starts)  # line ends and the like before a word
         self.goes_on = np.zeros(len(starts), bool)  # with the word after it
         self.goes_on[:-1] = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
         self.sizes = ends - starts
@@ -345,10 +345,11 @@ def collocations(
     bits, parts = shape(size // 3)  # two phrases a word, and six bytes a word or so
     slim = chunks.select("chunk", "data")
     known = stage(shared(chunks, _phrase_values(bits), bits, parts, least), "likely")
-    found = stage(slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _candidates(bits), "lang string, phrase string, n bigint"), "candidates")
-    total = found.filter("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    several = stage(found.filter("phrase is not null").select("lang", "phrase").distinct(), "wanted")
+    found = slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        _candidates(bits), "lang string, phrase string, n bigint")
+    found = stage(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates")
+    total = found.filter("phrase is null").select("lang", "n")
+    several = found.filter("phrase is not null").select("lang", "phrase")
     alone = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     f = _counts(chunks, several.unionByName(alone), trie, sent)
 
