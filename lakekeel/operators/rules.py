@@ -601,9 +601,12 @@ def apply_fixes(
 
 
 def reset_folders(translations: DataFrame, found: DataFrame, default_culture_folder: DataFrame) -> DataFrame:
-    """The fix for untranslated folders: back to the folder of the object, in every culture it has."""
+    """The fix for untranslated folders: back to the folder of the object, in every culture it has.
+
+    The violations are found once and staged: as a list of known size it may be broadcast to the translations.
+    """
     broken = found.filter("rule_id = 'LAYOUT_LOCALIZE_DF'").select("object_id").distinct()
-    folders = default_culture_folder.join(broken, "object_id", "left_semi").select("object_id", "display_folder")
+    folders = stage(default_culture_folder.join(broken, "object_id", "left_semi").select("object_id", "display_folder"), "folders")
     rows = lookup_join(translations, folders.withColumn("__hit", F.lit(True)), "object_id")
     reset = F.when(F.col("__hit"), F.col("display_folder")).otherwise(F.col("t_folder"))
     return rows.withColumn("t_folder", reset).select(*translations.columns)
