@@ -58,6 +58,20 @@ def test_equal_heads_are_not_written_again_and_bases_are_used(spark, tmp_path, r
     assert rows(got.select("user_id", "n_changes")) == rows(delivered)
 
 
+def test_sync_runs_in_a_session_with_the_default_store(spark, tmp_path, rows):
+    """The state needs a store of its own kind, whatever the session is set to; the session keeps its setting."""
+    plain, store = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    plain.conf.set(store, default)
+    events, stream = replay(plain, tmp_path)
+    target = str(tmp_path / "target")
+    finish(sync_stream(stream, target, "user_id", ["ts", "event_id"], str(tmp_path / "ck")))
+    assert plain.conf.get(store) == default
+    got = current_rows(plain, target, target_schema(stream, "user_id"), "user_id")
+    want = events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    assert rows(got.select("user_id", "event_id")) == rows(want)
+
+
 def test_sync_of_null_keys_late_rows_and_ties(spark, tmp_path, rows):
     """File by file: an older row and an equal head change the count only, a null key is a key."""
     schema = "k string, at int, head string, x int"
