@@ -376,6 +376,19 @@ def test_keys_of_many_lines_are_lengthened(spark):
         assert got == {d for d, _ in want} and len(got) == 24
 
 
+def test_no_link_of_a_key_of_many_lines_is_lost(spark):
+    """Variants of a line that agree on scattered words only: a key that many share links like any other."""
+    rng, rows = random.Random(5), []
+    for _ in range(12):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)]
+        rows += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) if i in gone else w for i, w in enumerate(words))
+                 for gone in (rng.sample(range(12), 3) for _ in range(5))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    want = brute.dropped_lines(list(enumerate(rows)), similarity=0.55, crowd=10**9)
+    got = {r["doc_id"] for r in lines.dropped_positions(df, similarity=0.55, crowd=3).filter(F.size("dropped") > 0).collect()}
+    assert got == {d for d, _ in want} and got
+
+
 def edited_lines(rng, n_words, share, unit):
     """A line of random words and the same with a share of its words or characters replaced."""
     letters = "abcdefghijklmnopqrstuvwxyz"
