@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekeel.functions import text as tx
-from lakekeel.plans.grams import containing
+from lakekeel.plans.grams import found_in
 from lakekeel.session import stage
 
 
@@ -142,51 +142,88 @@ def valid_bindings(
     )
 
 
+FEW = 100  # entries up to which every row goes through all of them
+MARK = "\x01"
+
+
+def _stepwise(start: Column, steps: Column) -> Column:
+    """The text after all steps (ord, needle, new_value), in order."""
+    return F.aggregate(steps, start, lambda text, s: F.replace(text, s["needle"], s["new_value"]))
+
+
+def _made(start: Column, steps: Column, reach: Column) -> Column:
+    """What the steps that change the text have made of it: each time the new values, and ``reach`` characters around.
+
+    Whatever a step brings about overlaps a new value, so that is where to look. A text that holds ``MARK`` stays whole.
+    """
+    def around(text: Column, s: Column) -> Column:
+        pieces = F.split(F.replace(text, s["needle"], F.lit(MARK)), MARK, -1)
+        short = F.transform(pieces, lambda p, i: F.when(F.length(p) <= 2 * reach, p).when(
+            i == 0, F.right(p, reach)).when(i == F.size(pieces) - 1, F.left(p, reach)).otherwise(
+            F.concat(F.left(p, reach), F.lit(MARK), F.right(p, reach))))
+        whole = F.replace(text, s["needle"], s["new_value"])
+        return F.when(F.contains(text, F.lit(MARK)), whole).otherwise(F.call_function("array_join", short, s["new_value"]))
+
+    def step(done: Column, s: Column) -> Column:
+        text = done["text"]
+        there = F.contains(text, s["needle"])
+        return F.struct(
+            F.replace(text, s["needle"], s["new_value"]).alias("text"),
+            F.when(there, F.concat(done["made"], F.array(around(text, s)))).otherwise(done["made"]).alias("made"))
+
+    first = F.struct(start.alias("text"), F.array().cast("array<string>").alias("made"))
+    return F.array_distinct(F.aggregate(steps, first, step, lambda done: done["made"]))
+
+
 def apply_find_replace(df: DataFrame, text: str, mapping: DataFrame, env: str, scope: str | None = None) -> DataFrame:
     """Apply the replacements of one environment to a text, one after the other by ``ord`` and literally.
 
     mapping(find_value, replace_value map, ord). Entries without the environment are skipped. With ``scope``, a
     column of both frames, an entry holds for rows of its scope only, or for all if its scope is null.
 
-    Each distinct text meets only the entries whose find value it contains, and these are applied in order. An entry
-    whose find value comes about only by replacing others is found in what the steps before it have made; the
-    look-up is repeated for such texts until nothing new is found. Time does not depend on how long the mapping is.
+    Up to ``FEW`` entries are tried in every row, where it is. Of more, each distinct text meets only the entries whose
+    find value it contains, and these are applied in order. An entry whose find value comes about only by replacing
+    others is found around what the steps before it have put in; the look-up is repeated for such texts until
+    nothing new is found. Time does not depend on how long the mapping is.
     """
     entries = stage(mapping.select(
         F.col("ord").cast("bigint").alias("ord"),
         F.col("find_value").alias("needle"),
         F.element_at("replace_value", F.lit(env)).alias("new_value"),
         (F.col(scope) if scope else F.lit(None).cast("string")).alias("for"),
-    ).filter("needle <> '' AND new_value IS NOT NULL"), "entries")
+    ).filter("needle <> '' AND new_value IS NOT NULL").distinct(), "entries")
     where = F.col(scope) if scope else F.lit(None).cast("string")
-    start = stage(df.select(F.col(text).alias("start"), where.alias("scope")).filter("start is not null").distinct(), "starts")
-
-    def hits(states: DataFrame) -> DataFrame:
-        """(start, scope, ord, needle, new_value) of the entries that some state (start, scope, text) contains."""
-        pairs = containing(states.select("text").distinct(), entries.select("needle"))
-        met = states.join(pairs, "text").join(entries, "needle")
-        return met.filter("for is null or for = scope").select("start", "scope", "ord", "needle", "new_value").distinct()
-
-    def applied(steps: DataFrame) -> DataFrame:
-        """(start, scope, states): the text after each step."""
-        lists = steps.groupBy("start", "scope").agg(F.array_sort(F.collect_list(F.struct("ord", "needle", "new_value"))).alias("steps"))
-        states = F.aggregate("steps", F.array("start"), lambda done, s: F.concat(
-            done, F.array(F.replace(F.element_at(done, -1), s["needle"], s["new_value"]))))
-        return lists.select("start", "scope", states.alias("states"))
-
-    def of(steps: DataFrame, some: DataFrame, how: str, *also: str) -> DataFrame:
-        """The steps whose text and scope (and ``also``) are in ``some``, or are not."""
-        names = ["start", "scope", *also]
-        keys = some.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
-        return steps.join(keys, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]), how)
-
-    known = fresh = stage(hits(start.select("start", "scope", F.col("start").alias("text"))), "steps")
+    entry = F.struct("ord", "needle", "new_value")
+    if len(entries.select("ord").take(FEW + 1)) <= FEW:
+        one = entries.agg(F.collect_list(F.struct(entry.alias("step"), "for")).alias("__entries"))
+        own = F.filter("__entries", lambda e: e["for"].isNull() | (e["for"] == where))
+        steps = F.array_sort(F.array_distinct(F.transform(own, lambda e: e["step"])))
+        rows = df.crossJoin(F.broadcast(one))
+        return rows.withColumn(text, _stepwise(F.col(text), steps)).select(*df.columns)
+
+    start = df.select(F.col(text).alias("start"), where.alias("scope")).filter("start is not null").distinct()
+    start = stage(start.withColumn("id", F.monotonically_increasing_id()), "starts")
+    reach = entries.agg(F.max(F.length("needle")).alias("reach"))
+
+    def hits(places: DataFrame) -> DataFrame:
+        """(id, scope, ord, needle, new_value) of the entries that some text of ``places`` (place, id, scope, text) contains."""
+        pairs = found_in(places.select(F.col("place").alias("id"), "text"), entries.select("needle"))
+        of = places.select("place", "id", "scope")
+        met = pairs.withColumnRenamed("id", "place").join(of, "place").join(entries, "needle")
+        return met.filter("for is null or for = scope").select("id", "ord", "needle", "new_value").distinct()
+
+    def listed(steps: DataFrame) -> DataFrame:
+        return steps.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("steps"))
+
+    known = fresh = stage(hits(start.select(F.col("id").alias("place"), "id", "scope", F.col("start").alias("text"))), "steps")
     while not fresh.isEmpty():
-        made = applied(of(known, fresh, "left_semi")).select("start", "scope", F.explode("states").alias("text"))
-        more = hits(stage(made.filter("text <> start").distinct(), "states"))
-        fresh = stage(of(more, known, "left_anti", "ord", "needle"), "steps")
+        again = listed(known.join(fresh.select("id").distinct(), "id", "left_semi")).join(start, "id").crossJoin(F.broadcast(reach))
+        made = again.select("id", "scope", F.explode(_made(F.col("start"), F.col("steps"), F.col("reach"))).alias("text"))
+        more = hits(stage(made.withColumn("place", F.monotonically_increasing_id()), "made"))
+        fresh = stage(more.join(known, [more[c].eqNullSafe(known[c]) for c in ("id", "ord", "needle")], "left_anti"), "steps")
         known = known.unionByName(fresh)
-    done = applied(known).select(F.col("start").alias("__start"), F.col("scope").alias("__scope"), F.element_at("states", -1).alias("__done"))
+    done = start.join(listed(known), "id").select(
+        F.col("start").alias("__start"), F.col("scope").alias("__scope"), _stepwise(F.col("start"), F.col("steps")).alias("__done"))
     same = (F.col(text) == F.col("__start")) & where.eqNullSafe(F.col("__scope"))
     rows = df.join(done, same, "left").withColumn(text, F.coalesce("__done", F.col(text)))
     return rows.select(*df.columns)

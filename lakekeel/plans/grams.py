@@ -11,6 +11,8 @@ from lakekeel.plans.skew import will_broadcast
 from lakekeel.session import stage
 
 Q = 4  # characters of a part; shorter needles are looked up whole
+MANY = 1000  # needles of 2 Q characters or more from which on these are filed by parts of 2 Q
+KNOWN = 4_000_000  # hashes of parts that are broadcast, at most
 SAMPLE = 64  # one text of so many tells how common a part is; this orders parts, and changes no result
 
 
@@ -30,28 +32,36 @@ def _index(texts: DataFrame, needles: DataFrame, q: int) -> DataFrame:
     return rarest.select(F.col("best.part").alias("part"), "needle")
 
 
-def containing(texts: DataFrame, needles: DataFrame, q: int = Q) -> DataFrame:
-    """(text, needle) for every text of ``texts`` (text, distinct, not null) and needle of ``needles`` (needle) in it.
+def found_in(texts: DataFrame, needles: DataFrame, q: int = Q) -> DataFrame:
+    """(id, needle) for every text of ``texts`` (id, text; staged, ids distinct, no nulls) and needle in it.
 
-    A text is taken apart once and meets only the needles whose rarest part it has; ``contains`` decides. If the
-    index of needles is small enough for Spark to broadcast, the texts do not move. Otherwise they meet it by number
-    and part alone, and their texts again where a part was found. Work follows the length of the texts and the
-    candidates, not texts times needles.
+    A text is taken apart once and meets only the needles whose rarest part it has; ``contains`` decides. Of over
+    ``MANY`` needles the longer ones have parts of twice the length: numbers soon share all runs of four digits, and
+    would meet in every text that has one of them. If the index of needles is small enough for Spark to broadcast, it
+    is; otherwise hashes of its parts are, up to ``KNOWN`` of them, so that only parts which some needle has move.
+    Texts move once, by their id. Work follows the length of the texts and the candidates, not texts times needles.
     """
     wanted = stage(needles.filter("needle is not null").select("needle").distinct(), "needles")
-    sizes = [r[0] for r in wanted.select(F.least(F.length("needle"), F.lit(q)).alias("n")).distinct().collect()]  # q + 1 at most
-    found = []
-    for size in sizes:
-        if size == 0:  # in every text
-            found.append(texts.select("text", F.lit("").alias("needle")))
-            continue
-        own = wanted.filter(F.length("needle") >= q) if size == q else wanted.filter(F.length("needle") == size)
-        index = stage(_index(texts, own, q) if size == q else own.select(F.col("needle").alias("part"), "needle"), "needle-index")
-        if will_broadcast(index):
-            met = texts.select("text", F.explode(parts_of("text", size)).alias("part")).join(index, "part")
-        else:
-            numbered = stage(texts.select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
-            apart = numbered.select("id", F.explode(parts_of("text", size)).alias("part"))
-            met = apart.join(index, "part").select("id", "needle").join(numbered, "id")
-        found.append(met.filter(F.contains("text", "needle")).select("text", "needle"))
-    return reduce(DataFrame.unionByName, found) if found else texts.select("text", F.col("text").alias("needle")).limit(0)
+    held = wanted.groupBy(F.least(F.length("needle"), F.lit(2 * q)).alias("n")).agg(F.count("*").alias("c"))
+    counts = {r[0]: r[1] for r in held.collect()}  # 2 q + 1 at most
+    top = 2 * q if counts.get(2 * q, 0) > MANY else q
+    met = [texts.select("id", F.lit("").alias("needle"))] if 0 in counts else []  # in every text
+    for size in sorted({min(n, q) if n < 2 * q else top for n in counts} - {0}):
+        up_to = F.length("needle") < top if size == q < top else F.lit(True)
+        own = wanted.filter((F.length("needle") >= size) & up_to) if size >= q else wanted.filter(F.length("needle") == size)
+        index = stage(_index(texts, own, size) if size >= q else own.select(F.col("needle").alias("part"), "needle"), "needle-index")
+        apart = texts.select("id", F.explode(parts_of("text", size)).alias("part"))
+        if not will_broadcast(index):
+            hashes = stage(index.select(F.xxhash64("part").alias("h")).distinct(), "parts")
+            if hashes.count() <= KNOWN:
+                apart = apart.withColumn("h", F.xxhash64("part")).join(F.broadcast(hashes), "h", "left_semi").drop("h")
+        met.append(apart.join(index, "part").select("id", "needle"))
+    if not met:
+        return texts.select("id", F.col("text").alias("needle")).limit(0)
+    return reduce(DataFrame.unionByName, met).join(texts, "id").filter(F.contains("text", "needle")).select("id", "needle")
+
+
+def containing(texts: DataFrame, needles: DataFrame, q: int = Q) -> DataFrame:
+    """(text, needle) for every text of ``texts`` (text, distinct, not null) and needle of ``needles`` (needle) in it."""
+    numbered = stage(texts.select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
+    return found_in(numbered, needles, q).join(numbered, "id").select("text", "needle")

@@ -3,8 +3,10 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakekeel.operators import nested as N
+from lakekeel.plans import grams
 
 
 def flat(spark, tree):
@@ -101,3 +103,44 @@ def test_roles(spark):
     direct, deferred = N.role_assignments(df, "r", "i")
     assert sorted((r.element.id, r.access) for r in direct.collect()) == [("g", "Owner"), ("u", "User")]
     assert [r.element.id for r in deferred.collect()] == ["w"]
+
+
+def test_long_mappings_give_what_replacing_one_after_the_other_gives(spark, monkeypatch):
+    """The look-up of long mappings, with find values that come about far from, next to and across earlier ones."""
+    monkeypatch.setattr(N, "FEW", 0)
+    rng = random.Random(8)
+    word = lambda lo, hi: "".join(rng.choice("abc-\x01") for _ in range(rng.randrange(lo, hi)))
+    entries = [(word(1, 7), word(0, 5), i, rng.choice((None, None, "x"))) for i in range(50)]
+    rows = [(word(0, 80).replace("\x01", "" if i % 4 else "\x01"), ("x", None)[i % 2]) for i in range(150)] + [(None, "x"), ("", None)]
+
+    def by_hand(text, scope):
+        for find, value, _, where in entries:
+            text = text.replace(find, value) if text is not None and where in (None, scope) else text
+        return text
+
+    mapping = spark.createDataFrame(
+        [(f, {"tst": v}, o, s) for f, v, o, s in entries], "find_value string, replace_value map<string,string>, ord int, s string")
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "i int, t string, s string")
+    got = dict(N.apply_find_replace(df, "t", mapping, "tst", scope="s").select("i", "t").collect())
+    assert got == {i: by_hand(t, s) for i, (t, s) in enumerate(rows)}
+
+
+def test_few_entries_move_no_texts(spark):
+    mapping = spark.createDataFrame([("a", {"tst": "b"}, 1)], "find_value string, replace_value map<string,string>, ord int")
+    df = spark.range(10).select(F.concat(F.lit("a"), "id").alias("t"))
+    plan = N.apply_find_replace(df, "t", mapping, "tst")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_numbers_as_needles_meet_few_texts(spark, monkeypatch):
+    """Ids share all short runs of digits: what meets by a part is about what is found."""
+    kept = []
+    monkeypatch.setattr(grams, "stage", lambda df, label="x", real=grams.stage: kept.append((label, real(df, label))) or kept[-1][1])
+    ids = spark.range(100_000, 103_000)
+    texts = ids.select(F.concat(F.lit("see id-"), "id", F.lit("- there")).alias("text"))
+    found = grams.containing(texts, ids.select(F.concat(F.lit("id-"), "id", F.lit("-")).alias("needle")))
+    assert found.count() == 3000
+    size = 2 * grams.Q if hasattr(grams, "MANY") else grams.Q
+    parts = texts.select(F.explode(grams.parts_of("text", size)).alias("part"))
+    met = sum(parts.join(df, "part").count() for label, df in kept if label == "needle-index")
+    assert met < 6000
