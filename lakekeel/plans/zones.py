@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakekeel.operators.upsert import keyed_upsert
 from lakekeel.plans.ranges import ranked_values
 from lakekeel.session import stage
 
@@ -50,16 +49,26 @@ def upsert_base(rows: DataFrame, path: str, keys: Sequence[str], seq: str, parts
     schema = T.StructType([*plain.fields, T.StructField(PART, T.IntegerType())])
     part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
     marked = rows.withColumn(PART, part)
-    touched = [r[0] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
+    payload = [f.name for f in plain.fields if f.name not in keys]
+
+    def last(some: DataFrame) -> DataFrame:
+        """The last row per key; rows of a part are in one task already, so they move once and are written there."""
+        found = some.repartition(PART).groupBy(PART, *keys).agg(F.max_by(F.struct(*payload), "__order").alias("__row"))
+        return found.select(*keys, "__row.*", PART).select(*schema.names)
+
+    ordered = marked.withColumn("__order", F.struct(F.lit(True), F.col(seq).isNotNull(), F.col(seq).alias("seq")))
     try:
-        known = spark.read.schema(schema).parquet(path).filter(F.col(PART).isin(touched))
+        table = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        known = spark.createDataFrame([], schema)
-    placed = known.withColumn("_pos", F.lit(None).cast(rows.schema[seq].dataType))  # the order of rows is of no interest
-    merged = stage(keyed_upsert(placed, marked, keys, seq, "_pos").select(*schema.names), "base")  # reads what it replaces
-    merged.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+        merged = last(ordered)
+    else:
+        touched = [r[0] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
+        old = F.struct(F.lit(False), F.lit(False), F.lit(None).cast(rows.schema[seq].dataType).alias("seq"))
+        known = table.filter(F.col(PART).isin(touched)).withColumn("__order", old)
+        merged = stage(last(ordered.drop(seq).unionByName(known)), "base")  # reads what it replaces
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
     return spark.read.schema(schema).parquet(path).drop(PART)
 
 

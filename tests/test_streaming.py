@@ -166,3 +166,15 @@ def test_percentiles_of_a_group_of_a_third_of_all_rows(spark):
         lists.setdefault(r.g, []).extend([r.v] * r.c)
     want = {(g, s): sorted(vs)[max(math.ceil(len(vs) * s) - 1, 0)] for g, vs in lists.items() for s in (0.5, 0.95, 1.0)}
     assert got == want
+
+
+def test_a_first_load_moves_its_rows_once(spark, tmp_path, monkeypatch):
+    """Nothing is replaced by the first load, so nothing is staged; a second one gives the last row of each key."""
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "c", 3), (2, "d", None)], "k int, v string, at int")
+    with monkeypatch.context() as m:
+        m.setattr(zones, "stage", None)
+        first = zones.upsert_base(df, str(tmp_path / "base"), ["k"], "at")
+    assert sorted((tuple(r) for r in first.collect()), key=repr) == [(1, "b"), (2, "d"), (None, "c")]
+    more = spark.createDataFrame([(None, "x", None), (1, "y", None), (3, "z", 1)], "k int, v string, at int")
+    second = zones.upsert_base(more, str(tmp_path / "base"), ["k"], "at")
+    assert sorted((tuple(r) for r in second.collect()), key=repr) == [(1, "y"), (2, "d"), (3, "z"), (None, "x")]
