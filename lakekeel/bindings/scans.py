@@ -128,14 +128,21 @@ def named_text(spark, sf):
     """,
 )
 def scan_named_text(spark, sf):
-    """Every page is written as a text file of its own; folders carry the names that tell which are read."""
+    """Every page is written as a text file of its own, with its id in the first line; folders carry the names that tell
+    which are read. A folder holds many files, and the tasks that write them put them in place themselves.
+    """
     out = work_path(spark, "texts")
     kinds = F.array(F.lit("Notes.TXT"), F.lit("notes.txt"), F.lit("other.txt"))
     name = F.get(kinds, (F.col("page_id") % 3).cast("int")).alias("name")
-    pages = table(spark, sf, "pages").select(name, F.col("page_id").alias("page"), F.coalesce("html", F.lit("")).alias("html"))
-    pages.repartition("page").write.partitionBy("name", "page").text(out)
+    # rows of one id are one page
+    pages = table(spark, sf, "pages").groupBy(F.col("page_id")).agg(
+        F.array_join(F.collect_list(F.coalesce("html", F.lit(""))), "\n").alias("html"))
+    texts = pages.select(name, F.pmod("page_id", F.lit(64)).alias("part"), F.concat_ws("\n", "page_id", "html").alias("value"))
+    texts.write.partitionBy("name", "part").option("maxRecordsPerFile", 1).option(
+        "mapreduce.fileoutputcommitter.algorithm.version", 2).text(out)
     found = scans.scan_named_text(spark, out, ["NOTES.txt"], r"/name=([^/]+)/")
-    return found.select(F.regexp_extract("path", "/page=([0-9]+)/", 1).cast("bigint").alias("page_id"), "name", "text")
+    page = F.substring_index("text", "\n", 1)
+    return found.select(page.cast("bigint").alias("page_id"), "name", F.expr("substring(text, instr(text, '\n') + 1)").alias("text"))
 
 
 @query(

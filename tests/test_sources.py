@@ -47,3 +47,16 @@ def test_canonical_json_is_read_back(spark, tmp_path, rows):
     text = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert text == ['{"i":1,"m":{"a":[1.5],"b":null},"s":{"y":"x","z":2}}', '{"i":2,"m":null,"s":null}']
     assert rows(spark.read.schema(df.schema).json(str(tmp_path / "out")).select(F.to_json(F.struct("i", "s")))) == rows(df.select(F.to_json(F.struct("i", "s"))))
+
+
+def test_pages_as_files_share_folders(spark, tmp_path, monkeypatch):
+    """As many folders for 500 pages as for 5 million; rows of one id are one page."""
+    from lakekeel.bindings import scans as bound
+
+    texts = [(i, f"u{i}", f"<p>\n{i}" if i % 7 else None) for i in range(500)] + [(1, "u1", "<p>\n1"), (None, "u", "x")]
+    spark.createDataFrame(texts, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    monkeypatch.setattr(bound, "work_path", lambda spark, label: str(tmp_path / label))
+    got = {(r.page_id, r.name): r.text for r in bound.scan_named_text(spark, str(tmp_path / "sf")).collect()}
+    html = {i: t or "" for i, _, t in texts[:500]} | {1: "<p>\n1\n<p>\n1"}
+    assert got == {(i, "Notes.TXT" if i % 3 == 0 else "notes.txt"): t + "\n" for i, t in html.items() if i % 3 < 2}
+    assert sum(p.is_dir() for p in (tmp_path / "texts").rglob("*")) < 4 * 65
