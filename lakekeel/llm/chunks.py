@@ -78,6 +78,16 @@ def pack(rows: DataFrame, text: str, size: int, label: str) -> DataFrame:
     return stage_by(chunks, "chunk", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), label)
 
 
+def sliced(rows: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` in order, in slices of about ``size`` bytes of column ``at``; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(rows.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while lo < len(upto):
+        hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")), lo + 1)
+        yield rows.slice(lo, hi - lo)
+        lo = hi
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column one after the other, and where each row begins (and the last one ends)."""
     filled = pc.fill_null(column.cast(pa.large_binary()), b"")

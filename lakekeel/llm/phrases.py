@@ -9,6 +9,7 @@ The counts are exact; sums over the chunks are taken by ranges of a trie's phras
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekeel.llm.chunks import (
-    among, decode, encode, freeze, merged, mixed, pack, shape, shared, text_bytes, thaw,
+    among, decode, encode, freeze, merged, mixed, pack, shape, shared, sliced, text_bytes, thaw,
 )
 from lakekeel.session import stage
 
@@ -27,6 +28,7 @@ LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVERED = 50  # per cent of a phrase's occurrences within a longer candidate from which on it is dropped
 CHUNK = 16 << 20  # bytes of text of a chunk
+SLICE = 2 << 20  # bytes of text of a chunk that are taken apart at once: words take twenty times their text
 TRIE = 4 << 20  # bytes of phrases of a trie, about
 SENT = 48 << 20  # bytes of tries that are broadcast at once
 RANGE = 1 << 16  # phrases whose counts are summed together
@@ -41,7 +43,7 @@ _WORD = (_FORM != 10) & (_FORM != 32)
 
 
 class Words:
-    """The words of a chunk's rows (lang, text): numbers, language, and whether a word goes on in its piece."""
+    """The words of rows (lang, text): numbers, language, and whether a word goes on in its piece."""
 
     def __init__(self, rows: pa.RecordBatch):
         data, offsets = text_bytes(rows.column(1))
@@ -97,43 +99,52 @@ class Words:
 
 def _phrase_values(bits: int):
     def values(rows: pa.RecordBatch):
-        return np.unique(np.concatenate(Words(rows).hashes(bits)), return_counts=True)
+        every = np.concatenate([np.zeros(0, np.uint64), *(h for some in sliced(rows, 1, SLICE) for h in Words(some).hashes(bits))])
+        every.sort()
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+        return every[first], np.diff(first, append=len(every))
 
     return values
 
 
+def _likely(words: Words, bits: int, often: np.ndarray) -> list[tuple[str, bytes]]:
+    """The distinct (lang, phrase) of which the hash, and of three words both pairs, are among the frequent ones."""
+    pairs, triples = words.hashes(bits)
+    two, three = words.places()
+    likely = np.zeros(len(words.ids) + 1, bool)
+    likely[two] = among(pairs, often)
+    three = three[among(triples, often) & likely[three] & likely[three + 1]]
+    two = two[likely[two]]
+    size = max(len(words.distinct), 1)
+    ids = words.ids
+    own, at, no = np.unique((words.lang[two] * size + ids[two]) * size + ids[two + 1], return_index=True, return_inverse=True)
+    number = np.zeros(len(ids), np.int64)
+    number[two] = no
+    _, at3 = np.unique(number[three] * size + ids[three + 2], return_index=True)
+    spell, found = words.distinct, []
+    for places, length in ((two[at], 2), (three[at3], 3)):
+        phrases = (b" ".join(p) for p in zip(*([spell[k] for k in ids[places + j].tolist()] for j in range(length))))
+        found += zip([words.langs[k] for k in words.lang[places].tolist()], phrases)
+    return found
+
+
 def _candidates(bits: int):
     """Phrases of a chunk that may be frequent; with a null phrase, the number of words of each language."""
 
     def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
         often = merged(known)
-        langs, phrases, counts = [], [], []
+        found: set[tuple[str, bytes]] = set()
+        totals: Counter[str] = Counter()
         for frozen in chunk.column("data").to_pylist():
-            words = Words(thaw(frozen))
-            totals = np.bincount(words.lang, minlength=len(words.langs)) if len(words.lang) else []
-            for lang, n in zip(words.langs, totals):
-                langs.append(lang)
-                phrases.append(None)
-                counts.append(int(n))
-            pairs, triples = words.hashes(bits)
-            two, three = words.places()
-            likely = np.zeros(len(words.ids) + 1, bool)
-            likely[two] = among(pairs, often)
-            three = three[among(triples, often) & likely[three] & likely[three + 1]]
-            two = two[likely[two]]
-            size = max(len(words.distinct), 1)
-            ids = words.ids
-            own, at, no = np.unique((words.lang[two] * size + ids[two]) * size + ids[two + 1], return_index=True, return_inverse=True)
-            number = np.zeros(len(ids), np.int64)
-            number[two] = no
-            _, at3 = np.unique(number[three] * size + ids[three + 2], return_index=True)
-            spell = words.distinct
-            for places, length in ((two[at], 2), (three[at3], 3)):
-                langs += [words.langs[k] for k in words.lang[places].tolist()]
-                phrases += [b" ".join(p) for p in zip(*([spell[k] for k in ids[places + j].tolist()] for j in range(length)))]
-                counts += [0] * len(places)
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
-                         "n": pa.array(counts, pa.int64())})
+            for some in sliced(thaw(frozen), 1, SLICE):
+                words = Words(some)
+                totals.update(dict(zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist())))
+                found.update(_likely(words, bits, often))
+        langs, phrases = ([x[k] for x in found] for k in (0, 1))
+        return pa.table({
+            "lang": pa.array([*totals, *langs], pa.string()),
+            "phrase": pa.array([*([None] * len(totals)), *phrases], pa.binary()).cast(pa.string()),
+            "n": pa.array([*totals.values(), *([0] * len(found))], pa.int64())})
 
     return run
 
@@ -250,14 +261,14 @@ def count_phrases(words: Words, base: np.ndarray, check: np.ndarray, accept: np.
     root = np.array([walk(f"{x}\n".encode()) for x in words.langs], np.int32)
     state = root[words.lang] if len(root) else np.zeros(0, np.int32)
     live = np.flatnonzero(state >= 0)
-    at, state, counts = at[live].astype(np.int32), state[live], np.zeros(n, np.int64)
+    at, state, hits = at[live].astype(np.int32), state[live], [np.zeros(0, np.int32)]
     while len(at):
         after = base[state] + text[at]
         good = np.flatnonzero(check[after] == state)
         at, state = at[good] + 1, after[good]
         found = accept[state[ends[at]]]
-        counts += np.bincount(found[found >= 0], minlength=n)
-    return counts
+        hits.append(found[found >= 0])
+    return np.bincount(np.concatenate(hits), minlength=n)
 
 
 def _counted(sent):
@@ -265,8 +276,7 @@ def _counted(sent):
         tries = [(shard, n, *(c.to_numpy() for c in thaw(trie).columns)) for shard, n, trie in sent.value]
         sums = [np.zeros(n, np.int64) for _, n, *_ in tries]
         for batch in batches:
-            for data in batch.column(0):
-                words = Words(thaw(data))
+            for words in (Words(some) for data in batch.column(0) for some in sliced(thaw(data), 1, SLICE)):
                 for total, (_, n, base, check, accept) in zip(sums, tries):
                     total += count_phrases(words, base, check, accept, n)
         for total, (shard, n, *_) in zip(sums, tries):

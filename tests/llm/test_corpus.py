@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakekeel.llm import chunks, phrases, spelling, suffixes
@@ -161,6 +162,30 @@ def test_phrases_of_odd_tables(spark, odd, odd_wide, nothing):
     assert rows_of(phrases.collocations(nothing)) == []
 
 
+def test_chunks_are_taken_apart_in_slices(monkeypatch):
+    """Words of a chunk exist for a slice of its rows at a time; what is found is the same."""
+    rows = pa.RecordBatch.from_pylist([{"lang": lang, "text": text.encode()} for _, text, lang in phrase_rows()])
+    seen = []
+
+    class Counted(phrases.Words):
+        def __init__(self, some):
+            seen.append(sum(len(x) + 16 for x in some.column(1).to_pylist()))
+            super().__init__(some)
+
+    monkeypatch.setattr(phrases, "Words", Counted)
+    found = []
+    for size in (1 << 30, 20_000):
+        monkeypatch.setattr(phrases, "SLICE", size)
+        seen.clear()
+        values, counts = phrases._phrase_values(40)(rows)
+        chunk = pa.table({"data": pa.array([chunks.freeze([rows])], pa.binary())})
+        known = pa.table({"part": pa.array([0], pa.int32()), "data": pa.array([chunks.encode(values[counts > 9])], pa.binary())})
+        got = phrases._candidates(40)(None, chunk, known).to_pylist()
+        found.append((values.tolist(), counts.tolist(), sorted(map(repr, got))))
+        assert max(seen) <= size
+    assert found[0] == found[1] and len(seen) > 4 and len(found[0][2]) > 100
+
+
 def test_trie_accepts_its_keys_only():
     rnd = random.Random(2)
     keys = sorted({bytes(rnd.choice(b"ab\xffz ") for _ in range(rnd.randrange(1, 12))) for _ in range(500)})
