@@ -124,16 +124,20 @@ def with_usage(objects: DataFrame, usage: DataFrame) -> DataFrame:
     return rows.withColumns({f"used_{k}": F.coalesce(f"used_{k}", F.lit(False)) for k in USAGE_KINDS})
 
 
-def with_translations(objects: DataFrame, translations: DataFrame, cultures: DataFrame) -> DataFrame:
+def with_translations(objects: DataFrame, translations: DataFrame, cultures: DataFrame, names: bool = True) -> DataFrame:
     """Add how many cultures there are and how many have a name, description and folder for the object.
 
     Translations into cultures that are not listed do not count, and repeated rows of an object and culture count
-    once. ``exempt_name`` tells whether a translated name is "" or equal to the name of the object.
+    once. ``exempt_name`` tells whether a translated name is "" or equal to the name of the object; without ``names``
+    the names of the objects are not looked up, and it tells of "" only.
     """
     listed = distinct_keys(cultures, "culture").filter("culture IS NOT NULL")
     counted = {"t_name": "n_names", "t_description": "n_descriptions", "t_folder": "n_folders"}
-    named = translations.join(listed, "culture", "left_semi").join(
-        objects.select("object_id", F.col("name").alias("__name")), "object_id")
+    named = translations.join(listed, "culture", "left_semi")
+    if names:
+        named = named.join(objects.select("object_id", F.col("name").alias("__name")), "object_id")
+    else:
+        named = named.withColumn("__name", F.lit(None).cast("string"))
     exempt = (F.col("t_name") == "") | (F.col("t_name") == F.col("__name"))
     per_culture = named.groupBy("object_id", "culture").agg(
         *[F.bool_or(~is_empty(c)).alias(n) for c, n in counted.items()],
@@ -417,12 +421,14 @@ def check_key_columns(objects: DataFrame, relationships: DataFrame) -> DataFrame
 def check_coverage(objects: DataFrame, translations: DataFrame, cultures: DataFrame) -> DataFrame:
     """Objects that lack a translation in some culture.
 
-    Counts the cultures that have one, so no object-culture pairs are built.
+    Counts the cultures that have one, so no object-culture pairs are built. Only that a description is there goes
+    through the joins, not its text.
     """
     level = F.coalesce(F.col("object_type") == "Level", F.lit(False))
-    levels = with_parent(objects, objects.filter(level), count_partitions=False).select(*objects.columns, "parent_visible")
-    rest = in_scopes(objects.filter(~level), COVERAGE_RULES).withColumn("parent_visible", F.lit(None).cast("boolean"))
-    return violations(with_translations(levels.unionByName(rest), translations, cultures), COVERAGE_RULES)
+    slim = objects.withColumn("description", F.when(~is_empty("description"), F.lit("set")))
+    levels = with_parent(objects, slim.filter(level), count_partitions=False).select(*objects.columns, "parent_visible")
+    rest = in_scopes(slim.filter(~level), COVERAGE_RULES).withColumn("parent_visible", F.lit(None).cast("boolean"))
+    return violations(with_translations(levels.unionByName(rest), translations, cultures, names=False), COVERAGE_RULES)
 
 
 def check_siblings(objects: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -603,9 +609,10 @@ def apply_fixes(
 def reset_folders(translations: DataFrame, found: DataFrame, default_culture_folder: DataFrame) -> DataFrame:
     """The fix for untranslated folders: back to the folder of the object, in every culture it has.
 
-    The violations are found once and staged: as a list of known size it may be broadcast to the translations.
+    The objects with a violation are found once and staged, or Spark would find them again for every frame that the
+    objects are a union of, all in one task. So are their folders: of known size, they may be broadcast to the translations.
     """
-    broken = found.filter("rule_id = 'LAYOUT_LOCALIZE_DF'").select("object_id").distinct()
+    broken = stage(found.filter("rule_id = 'LAYOUT_LOCALIZE_DF'").select("object_id").distinct(), "broken")
     folders = stage(default_culture_folder.join(broken, "object_id", "left_semi").select("object_id", "display_folder"), "folders")
     rows = lookup_join(translations, folders.withColumn("__hit", F.lit(True)), "object_id")
     reset = F.when(F.col("__hit"), F.col("display_folder")).otherwise(F.col("t_folder"))

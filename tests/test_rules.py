@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lakekeel.operators import rules as R
+from lakekeel.session import stage as session_stage
 
 OBJ = ("object_id string, object_type string, parent_id string, name string, data_type string, is_visible boolean, "
        "is_available_in_mdx boolean, format_string string, summarize_by string, display_folder string, "
@@ -152,3 +154,24 @@ def test_run_rules_equals_the_single_checks(spark):
               R.check_references(o)]
     want = sorted(h for s in single for h in hits(s))
     assert hits(R.run_rules(o, u, t, c, r, limit=2)) == want
+
+
+def test_reset_folders_finds_the_violations_once(spark, monkeypatch):
+    """However many frames the objects are a union of, their violations are computed in one plan, once."""
+    plans = []
+
+    def recorded(df, label="stage"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return session_stage(df, label)
+
+    monkeypatch.setattr(R, "stage", recorded)
+    frames = [spark.createDataFrame([(f"{k}{i}", f"folder {k}") for i in range(3)], "object_id string, display_folder string") for k in "abcd"]
+    objects = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    found = spark.createDataFrame([("a0",), ("a0",), ("c2",), ("x",), (None,)], "object_id string").select(
+        F.when(F.col("object_id") == "marker", "other").otherwise("LAYOUT_LOCALIZE_DF").alias("rule_id"), F.lit(1).alias("severity"), "object_id")
+    words = spark.createDataFrame(
+        [("de", "a0", "old"), ("en", "a0", None), ("de", "b0", "old"), ("de", "c2", ""), ("de", None, "kept")],
+        "culture string, object_id string, t_folder string")
+    rows = {tuple(r) for r in R.reset_folders(words, found, objects).collect()}
+    assert rows == {("de", "a0", "folder a"), ("en", "a0", "folder a"), ("de", "b0", "old"), ("de", "c2", "folder c"), ("de", None, "kept")}
+    assert sum(p.count("marker") for p in plans) == 1
