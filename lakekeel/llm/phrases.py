@@ -9,6 +9,8 @@ The counts are exact; sums over the chunks are taken by ranges of a trie's phras
 
 from __future__ import annotations
 
+import functools
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +34,7 @@ SLICE = 2 << 20  # bytes of text of a chunk that are taken apart at once: words
 TRIE = 4 << 20  # bytes of phrases of a trie, about
 SENT = 48 << 20  # bytes of tries that are broadcast at once
 RANGE = 1 << 16  # phrases whose counts are summed together
+UNITED = 4 << 20  # phrases of the texts, repeats included, whose candidates are made distinct together
 UNKNOWN = "und"  # the language of rows without one
 
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"  # fixed values
@@ -59,19 +62,27 @@ class Words:
         self.goes_on[:-1] = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
         self.sizes = ends - starts
         self.body = form[inside]
-        upto = np.concatenate([[0], np.cumsum(self.sizes)])
-        spelled = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(upto.tobytes()), pa.py_buffer(self.body.tobytes())])
-        coded = spelled.dictionary_encode()
-        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
         langs = pc.fill_null(rows.column(0), UNKNOWN).dictionary_encode()
         self.langs: list[str] = langs.dictionary.to_pylist()
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
 
+    @functools.cached_property
+    def coded(self) -> pa.DictionaryArray:
+        upto = np.concatenate([[0], np.cumsum(self.sizes)])
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(self.sizes), [None, pa.py_buffer(upto.tobytes()), pa.py_buffer(self.body.tobytes())]).dictionary_encode()
+
+    @functools.cached_property
+    def ids(self) -> np.ndarray:
+        return self.coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @functools.cached_property
+    def distinct(self) -> pa.LargeBinaryArray:
+        return self.coded.dictionary
+
     def hashes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the phrases of two and of three words that begin at each place where there is one."""
-        word = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct), np.uint64, len(self.distinct))
+        word = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))
         lang = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in self.langs), np.uint64, len(self.langs))
         two, three = self.places()
         h = word[self.ids]
@@ -85,6 +96,7 @@ class Words:
         two = np.flatnonzero(self.goes_on)
         return two, two[self.goes_on[two + 1]]
 
+    @functools.cached_property
     def spaced(self) -> tuple[np.ndarray, np.ndarray]:
         """The words with a space after each that goes on, a line end after others; and where words start."""
         m = len(self.sizes)
@@ -100,6 +112,7 @@ class Words:
 def _phrase_values(bits: int):
     def values(rows: pa.RecordBatch):
         every = np.concatenate([np.zeros(0, np.uint64), *(h for some in sliced(rows, 1, SLICE) for h in Words(some).hashes(bits))])
+        pa.default_memory_pool().release_unused()  # a worker lives on and would keep it
         every.sort()
         first = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
         return every[first], np.diff(first, append=len(every))
@@ -107,48 +120,103 @@ def _phrase_values(bits: int):
     return values
 
 
-def _likely(words: Words, bits: int, often: np.ndarray) -> list[tuple[str, bytes]]:
-    """The distinct (lang, phrase) of which the hash, and of three words both pairs, are among the frequent ones."""
+def _likely(words: Words, bits: int, often: np.ndarray) -> pa.Table:
+    """The distinct (lang, phrase) of which the hash h, and of three words both pairs, are among the frequent ones."""
     pairs, triples = words.hashes(bits)
     two, three = words.places()
-    likely = np.zeros(len(words.ids) + 1, bool)
+    ids = words.ids
+    h2, h3 = (np.zeros(len(ids) + 1, np.uint64) for _ in range(2))
+    h2[two], h3[three] = pairs, triples
+    likely = np.zeros(len(ids) + 1, bool)
     likely[two] = among(pairs, often)
     three = three[among(triples, often) & likely[three] & likely[three + 1]]
     two = two[likely[two]]
     size = max(len(words.distinct), 1)
-    ids = words.ids
     own, at, no = np.unique((words.lang[two] * size + ids[two]) * size + ids[two + 1], return_index=True, return_inverse=True)
     number = np.zeros(len(ids), np.int64)
     number[two] = no
     _, at3 = np.unique(number[three] * size + ids[three + 2], return_index=True)
-    spell, found = words.distinct, []
-    for places, length in ((two[at], 2), (three[at3], 3)):
-        phrases = (b" ".join(p) for p in zip(*([spell[k] for k in ids[places + j].tolist()] for j in range(length))))
-        found += zip([words.langs[k] for k in words.lang[places].tolist()], phrases)
-    return found
+    langs, found = pa.array(words.langs, pa.string()), []
+    for places, length, h in ((two[at], 2, h2), (three[at3], 3, h3)):
+        spelled = (words.distinct.take(pa.array(ids[places + j])) for j in range(length))
+        phrases = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.large_binary()))
+        found.append(pa.table({"lang": langs.take(pa.array(words.lang[places])), "phrase": phrases, "h": pa.array(h[places])}))
+    return pa.concat_tables(found)
 
 
 def _candidates(bits: int):
-    """Phrases of a chunk that may be frequent; with a null phrase, the number of words of each language."""
+    """Phrases of a chunk that may be frequent, with their hash; with a null phrase, the number of words of each language."""
 
     def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
         often = merged(known)
-        found: set[tuple[str, bytes]] = set()
         totals: Counter[str] = Counter()
+        found = [pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.large_binary()), "h": pa.array([], pa.uint64())})]
         for frozen in chunk.column("data").to_pylist():
             for some in sliced(thaw(frozen), 1, SLICE):
                 words = Words(some)
                 totals.update(dict(zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist())))
-                found.update(_likely(words, bits, often))
-        langs, phrases = ([x[k] for x in found] for k in (0, 1))
+                found.append(_likely(words, bits, often))
+                del words
+        once = pa.concat_tables(found).group_by(["lang", "phrase", "h"]).aggregate([]).select(["lang", "phrase", "h"])
+        del found
+        sums = pa.table({"lang": pa.array([*totals], pa.string()), "n": pa.array([*totals.values()], pa.int64())})
+        return pa.concat_tables([once, sums], promote_options="default")
+
+    return run
+
+
+def _packed(bits: int, parts: int):
+    """``_candidates`` as a row of compressed entries for each part; in part -1 the words of each language.
+
+    An entry is the language in hex, a colon, the phrase and a line end, none of which a phrase holds. Equal phrases
+    have an equal hash, of which the part is a range.
+    """
+    candidates = _candidates(bits)
+
+    def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
+        every = candidates(key, chunk, known)
+        totals, found = every.filter(pc.is_null(every["phrase"])), every.filter(pc.is_valid(every["phrase"]))
+        lang = found["lang"].combine_chunks().dictionary_encode()
+        codes = pa.array([x.encode().hex().encode() + b":" for x in lang.dictionary.to_pylist()], pa.large_binary())
+        entries = pc.binary_join_element_wise(
+            codes.take(lang.indices), found["phrase"].combine_chunks(), *(pa.scalar(x, pa.large_binary()) for x in (b"\n", b"")))
+        fine = min(bits, 24)  # bits of the hash that choose the part
+        part = (found["h"].to_numpy() >> np.uint64(bits - fine)).astype(np.int64) * parts >> fine
+        order = np.argsort(part, kind="stable")
+        data, upto = text_bytes(entries.take(pa.array(order)))
+        at, first = np.unique(part[order], return_index=True)
+        cuts = upto[np.append(first, len(order))].tolist()
+        coded = [struct.pack("<I", hi - lo) + pa.compress(data[lo:hi].tobytes(), codec="zstd", asbytes=True)
+                 for lo, hi in zip(cuts, cuts[1:])]
+        del every, found, entries, data
+        pa.default_memory_pool().release_unused()  # a worker lives on and would keep it
         return pa.table({
-            "lang": pa.array([*totals, *langs], pa.string()),
-            "phrase": pa.array([*([None] * len(totals)), *phrases], pa.binary()).cast(pa.string()),
-            "n": pa.array([*totals.values(), *([0] * len(found))], pa.int64())})
+            "part": pa.array([*([-1] * len(totals)), *at.tolist()], pa.int32()),
+            "lang": pa.array([*totals["lang"].to_pylist(), *([None] * len(coded))], pa.string()),
+            "data": pa.array([*([None] * len(totals)), *coded], pa.binary()),
+            "n": pa.array([*totals["n"].to_pylist(), *([0] * len(coded))], pa.int64())})
 
     return run
 
 
+def _united(key: tuple, group: pa.Table) -> pa.Table:
+    """The distinct (lang, phrase) of a part of all chunks; with a null phrase, the number of words of each language."""
+    totals: Counter[str] = Counter()
+    every: set[bytes] = set()
+    for lang, data, n in zip(*(group.column(c).to_pylist() for c in ("lang", "data", "n"))):
+        if data is None:
+            totals[lang] += n
+        else:
+            size, = struct.unpack_from("<I", data)
+            every.update(pa.decompress(data[4:], decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")[:-1])
+    split = [x.partition(b":") for x in every]
+    names = {x: bytes.fromhex(x.decode()).decode() for x in {lang for lang, _, _ in split}}
+    return pa.table({
+        "lang": pa.array([*totals, *(names[lang] for lang, _, _ in split)], pa.string()),
+        "phrase": pa.array([*([None] * len(totals)), *(phrase for _, _, phrase in split)], pa.binary()).cast(pa.string()),
+        "n": pa.array([*totals.values(), *([0] * len(split))], pa.int64())})
+
+
 # ---- double-array tries -----------------------------------------------------------------------------------------
 
 PAD = 256  # slots that no state uses, before and after the others
@@ -246,7 +314,7 @@ def _shards(size: int):
 
 def count_phrases(words: Words, base: np.ndarray, check: np.ndarray, accept: np.ndarray, n: int) -> np.ndarray:
     """How often each of a trie's ``n`` phrases occurs."""
-    text, at = words.spaced()
+    text, at = words.spaced
     ends = ~_WORD[text]
 
     def walk(key: bytes) -> int:
@@ -279,6 +347,8 @@ def _counted(sent):
             for words in (Words(some) for data in batch.column(0) for some in sliced(thaw(data), 1, SLICE)):
                 for total, (_, n, base, check, accept) in zip(sums, tries):
                     total += count_phrases(words, base, check, accept, n)
+                del words
+                pa.default_memory_pool().release_unused()
         for total, (shard, n, *_) in zip(sums, tries):
             los = range(0, n, RANGE)
             coded = [encode(np.flatnonzero(t).astype(np.uint64), t[t > 0]) for t in (total[lo:lo + RANGE] for lo in los)]
@@ -356,8 +426,8 @@ def collocations(
     slim = chunks.select("chunk", "data")
     known = stage(shared(chunks, _phrase_values(bits), bits, parts, least), "likely")
     found = slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _candidates(bits), "lang string, phrase string, n bigint")
-    found = stage(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates")
+        _packed(bits, max(size // 3 // UNITED, 1)), "part int, lang string, data binary, n bigint")
+    found = stage(found.groupBy("part").applyInArrow(_united, "lang string, phrase string, n bigint"), "candidates")
     total = found.filter("phrase is null").select("lang", "n")
     several = found.filter("phrase is not null").select("lang", "phrase")
     alone = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()

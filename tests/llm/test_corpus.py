@@ -186,6 +186,31 @@ def test_chunks_are_taken_apart_in_slices(monkeypatch):
     assert found[0] == found[1] and len(seen) > 4 and len(found[0][2]) > 100
 
 
+def test_candidates_of_chunks_are_packed_and_united():
+    """Candidates of two chunks take less than half their text and are distinct once united; counting makes no dictionary of words."""
+    rows = pa.RecordBatch.from_pylist([{"lang": lang, "text": text.encode()} for _, text, lang in phrase_rows()])
+    values, counts = phrases._phrase_values(40)(rows)
+    chunk = pa.table({"data": pa.array([chunks.freeze([rows])], pa.binary())})
+    known = pa.table({"part": pa.array([0], pa.int32()), "data": pa.array([chunks.encode(values[counts > 9])], pa.binary())})
+    plain = phrases._candidates(40)(None, chunk, known).to_pylist()
+    want = {(r["lang"], r["phrase"].decode()) for r in plain if r["phrase"] is not None}
+    sent = [phrases._packed(40, 5)(None, chunk, known) for _ in range(2)]
+    data = [x for x in sent[0].column("data").to_pylist() if x is not None]
+    assert len(data) == 5 and sum(map(len, data)) < 0.5 * sum(len(p) + len(lang) for lang, p in want)
+    both, found = pa.concat_tables(sent), []
+    for part in range(-1, 5):
+        found += phrases._united((part,), both.filter(pa.compute.equal(both["part"], part))).to_pylist()
+    got = [(r["lang"], r["phrase"]) for r in found if r["phrase"] is not None]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    totals = {r["lang"]: r["n"] for r in found if r["phrase"] is None}
+    assert totals == {r["lang"]: 2 * r["n"] for r in plain if r["phrase"] is None}
+
+    words = phrases.Words(rows)
+    trie = phrases.build_trie(sorted(f"{lang}\n{p}".encode() for lang, p in want))
+    assert phrases.count_phrases(words, *(c.to_numpy() for c in trie.columns), len(want)).sum() > 0
+    assert "coded" not in vars(words)
+
+
 def test_trie_accepts_its_keys_only():
     rnd = random.Random(2)
     keys = sorted({bytes(rnd.choice(b"ab\xffz ") for _ in range(rnd.randrange(1, 12))) for _ in range(500)})
