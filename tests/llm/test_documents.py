@@ -434,6 +434,65 @@ def test_lines_that_differ_in_numbers_and_signs_are_compared(spark):
     assert {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}[13] == "Chapter 2\nx = a - b"
 
 
+def test_keys_of_all_lines_move_once(spark, monkeypatch):
+    """All keys of all lines are the largest table: they are made and dealt out once, not once to count and once to meet."""
+    plans, stage = {}, lines.stage
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(lines, "stage", noted)
+    lines.dropped_positions(line_documents(spark))
+    assert plans["wide"].count("Generate explode") == 1
+
+
+def test_cheap_bounds_do_not_change_what_is_alike(spark):
+    """Words replaced, left out and put in, few and many: the shortcuts before the full distance decide as it does."""
+    rng = random.Random(21)
+    letters, pairs = "abcdefghij", []
+    for _ in range(300):
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(rng.randint(5, 30))]
+        other = list(words)
+        for _ in range(rng.randint(0, len(words) // 2)):
+            at = rng.randrange(len(other))
+            other[at:at + rng.choice((0, 1, 1, 1, 1))] = ["".join(rng.choices(letters, k=rng.randint(1, 9)))] * rng.choice((0, 1, 1, 1, 1))
+            other = other or ["a"]
+        pairs.append((" ".join(words), " ".join(other)))
+    pairs = [(x, y) for x, y in pairs if min(len(x), len(y)) >= 20]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+
+    def side(c):
+        words = F.split(c, " ")
+        return F.struct(F.col(c).alias("norm"), lines.spelled(words).alias("spelled"),
+                        (F.array_max(F.transform(words, F.length)) + 1).alias("longest"))
+
+    got = df.select("i", lines._alike(side("x"), side("y"), 0.8).alias("near"), lines._replaced(F.col("x"), F.col("y")).alias("n")).orderBy("i").collect()
+    want = [brute.similar(x, y) for x, y in pairs]
+    assert [r["near"] for r in got] == want and 50 < sum(want) < 250
+    for (x, y), r in zip(pairs, got):
+        u, v = x.split(" "), y.split(" ")
+        assert r["n"] == (sum(max(len(a), len(b)) for a, b in zip(u, v) if a != b) if len(u) == len(v) else None)
+
+
+def test_lines_with_several_keys_in_common_are_compared_once(spark):
+    """What ``_across`` finds does not depend on the key at which two lines are compared."""
+    rng = random.Random(6)
+    norms = {}
+    for i in range(0, 60, 2):
+        words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(12)]
+        norms[i], norms[i + 1] = " ".join(words), " ".join([*words[:-1], "other"])
+    near = spark.createDataFrame(
+        [(k, i, 0, len(norms[i])) for i in norms for k in rng.sample((i // 2, 100 + i // 2, 1000, 1001, 1002), 4)],
+        "key bigint, nid bigint, sim bigint, size int")
+    texts = spark.createDataFrame(list(norms.items()), "nid bigint, norm string").select(
+        "nid", "norm", lines.spelled(F.split("norm", " ")).alias("spelled"), F.lit(8).alias("longest"))
+    groups = spark.createDataFrame([], "node bigint, root bigint")
+    for crowd in (2, 32):
+        got = {tuple(r) for r in lines._across(near, groups, texts, 0.8, crowd).collect()}
+        assert got == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 # ---- decontamination ----
 
 
