@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 
 import brute
 import pytest
@@ -424,6 +425,37 @@ def test_edited_lines_of_ordinary_length_are_found(spark):
         assert found >= least * of, (unit, share, recall)
 
 
+def test_runs_of_lines_of_any_length(spark):
+    """The least hashes of runs of three words, of four in longer lines; repeats count once, short lines have none."""
+    texts = [" ".join(f"word{i * i % 31}" for i in range(n)) for n in (1, 2, 3, 4, 5, 9, 10, 11, 40)]
+    texts += ["", "a b c", "one two one two one two one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [r[c] for c in lines.RUNS if r[c] is not None] for r in lines.occurrences(df).collect()}
+    for i, t in enumerate(texts):
+        h = [brute.xx_signed(w) for w in brute.line_words(t)]
+        n = 3 if len(h) < 10 else 4
+        runs = set()
+        for at in range(len(h) - n + 1 if len(t) >= 20 else 0):
+            v = 42
+            for x in h[at:at + n]:
+                v = brute.xx(struct.pack("<q", x), v)
+            runs.add(v - (1 << 64) if v >> 63 else v)
+        assert got[i] == sorted(runs)[:4]
+
+
+def test_lines_without_an_untouched_block_meet(spark):
+    """Like lines of which scattered edits have touched every block agree on no key of a block, but on runs of words."""
+    rng, rows = random.Random(8), []
+    while len(rows) < 80:
+        a, b = edited_lines(rng, rng.choice((5, 8, 30, 50)), 0.05, "characters")
+        (x, s), (y, t) = brute.line_blocks(a.split(" ")), brute.line_blocks(b.split(" "))
+        if not set(x.values()) & set(y.values()) and (s ^ t).bit_count() <= lines.WIDE and brute.similar(a, b):
+            rows += [a, b]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    gone = {r["doc_id"] for r in lines.dropped_positions(df).filter(F.size("dropped") > 0).collect()}
+    assert all(i % 2 for i in gone) and len(gone) >= 24, len(gone)
+
+
 def test_lines_that_differ_in_numbers_and_signs_are_compared(spark):
     groups = [["Total 5 12", "Total 99"], ["x = a + b * 10", "x == (a / b)"], ["12 | 7 | 30", "450 | 81 | 6"], ["--- 1 ---", "=== 22 ==="],
               ["one  Line with\tspace 7", "One line with space 7 "], ["step 1 of the long list of things", "step 2 of the long list of things"]]
