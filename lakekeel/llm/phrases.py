@@ -1,10 +1,11 @@
 """Collocations: phrases of two and three words that occur together more often than apart.
 
 Candidates are found from below: hashes of all phrases are counted over the chunks, a phrase whose hash class is too
-rare is rare itself, and three words are only a candidate if both pairs are. The candidates and their words become
-double-array tries of bounded size. These are broadcast, some at a time; in a chunk all word starts go through a trie
-together, a byte at a time, and what stands on an accepting state at the end of a word is counted with bincount.
-The counts are exact; sums over the chunks are taken by ranges of a trie's phrases.
+rare is rare itself, and three words are only a candidate if both pairs are. The candidates of a chunk and its words
+become double-array tries of bounded size, in the task that holds the chunk: all its word starts go through a trie
+together, a byte at a time, and what stands on an accepting state at the end of a word is counted with bincount. So a
+chunk meets its own phrases only, and the work for a chunk does not grow with the number of chunks.
+The counts are exact: a phrase is a candidate in every chunk that holds it, or in none. They are summed by ranges of hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekeel.llm.chunks import (
-    among, decode, encode, freeze, merged, mixed, pack, shape, shared, sliced, text_bytes, thaw,
+    among, merged, mixed, pack, shape, shared, sliced, text_bytes, thaw,
 )
 from lakekeel.session import stage
 
@@ -32,9 +33,8 @@ COVERED = 50  # per cent of a phrase's occurrences within a longer candidate fro
 CHUNK = 16 << 20  # bytes of text of a chunk
 SLICE = 2 << 20  # bytes of text of a chunk that are taken apart at once: words take twenty times their text
 TRIE = 4 << 20  # bytes of phrases of a trie, about
-SENT = 48 << 20  # bytes of tries that are broadcast at once
-RANGE = 1 << 16  # phrases whose counts are summed together
-UNITED = 4 << 20  # phrases of the texts, repeats included, whose candidates are made distinct together
+SENT = 48 << 20  # bytes of tries that a task holds at once
+UNITED = 4 << 20  # phrases of the texts, repeats included, whose counts are summed together
 UNKNOWN = "und"  # the language of rows without one
 
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"  # fixed values
@@ -80,8 +80,8 @@ class Words:
     def distinct(self) -> pa.LargeBinaryArray:
         return self.coded.dictionary
 
-    def hashes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the phrases of two and of three words that begin at each place where there is one."""
+    def hashes(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words, and of the phrases of two and of three words that begin at each place where there is one."""
         word = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))
         lang = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in self.langs), np.uint64, len(self.langs))
         two, three = self.places()
@@ -90,7 +90,8 @@ class Words:
         pair = mixed(first[two], h[two + 1])
         triple = mixed(mixed(first[three], h[three + 1]), h[three + 2])
         end = np.uint64(0xD6E8FEB86659FD93)  # tells lengths apart
-        return mixed(pair, np.uint64(2)) >> np.uint64(64 - bits), mixed(triple, end) >> np.uint64(64 - bits)
+        rest = np.uint64(64 - bits)
+        return mixed(first, np.uint64(1)) >> rest, mixed(pair, np.uint64(2)) >> rest, mixed(triple, end) >> rest
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         two = np.flatnonzero(self.goes_on)
@@ -111,7 +112,7 @@ class Words:
 
 def _phrase_values(bits: int):
     def values(rows: pa.RecordBatch):
-        every = np.concatenate([np.zeros(0, np.uint64), *(h for some in sliced(rows, 1, SLICE) for h in Words(some).hashes(bits))])
+        every = np.concatenate([np.zeros(0, np.uint64), *(h for some in sliced(rows, 1, SLICE) for h in Words(some).hashes(bits)[1:])])
         pa.default_memory_pool().release_unused()  # a worker lives on and would keep it
         every.sort()
         first = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
@@ -121,8 +122,8 @@ def _phrase_values(bits: int):
 
 
 def _likely(words: Words, bits: int, often: np.ndarray) -> pa.Table:
-    """The distinct (lang, phrase) of which the hash h, and of three words both pairs, are among the frequent ones."""
-    pairs, triples = words.hashes(bits)
+    """The distinct (lang, phrase) of which the hash h, and of three words both pairs, are among the frequent ones; all words."""
+    h1, pairs, triples = words.hashes(bits)
     two, three = words.places()
     ids = words.ids
     h2, h3 = (np.zeros(len(ids) + 1, np.uint64) for _ in range(2))
@@ -132,12 +133,13 @@ def _likely(words: Words, bits: int, often: np.ndarray) -> pa.Table:
     three = three[among(triples, often) & likely[three] & likely[three + 1]]
     two = two[likely[two]]
     size = max(len(words.distinct), 1)
+    _, at1 = np.unique(words.lang * size + ids, return_index=True)
     own, at, no = np.unique((words.lang[two] * size + ids[two]) * size + ids[two + 1], return_index=True, return_inverse=True)
     number = np.zeros(len(ids), np.int64)
     number[two] = no
     _, at3 = np.unique(number[three] * size + ids[three + 2], return_index=True)
     langs, found = pa.array(words.langs, pa.string()), []
-    for places, length, h in ((two[at], 2, h2), (three[at3], 3, h3)):
+    for places, length, h in ((at1, 1, h1), (two[at], 2, h2), (three[at3], 3, h3)):
         spelled = (words.distinct.take(pa.array(ids[places + j])) for j in range(length))
         phrases = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.large_binary()))
         found.append(pa.table({"lang": langs.take(pa.array(words.lang[places])), "phrase": phrases, "h": pa.array(h[places])}))
@@ -145,18 +147,17 @@ def _likely(words: Words, bits: int, often: np.ndarray) -> pa.Table:
 
 
 def _candidates(bits: int):
-    """Phrases of a chunk that may be frequent, with their hash; with a null phrase, the number of words of each language."""
+    """Words of a chunk and phrases that may be frequent, with their hash; with a null phrase, the number of words of each language."""
 
     def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
         often = merged(known)
         totals: Counter[str] = Counter()
         found = [pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.large_binary()), "h": pa.array([], pa.uint64())})]
-        for frozen in chunk.column("data").to_pylist():
-            for some in sliced(thaw(frozen), 1, SLICE):
-                words = Words(some)
-                totals.update(dict(zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist())))
-                found.append(_likely(words, bits, often))
-                del words
+        for some in _slices(chunk):
+            words = Words(some)
+            totals.update(dict(zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist())))
+            found.append(_likely(words, bits, often))
+            del words
         once = pa.concat_tables(found).group_by(["lang", "phrase", "h"]).aggregate([]).select(["lang", "phrase", "h"])
         del found
         sums = pa.table({"lang": pa.array([*totals], pa.string()), "n": pa.array([*totals.values()], pa.int64())})
@@ -165,30 +166,71 @@ def _candidates(bits: int):
     return run
 
 
-def _packed(bits: int, parts: int):
-    """``_candidates`` as a row of compressed entries for each part; in part -1 the words of each language.
+def _slices(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    for frozen in chunk.column("data").to_pylist():
+        yield from sliced(thaw(frozen), 1, SLICE)
+
+
+def _occurrences(keys: pa.LargeBinaryArray, chunk: pa.Table, trie: int, sent: int) -> np.ndarray:
+    """How often each of the sorted distinct keys, a language, a line end and a phrase, occurs in a chunk.
+
+    The keys become tries of about ``trie`` bytes of keys; the chunk is read once for every ``sent`` bytes of tries.
+    """
+    weights = np.cumsum(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64))
+    total, held, weight, lo = np.zeros(len(keys), np.int64), [], 0, 0
+    while lo < len(keys):
+        hi = max(int(np.searchsorted(weights, (weights[lo - 1] if lo else 0) + trie, side="right")), lo + 1)
+        columns = [c.to_numpy() for c in build_trie(keys.slice(lo, hi - lo).to_pylist()).columns]
+        held.append((lo, hi, columns))
+        weight += sum(c.nbytes for c in columns)
+        if weight >= sent or hi == len(keys):
+            for some in _slices(chunk):
+                words = Words(some)
+                for a, b, (base, check, accept) in held:
+                    total[a:b] += count_phrases(words, base, check, accept, b - a)
+                del words
+            held, weight = [], 0
+        lo = hi
+    return total
+
 
-    An entry is the language in hex, a colon, the phrase and a line end, none of which a phrase holds. Equal phrases
-    have an equal hash, of which the part is a range.
+def _packed(bits: int, parts: int, trie: int = TRIE, sent: int = SENT):
+    """``_candidates`` and how often each occurs in the chunk, as a row of compressed entries for each part.
+
+    In part -1 are the words of each language. An entry is the language in hex, a colon, the phrase and a line end,
+    none of which a phrase holds; the counts follow the entries. Equal phrases have an equal hash, of which the part
+    is a range.
     """
     candidates = _candidates(bits)
 
+    def joined(lang: pa.DictionaryArray, codes: list[bytes], phrases: pa.Array, *ends: bytes) -> pa.LargeBinaryArray:
+        each = pa.array(codes, pa.large_binary()).take(lang.indices)
+        return pc.binary_join_element_wise(each, phrases, *(pa.scalar(x, pa.large_binary()) for x in ends))
+
     def run(key: tuple, chunk: pa.Table, known: pa.Table) -> pa.Table:
         every = candidates(key, chunk, known)
         totals, found = every.filter(pc.is_null(every["phrase"])), every.filter(pc.is_valid(every["phrase"]))
-        lang = found["lang"].combine_chunks().dictionary_encode()
-        codes = pa.array([x.encode().hex().encode() + b":" for x in lang.dictionary.to_pylist()], pa.large_binary())
-        entries = pc.binary_join_element_wise(
-            codes.take(lang.indices), found["phrase"].combine_chunks(), *(pa.scalar(x, pa.large_binary()) for x in (b"\n", b"")))
+        lang, phrases = found["lang"].combine_chunks().dictionary_encode(), found["phrase"].combine_chunks()
+        names = [x.encode() for x in lang.dictionary.to_pylist()]
+        keys = joined(lang, [x + b"\n" for x in names], phrases, b"")
+        by_key = pc.sort_indices(keys)
+        keys, lang, phrases, h = keys.take(by_key), lang.take(by_key), phrases.take(by_key), found["h"].to_numpy()[by_key.to_numpy()]
+        del every, found
+        times = _occurrences(keys, chunk, trie, sent)
+        entries = joined(lang, [x.hex().encode() + b":" for x in names], phrases, b"\n", b"")
+        del keys, phrases
         fine = min(bits, 24)  # bits of the hash that choose the part
-        part = (found["h"].to_numpy() >> np.uint64(bits - fine)).astype(np.int64) * parts >> fine
+        part = (h >> np.uint64(bits - fine)).astype(np.int64) * parts >> fine
         order = np.argsort(part, kind="stable")
         data, upto = text_bytes(entries.take(pa.array(order)))
+        times = times[order].astype("<u4")  # texts are below 2 GB
         at, first = np.unique(part[order], return_index=True)
-        cuts = upto[np.append(first, len(order))].tolist()
-        coded = [struct.pack("<I", hi - lo) + pa.compress(data[lo:hi].tobytes(), codec="zstd", asbytes=True)
-                 for lo, hi in zip(cuts, cuts[1:])]
-        del every, found, entries, data
+        coded = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            planes = times[a:b].view(np.uint8).reshape(-1, 4).T  # planes of zeros cost next to nothing once compressed
+            plain = data[upto[a]:upto[b]].tobytes() + planes.tobytes()
+            coded.append(struct.pack("<II", len(plain), b - a) + pa.compress(plain, codec="zstd", asbytes=True))
+        del entries, data
         pa.default_memory_pool().release_unused()  # a worker lives on and would keep it
         return pa.table({
             "part": pa.array([*([-1] * len(totals)), *at.tolist()], pa.int32()),
@@ -199,22 +241,38 @@ def _packed(bits: int, parts: int):
     return run
 
 
-def _united(key: tuple, group: pa.Table) -> pa.Table:
-    """The distinct (lang, phrase) of a part of all chunks; with a null phrase, the number of words of each language."""
+def _unpacked(data: bytes) -> pa.Table:
+    size, n = struct.unpack_from("<II", data)
+    plain = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd"), np.uint8)
+    text, planes = plain[:size - 4 * n], plain[size - 4 * n:]
+    upto = np.concatenate([[0], np.flatnonzero(text == 10) + 1])
+    entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(upto.tobytes()), pa.py_buffer(text.tobytes())])
+    times = np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+    return pa.table({"entry": entries, "n": pa.array(times.astype(np.int64))})
+
+
+def _united(key: tuple, group: pa.Table, least: int = 1) -> pa.Table:
+    """(lang, phrase, n) of a part: how often each phrase occurs in all chunks, if ``least`` times; with a null phrase,
+    the number of words of each language."""
     totals: Counter[str] = Counter()
-    every: set[bytes] = set()
+    each = [pa.table({"entry": pa.array([], pa.large_binary()), "n": pa.array([], pa.int64())})]
     for lang, data, n in zip(*(group.column(c).to_pylist() for c in ("lang", "data", "n"))):
         if data is None:
             totals[lang] += n
         else:
-            size, = struct.unpack_from("<I", data)
-            every.update(pa.decompress(data[4:], decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")[:-1])
-    split = [x.partition(b":") for x in every]
+            each.append(_unpacked(data))
+    sums = pa.concat_tables(each).group_by("entry").aggregate([("n", "sum")])
+    del each
+    sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+    split = [x[:-1].partition(b":") for x in sums["entry"].to_pylist()]
     names = {x: bytes.fromhex(x.decode()).decode() for x in {lang for lang, _, _ in split}}
-    return pa.table({
+    out = pa.table({
         "lang": pa.array([*totals, *(names[lang] for lang, _, _ in split)], pa.string()),
         "phrase": pa.array([*([None] * len(totals)), *(phrase for _, _, phrase in split)], pa.binary()).cast(pa.string()),
-        "n": pa.array([*totals.values(), *([0] * len(split))], pa.int64())})
+        "n": pa.array([*totals.values(), *sums["n_sum"].to_pylist()], pa.int64())})
+    del sums, split
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 # ---- double-array tries -----------------------------------------------------------------------------------------
@@ -283,35 +341,6 @@ def build_trie(keys: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _shards(size: int):
-    """Sorted rows (lang, phrase) to tries of about ``size`` bytes: (n_bytes, trie, phrases)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, str, str]] = []
-        weight = 0
-
-        def out() -> pa.RecordBatch:
-            keys = sorted(held)
-            trie = build_trie([k for k, _, _ in keys])
-            phrases = pa.RecordBatch.from_arrays(
-                [pa.array([x for _, x, _ in keys], pa.string()), pa.array([p for _, _, p in keys], pa.string())], names=["lang", "phrase"])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([trie.nbytes], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([freeze([trie])], pa.binary()),
-                 pa.array([freeze([phrases])], pa.binary())], names=["n_bytes", "n", "trie", "phrases"])
-
-        for batch in batches:
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((f"{lang}\n{phrase}".encode(), lang, phrase))
-                weight += len(held[-1][0])
-                if weight >= size:
-                    yield out()
-                    held, weight = [], 0
-        if held:
-            yield out()
-
-    return run
-
-
 def count_phrases(words: Words, base: np.ndarray, check: np.ndarray, accept: np.ndarray, n: int) -> np.ndarray:
     """How often each of a trie's ``n`` phrases occurs."""
     text, at = words.spaced
@@ -339,74 +368,6 @@ def count_phrases(words: Words, base: np.ndarray, check: np.ndarray, accept: np.
     return np.bincount(np.concatenate(hits), minlength=n)
 
 
-def _counted(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [(shard, n, *(c.to_numpy() for c in thaw(trie).columns)) for shard, n, trie in sent.value]
-        sums = [np.zeros(n, np.int64) for _, n, *_ in tries]
-        for batch in batches:
-            for words in (Words(some) for data in batch.column(0) for some in sliced(thaw(data), 1, SLICE)):
-                for total, (_, n, base, check, accept) in zip(sums, tries):
-                    total += count_phrases(words, base, check, accept, n)
-                del words
-                pa.default_memory_pool().release_unused()
-        for total, (shard, n, *_) in zip(sums, tries):
-            los = range(0, n, RANGE)
-            coded = [encode(np.flatnonzero(t).astype(np.uint64), t[t > 0]) for t in (total[lo:lo + RANGE] for lo in los)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(coded), shard, np.int64)), pa.array(los, pa.int64()), pa.array(coded, pa.binary())],
-                names=["shard", "lo", "data"])
-
-    return run
-
-
-def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(RANGE, np.int64)
-    for batch in batches:
-        for data in batch.column(2).to_pylist():
-            at, counts = decode(data)
-            total[at.astype(np.int64)] += counts
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(some), key[0].as_py(), np.int64)), pa.array(some + key[1].as_py()), pa.array(total[some])],
-        names=["shard", "no", "f"])
-
-
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            phrases = thaw(data)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(phrases), shard, np.int64)), pa.array(np.arange(len(phrases))), *phrases.columns],
-                names=["shard", "no", "lang", "phrase"])
-
-
-def _counts(chunks: DataFrame, wanted: DataFrame, trie: int, sent: int) -> DataFrame:
-    """(lang, phrase, f) for the wanted (lang, phrase), counted in all chunks."""
-    spark = chunks.sparkSession
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0]  # one number
-    dealt = wanted.repartitionByRange(max(-(-size // trie), 1), "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    tries = stage(dealt.mapInArrow(_shards(trie), "n_bytes bigint, n bigint, trie binary, phrases binary").select(
-        F.monotonically_increasing_id().alias("shard"), "*"), "tries")
-    rounds: list[list[int]] = []
-    weight = 0
-    for shard, n_bytes in tries.select("shard", "n_bytes").orderBy("shard").toLocalIterator():  # two numbers a trie
-        if not rounds or weight + n_bytes > sent:
-            rounds.append([])
-            weight = 0
-        rounds[-1].append(shard)
-        weight += n_bytes
-    counted = None
-    for some in rounds:  # tries of ``sent`` bytes, or one
-        blobs = [tuple(r) for r in tries.filter(F.col("shard").isin(some)).select("shard", "n", "trie").collect()]
-        own = chunks.select("data").mapInArrow(_counted(spark.sparkContext.broadcast(blobs)), "shard bigint, lo bigint, data binary")
-        counted = own if counted is None else counted.unionByName(own)
-    spelled = tries.select("shard", "phrases").mapInArrow(_spelled, "shard bigint, no bigint, lang string, phrase string")
-    if counted is None:
-        return spelled.select("lang", "phrase", F.lit(0).cast("bigint").alias("f"))
-    sums = counted.groupBy("shard", "lo").applyInArrow(_summed, "shard bigint, no bigint, f bigint")
-    return stage(spelled.join(sums, ["shard", "no"]).select("lang", "phrase", "f"), "phrase-counts")
-
-
 def collocations(
     documents: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED, chunk: int = CHUNK, trie: int = TRIE,
     sent: int = SENT,
@@ -417,7 +378,8 @@ def collocations(
     tabs. a, l and r count the phrase, its part before and its part after the cut with the lowest score, n all words.
     The score is floor(1000000 * a * a / (l * r)). A phrase goes if ``covered`` per cent of its occurrences lie in
     one longer candidate. Rows without lang are ``und``; a null text is empty; equal rows count each. Other columns are
-    not read; an empty table gives an empty table. The texts are read once for every ``sent`` bytes of tries.
+    not read; an empty table gives an empty table. A task makes tries of ``trie`` bytes of phrases from what its chunk
+    of ``chunk`` bytes holds and reads the chunk once for every ``sent`` bytes of tries.
     """
     rows = documents.select("lang", F.col("text").cast("binary").alias("text"))
     chunks = pack(rows, "text", chunk, "phrase-texts")
@@ -426,15 +388,14 @@ def collocations(
     slim = chunks.select("chunk", "data")
     known = stage(shared(chunks, _phrase_values(bits), bits, parts, least), "likely")
     found = slim.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _packed(bits, max(size // 3 // UNITED, 1)), "part int, lang string, data binary, n bigint")
-    found = stage(found.groupBy("part").applyInArrow(_united, "lang string, phrase string, n bigint"), "candidates")
+        _packed(bits, max(size // 3 // UNITED, 1), trie, sent), "part int, lang string, data binary, n bigint")
+    found = stage(found.groupBy("part").applyInArrow(
+        lambda key, group: _united(key, group, least), "lang string, phrase string, n bigint"), "phrase-counts")
     total = found.filter("phrase is null").select("lang", "n")
-    several = found.filter("phrase is not null").select("lang", "phrase")
-    alone = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    f = _counts(chunks, several.unionByName(alone), trie, sent)
+    f = found.filter("phrase is not null").select("lang", "phrase", F.col("n").alias("f"))  # parts of a phrase are as frequent at least
 
     w = F.split("phrase", " ")
-    often = f.filter(F.col("f") >= least).withColumn("w", w).withColumn("a", F.col("f"))
+    often = f.withColumn("w", w).withColumn("a", F.col("f"))
     two = often.filter(F.size("w") == 2).select("lang", "phrase", "a", F.col("w")[0].alias("l1"), F.col("w")[1].alias("r1"))
     three = often.filter(F.size("w") == 3).select(
         "lang", "phrase", "a", F.col("w")[0].alias("l1"), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]).alias("r1"),

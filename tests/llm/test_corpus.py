@@ -211,6 +211,38 @@ def test_candidates_of_chunks_are_packed_and_united():
     assert "coded" not in vars(words)
 
 
+def test_chunks_count_what_they_hold(monkeypatch):
+    """The tries of a chunk hold its own phrases only, whatever is frequent elsewhere; the sums over the chunks are exact."""
+    rnd, built, build = random.Random(3), [], phrases.build_trie
+    monkeypatch.setattr(phrases, "build_trie", lambda keys: (built.extend(keys), build(keys))[1])
+    other = [(i, " ".join(rnd.choice(("the", "cat", f"w{rnd.randrange(20)}")) for _ in range(30)), "en") for i in range(60)]
+    texts = [[(lang, text) for _, text, lang in rows] for rows in (phrase_rows(), other)]
+    every = [pa.RecordBatch.from_pylist([{"lang": lang, "text": text.encode()} for lang, text in some]) for some in texts]
+    counts = collections.Counter()
+    for rows in every:
+        counts.update(dict(zip(*(x.tolist() for x in phrases._phrase_values(40)(rows)))))
+    often = np.array(sorted(v for v, c in counts.items() if c >= 10), np.uint64)
+    known = pa.table({"part": pa.array([0], pa.int32()), "data": pa.array([chunks.encode(often)], pa.binary())})
+    f, sent = collections.Counter(), []
+    for rows, some in zip(every, texts):
+        own = set()
+        for lang, text in some:
+            for piece in re.split("[.,;:!?\n\x0b\x0c\r]", text.translate(ASCII_LOWER)):
+                words = [w for w in re.split("[ \t]+", piece) if w]
+                found = [("und" if lang is None else lang, " ".join(words[i:i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+                f.update(found)
+                own.update(f"{x}\n{p}".encode() for x, p in found)
+        built.clear()
+        chunk = pa.table({"data": pa.array([chunks.freeze([rows])], pa.binary())})
+        sent.append(phrases._packed(40, 3, trie=300, sent=20_000)(None, chunk, known))
+        assert len(built) > 30 and set(built) <= own
+    both, got = pa.concat_tables(sent), {}
+    for part in range(3):
+        for r in phrases._united((part,), both.filter(pa.compute.equal(both["part"], part)), least=10).to_pylist():
+            got[r["lang"], r["phrase"]] = r["n"]
+    assert got == {p: n for p, n in f.items() if n >= 10} and len(got) > 100
+
+
 def test_trie_accepts_its_keys_only():
     rnd = random.Random(2)
     keys = sorted({bytes(rnd.choice(b"ab\xffz ") for _ in range(rnd.randrange(1, 12))) for _ in range(500)})
