@@ -216,6 +216,7 @@ def _packed(bits: int, parts: int, trie: int = TRIE, sent: int = SENT):
         by_key = pc.sort_indices(keys)
         keys, lang, phrases, h = keys.take(by_key), lang.take(by_key), phrases.take(by_key), found["h"].to_numpy()[by_key.to_numpy()]
         del every, found
+        pa.default_memory_pool().release_unused()
         times = _occurrences(keys, chunk, trie, sent)
         entries = joined(lang, [x.hex().encode() + b":" for x in names], phrases, b"\n", b"")
         del keys, phrases
@@ -286,29 +287,30 @@ def build_trie(keys: list[bytes]) -> pa.RecordBatch:
     The state after byte c of state s is base[s] + c if check there is s. States with several successors get slots of
     their own from the least byte to the greatest; those with one fill the gaps.
     """
-    text = np.frombuffer(b"".join(keys), np.uint8).astype(np.int64)
+    text = np.frombuffer(b"".join(keys), np.uint8)
     sizes = np.fromiter(map(len, keys), np.int64, len(keys))
     at = np.cumsum(sizes) - sizes
-    parents, symbols, n = [np.zeros(1, np.int64)], [np.full(1, -1, np.int64)], 1
+    parents, symbols, n = [np.zeros(1, np.int32)], [np.full(1, -1, np.int16)], 1
     state = np.zeros(len(keys), np.int64)
-    accepted = [np.full(1, -1, np.int64)]
+    accepted = [np.full(1, -1, np.int32)]
     alive, depth = np.flatnonzero(sizes > 0), 0
     while len(alive):
         before, byte = state[alive], text[at[alive] + depth]
         new = np.ones(len(alive), bool)
         new[1:] = (before[1:] != before[:-1]) | (byte[1:] != byte[:-1])
         own = np.cumsum(new) - 1
-        parents.append(before[new])
-        symbols.append(byte[new])
+        parents.append(before[new].astype(np.int32))
+        symbols.append(byte[new].astype(np.int16))
         state[alive] = n + own
         depth += 1
         ends = sizes[alive] == depth
-        mark = np.full(int(new.sum()), -1, np.int64)
+        mark = np.full(int(new.sum()), -1, np.int32)
         mark[own[ends]] = alive[ends]
         accepted.append(mark)
         n += len(mark)
         alive = alive[~ends]
     parent, symbol, accept = (np.concatenate(x) for x in (parents, symbols, accepted))
+    del parents, symbols, accepted, text, state
 
     slot = np.full(n, PAD, np.int64)  # of the root
     base = np.zeros(n, np.int64)  # without successors: all lead to unused slots
@@ -318,7 +320,7 @@ def build_trie(keys: list[bytes]) -> pa.RecordBatch:
     children = np.diff(first, append=len(order))
     least, most = symbol[order][first], symbol[order][first + children - 1]
     wide = children > 1
-    span = np.where(wide, most - least + 1, 0)
+    span = np.where(wide, most - least + 1, 0).astype(np.int64)
     begin = PAD + 1 + np.cumsum(span) - span
     base[owner[first[wide]]] = (begin - least)[wide]
     of_wide = np.repeat(wide, children)
